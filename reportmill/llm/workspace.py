@@ -8,6 +8,7 @@ the lineage and leaves nothing on one machine only.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import weakref
@@ -26,6 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Hold what one Arrow batch brings to a Python worker to ``rows`` rows and about ``size`` bytes.
+
+    Rows here carry whole texts or sets, so the default of 10,000 rows is too
+    many.  A smaller setting of the session stands.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)([bkm]?)b?", str(spark.conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) * {"k": 1 << 10, "m": 1 << 20}.get(now[2], 1) <= most:
+            spark.conf.set(key, str(most))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it is removed when the driver ends."""
     path = f"{shared_folder(spark)}/reportmill/{uuid.uuid4().hex}/{name}"
