@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, ngram_join, quality
+from . import decontaminate, html_text, line_dedup, lm_score, mixing, ngram_join, quality, sharding, topk, warc
+from .workspace import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,36 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("score", 6).alias("score"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), new_path(spark, "shards")).listing("doc_id")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,14 +56,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_source_mixing": op1_source_mixing,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op9_benchmark_decontamination": op9_benchmark_decontamination,
-    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_html_extraction, op3_line_dedup, op4_lm_scoring, op5_quality_classifier, op6_warc,
+        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, pipeline,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.ORACLE,
+    "op4_lm_scoring": lm_score.ORACLE,
+    "op7_exact_top_k": topk.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
