@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .components import connected_components
 from .hashing import U64, gram_hashes, mix64, sequence_hash, string_buffer, word_hashes
-from .workspace import materialize
+from .workspace import bound_batches, materialize
 
-#: Text bytes that a task packs together, and text bytes for each part.
+#: Bytes of n-grams that a task packs together, and text bytes for each part.
 FLUSH_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Occurrences within one packing from which an n-gram counts as common.
 COMMON = 8
 #: Rarity classes; the last one holds all n-grams in so many sets or more, and the common ones.
@@ -148,7 +148,7 @@ def _scan(words_per_gram: int, parts: int, seed: int):
                         grams.append(own)
                         keys.append(key)
                         held += 8 * len(own)
-                if held >= FLUSH_BYTES * 2:
+                if held >= FLUSH_BYTES:
                     yield from flush().to_batches()
                     held = 0
             signed = [[None if d[k] is None else d[k] - (1 << 64) * (d[k] >> 63) for d in docs] for k in (0, 1)]
@@ -253,9 +253,9 @@ def _verify(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
-            a, b, na, nb, sa, sb, i, j, xs, ys = (batch.column(k).to_pylist() for k in range(10))
+            a, b, na, nb, sa, sb, i, j = (batch.column(k).to_pylist() for k in range(8))
             for r in range(batch.num_rows):
-                x, y = np.frombuffer(xs[r], U64), np.frombuffer(ys[r], U64)
+                x, y = (np.frombuffer(batch.column(k)[r].as_buffer(), U64) for k in (8, 9))
                 both = na[r] + nb[r]
                 need = -(-numerator * both // (numerator + denominator))
                 apart = both - 2 * need
@@ -294,6 +294,7 @@ def similar_components(
     empty table gives an empty result; other columns are ignored.  Sets are
     compared by 56-bit hashes of their n-grams.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // PART_BYTES))
