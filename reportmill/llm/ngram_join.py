@@ -11,10 +11,11 @@ Plan
    come first, so a set whose prefix holds only single n-grams has no partner;
    the rest keep their shared n-grams, sorted by rarity, and post their prefix.
 4. Postings meet on the n-gram.  First every set is compared with the best
-   shortest-set leader and the best neighbour it meets, which ties groups of near
-   copies together with a number of comparisons in proportion to their
-   members; then all pairs that are still in different components are.  Each pair passes the length,
-   positional and suffix filters and is verified once.
+   leader (the shortest set of an n-gram) and the best neighbour it meets, which
+   ties most near copies together with comparisons in proportion to their
+   number.  Then everything that may still join two components is compared: in
+   small groups pair by pair, after the length, positional and suffix filters;
+   in groups of many near copies block by block, after the length filter.
 
 An n-gram that is very common within one task is known there to be shared, so
 its postings skip step 2 and sort behind all others: no part ever gathers the
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .components import connected_components
 from .hashing import U64, gram_hashes, mix64, sequence_hash, string_buffer, word_hashes
@@ -40,6 +41,9 @@ PART_BYTES = 8 << 20
 COMMON = 8
 #: Rarity classes; the last one holds all n-grams in so many sets or more, and the common ones.
 RAREST_LAST = 255
+#: Members up to which a group of components is compared pair by pair; sets in a block beyond that.
+PAIRWISE = 64
+BLOCK = 256
 TOKENS, COMMON_TOKENS, SHARED, SIZES, ROW, SET = range(6)
 
 
@@ -211,7 +215,6 @@ def _gather(numerator: int, denominator: int):
         pick = lambda k, c: b"".join(table.filter(pa.array(kind == k)).column(c).to_pylist())
         key, size = np.frombuffer(pick(SIZES, "a"), U64), np.frombuffer(pick(SIZES, "b"), np.int64)
         owner = np.frombuffer(pick(SHARED, "b"), U64)
-        id_type = table.schema.field("id").type
         rows = []
         if len(owner):
             key, at = np.unique(key, return_index=True)
@@ -233,7 +236,7 @@ def _gather(numerator: int, denominator: int):
                         prefix = own[: len(own) - need + 1]
                         rows.append((0, SET, own.tobytes(), prefix.tobytes(), None, None, int(key[w].astype(np.int64)), None, int(size[w]), int(size[w]) - len(own)))
         rest = table.filter(pa.array(kind == ROW))
-        return pa.concat_tables([_table(rows, id_type), rest.cast(_table([], id_type).schema)])
+        return pa.concat_tables([_table(rows, table.schema.field("id").type), rest.cast(_table([], table.schema.field("id").type).schema)])
 
     return run
 
@@ -347,16 +350,104 @@ def _join(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     best = met.groupBy("a", "side").agg(F.max(F.struct("m", "b", "at")).alias("top")).select("a", F.col("top.b").alias("b"), F.col("top.at.i").alias("i"), F.col("top.at.j").alias("j"))
     links = materialize(_verified(best.dropDuplicates(["a", "b"]), sets, numerator, denominator), "links")
     comps = connected_components(links)
-    # Every pair that still lies in different components and passes the filters.
+    # What may still link lies in one gram and in different components; grams tie such components into groups.
     posts = posts.join(comps, posts.key == comps.node, "left").select("gram", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
     posts = materialize(posts, "posts")
-    sizes = posts.groupBy("gram", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1").select("gram", F.col("top.comp").alias("most"))
-    open_posts = posts.join(mixed, "gram")
-    fewer = open_posts.where("comp <> most").select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
-    every = open_posts.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"), (F.col("comp") == F.col("most")).alias("in_most"))
-    pairs = fewer.join(every, "gram").where((F.col("ca") != F.col("cb")) & (F.col("in_most") | (F.col("a") < F.col("b"))) & near)
-    pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.when(F.col("a") < F.col("b"), F.struct("i", "j")).otherwise(F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("at"))
-    pairs = materialize(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "at.i", "at.j"), "pairs")
-    more = materialize(_verified(pairs, sets, numerator, denominator), "links")
+    mixed = posts.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram", "low")
+    open_posts = materialize(posts.join(mixed, "gram"), "open")
+    ties = connected_components(open_posts.where("comp <> low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct())
+    ties = ties.select(F.col("node").alias("comp"), F.col("comp").alias("group"))
+    members = posts.select("key", "n", "comp").distinct().join(ties, "comp")
+    members = materialize(members, "members")
+    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
+    few = sizes.where(F.col("members") <= PAIRWISE).select("group")
+    more = _by_pairs(open_posts.join(ties.join(few, "group").select("comp"), "comp"), sets, near, numerator, denominator)
+    more = more.union(_by_blocks(members.join(few, "group", "left_anti"), sets, numerator, denominator))
+    more = materialize(more, "links")
     return connected_components(links.union(more)) if more.limit(1).count() else comps
+
+
+def _by_pairs(posts: DataFrame, sets: DataFrame, near: Column, numerator: int, denominator: int) -> DataFrame:
+    """Links across components in small groups: pairs that share a gram and pass the filters, each verified once."""
+    one = posts.select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
+    two = posts.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"))
+    pairs = one.join(two, "gram").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near)
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("at")).select("a", "b", "at.i", "at.j")
+    return _verified(materialize(pairs, "pairs"), sets, numerator, denominator)
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    lists = [r["grams"] for r in rows]
+    column = lambda c: np.array([r[c] for r in rows], np.int64).tobytes()
+    n = [r["n"] for r in rows]
+    return pa.table({"group": pa.array([rows[0]["group"]], pa.int64()), "block": pa.array([rows[0]["block"]], pa.int64()), "low": pa.array([min(n)], pa.int64()), "high": pa.array([max(n)], pa.int64()), "keys": [column("key")], "comps": [column("comp")], "ns": [column("n")], "lengths": [np.array([len(x) // 8 for x in lists], np.int64).tobytes()], "grams": [b"".join(lists)]})
+
+
+def overlaps(x: np.ndarray, x_row: np.ndarray, y: np.ndarray, y_row: np.ndarray, shape: tuple[int, int], width: int = 2048) -> np.ndarray:
+    """Common members of every set of one block with every set of another, from (member, set number) columns."""
+    both = np.intersect1d(x, y)
+    out = np.zeros(shape, np.float32)
+    for at in range(0, len(both), width):
+        part = both[at : at + width]
+        sides = []
+        for members, rows, n in ((x, x_row, shape[0]), (y, y_row, shape[1])):
+            place = np.searchsorted(part, members)
+            place[place == len(part)] = 0
+            hit = part[place] == members
+            dense = np.zeros((n, len(part)), np.float32)
+            dense[rows[hit], place[hit]] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _verify_blocks(numerator: int, denominator: int):
+    """Block pairs to links that join different components, no more of them than join anything."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                side = {}
+                for s in "xy":
+                    keys, comps, ns, lengths = (np.frombuffer(r[f"{s}_{c}"], np.int64) for c in ("keys", "comps", "ns", "lengths"))
+                    side[s] = keys, comps, ns, np.frombuffer(r[f"{s}_grams"], U64), np.repeat(np.arange(len(keys)), lengths)
+                (xk, xc, xn, xg, xr), (yk, yc, yn, yg, yr) = side["x"], side["y"]
+                common = overlaps(xg, xr, yg, yr, (len(xk), len(yk)))
+                link = (denominator * common >= numerator * (xn[:, None] + yn[None, :] - common)) & (xc[:, None] != yc[None, :])
+                parent: dict[int, int] = {}
+
+                def root(v: int, parent: dict[int, int] = parent) -> int:
+                    while parent.setdefault(v, v) != v:
+                        parent[v] = v = parent[parent[v]]
+                    return v
+
+                out = []
+                for i, j in zip(*np.nonzero(link), strict=True):
+                    a, b = root(int(xc[i])), root(int(yc[j]))
+                    if a != b:
+                        parent[a] = b
+                        out.append((int(xk[i]), int(yk[j])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _by_blocks(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links across components in large groups, such as thousands of near copies.
+
+    The members are dealt by size into blocks; block pairs that the length
+    filter leaves are compared as a whole, so that neither pairs nor unbounded
+    groups become rows.  Every pair lies in one block pair.
+    """
+    order = Window.partitionBy("group").orderBy("n", "key")
+    dealt = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    rows = dealt.join(sets.select("key", "grams"), "key").select("group", "block", "key", "comp", "n", "grams")
+    schema = "group long, block long, low long, high long, keys binary, comps binary, ns binary, lengths binary, grams binary"
+    blocks = materialize(rows.groupBy("group", "block").applyInArrow(_pack, schema), "blocks")
+    x, y = (blocks.select("group", F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("low", "high")]) for s in "xy")
+    pairs = x.join(y, "group").where((F.col("x_block") <= F.col("y_block")) & (F.lit(denominator) * F.col("x_high") >= F.lit(numerator) * F.col("y_low"))).select("group", "x_block", "y_block")
+    data = ("keys", "comps", "ns", "lengths", "grams")
+    for s in "xy":
+        pairs = pairs.join(blocks.select("group", F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in data]), ["group", f"{s}_block"])
+    return pairs.select(*[f"{s}_{c}" for s in "xy" for c in data]).mapInArrow(_verify_blocks(numerator, denominator), "a long, b long")
