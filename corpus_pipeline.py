@@ -32,9 +32,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    others = [c for c in docs.columns if c != "doc_id"]
-    scored = quality.score(docs, model, keep=tuple(others))
-    return scored.where("predicted = 1").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scored = quality.score(rows, model, keep=("row",)).where("predicted = 1")
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

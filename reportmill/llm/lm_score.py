@@ -131,7 +131,7 @@ def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind:
         sizes = np.diff(first)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         known: dict[int, dict[int, bytes]] = {}
-        for r in replies.select(["part", "n", "counts"]).to_pylist():
+        for r in replies.select(["part", "n", "counts"]).to_pylist() if replies.num_rows else ():
             known.setdefault(r["n"], {})[r["part"]] = r["counts"]
         left = []
         for n, own in enumerate(grams, 1):
@@ -148,7 +148,7 @@ def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind:
             seen = left[n - 1] > 0
             can = grams[n - 1] != 0
             scores = np.where(seen, np.log(np.maximum(left[n - 1], 1) / np.maximum(context, 1)), np.where(can, np.log(backoff) + scores, scores))
-        sums = np.bincount(doc, scores, minlength=len(sizes))
+        sums = np.bincount(doc, scores, minlength=len(sizes)).astype(np.float64)
         return pa.table([texts.column(1), pa.array(sizes.astype(np.int64)), pa.array(sums)], names=["id", "n_words", "log_score"])
 
     return run

@@ -74,6 +74,12 @@ def _table(rows: list[tuple], id_type: pa.DataType) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _joined(rows: list[tuple], rest: pa.Table) -> pa.Table:
+    """New rows before passed-on ones, in the schema of the latter."""
+    new = _table(rows, rest.schema.field("id").type)
+    return pa.concat_tables([pa.Table.from_arrays([pa.nulls(len(rows), f.type) if f.name == "id" else new.column(f.name) for f in rest.schema], schema=rest.schema), rest])
+
+
 def _route(x: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return ((x >> U64(bits - 32)) * U64(parts) >> U64(32)).astype(np.int32)
 
@@ -202,7 +208,7 @@ def _count(parts: int):
             for p, at in _by_part(_route(owner, parts, 64)):
                 rows.append((p, SHARED, _pack7(token[at]), owner[at].tobytes(), count[at].tobytes(), None, None, None, None, None))
         rest = table.filter(pa.array(kind >= SHARED))
-        return pa.concat_tables([_table(rows, table.schema.field("id").type), rest.cast(_table([], table.schema.field("id").type).schema)])
+        return _joined(rows, rest)
 
     return run
 
@@ -236,7 +242,7 @@ def _gather(numerator: int, denominator: int):
                         prefix = own[: len(own) - need + 1]
                         rows.append((0, SET, own.tobytes(), prefix.tobytes(), None, None, int(key[w].astype(np.int64)), None, int(size[w]), int(size[w]) - len(own)))
         rest = table.filter(pa.array(kind == ROW))
-        return pa.concat_tables([_table(rows, table.schema.field("id").type), rest.cast(_table([], table.schema.field("id").type).schema)])
+        return _joined(rows, rest)
 
     return run
 

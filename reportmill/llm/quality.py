@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .hashing import U64, gram_hashes, mix64, string_buffer, word_hashes
 from .sizes import BROADCAST_ROWS
@@ -194,7 +194,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
 
     taken = docs.select(F.col(id_col).alias("_0"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep, 1)], F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"_{i} {taken.schema[i].dataType.simpleString()}" for i in range(len(keep) + 1)) + ", score double"
-    out = taken.mapInArrow(run, schema)
+    out = taken.mapInArrow(run, T.StructType([*taken.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
     out = out.select(F.col("_0").alias(id_col), *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep, 1)], "score")
     return out.select(id_col, *keep, (fold(id_col) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
