@@ -110,7 +110,7 @@ def clean_urls(piped: Column) -> Column:
 
 def label_list(piped: Column) -> Column:
     """Labels of a pipe-joined set; blank entries are left out, null is empty."""
-    return F.filter(F.transform(F.split(F.coalesce(piped, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(piped, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def json_object(text: Column) -> Column:

@@ -36,7 +36,7 @@ def json_arrays(spark: SparkSession, paths: list[str], schema: T.StructType | st
     """Rows of JSON array files, with ``source_file`` and ``position`` (root, file name, place in the file)."""
     out = None
     for i, p in enumerate(paths):
-        files = spark.read.option("wholetext", True).text(p).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
+        files = spark.read.text(p, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
         kind = schema if isinstance(schema, str) else schema.simpleString()
         rows = files.select("source_file", F.posexplode(F.from_json("value", f"array<{kind if kind.startswith('struct') else f'struct<{kind}>'}>")).alias("at", "row"))
         rows = rows.select("row.*", "source_file", F.struct(F.lit(i).alias("root"), F.col("source_file").alias("file"), "at").alias("position"))
@@ -80,7 +80,7 @@ def join_thread(rows: DataFrame, key: str, order: list[str], part: str, joint: s
 
 def diffs(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, changed_files, bytes) of diff files."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), changed_files(F.col("value")).alias("changed_files"), F.octet_length("value").alias("bytes"))
 
 
