@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .tables import exists
@@ -45,3 +50,13 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
 def blind_and_review(df: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:
     """(blind, review): the same rows without and with the hidden columns."""
     return df.drop(*hidden), df
+
+
+def bundle(root: str, files: list[str], target: str) -> dict[str, str]:
+    """Zip the listed files below a local ``root`` with a MANIFEST.json of their digests; missing ones are an error."""
+    digests = {f: hashlib.sha256((Path(root) / f).read_bytes()).hexdigest() for f in sorted(files)}
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in digests:
+            out.write(Path(root) / f, f)
+        out.writestr("MANIFEST.json", json.dumps(digests, indent=1, sort_keys=True))
+    return digests

@@ -1,6 +1,7 @@
 """Readers, writers, scorers and streams on small files."""
 
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,16 @@ def test_sinks(spark, tmp_path):
     assert again.count() == 2
 
 
+def test_bundle(tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    digests = sinks.bundle(str(tmp_path), ["a.txt"], str(tmp_path / "out.zip"))
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert json.loads(z.read("MANIFEST.json")) == digests
+        assert z.read("a.txt") == b"x"
+    with pytest.raises(FileNotFoundError):
+        sinks.bundle(str(tmp_path), ["none"], str(tmp_path / "bad.zip"))
+
+
 def stub(prompt: str) -> str:
     if "boom" in prompt:
         raise RuntimeError("retry in 0s")
