@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sizes import small
 from .workspace import bound_batches, materialize
 
 BUCKET = 8192
@@ -146,15 +147,18 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     by_length = rows.select(*wanted).repartitionByRange(max(1, -(-counts.n // BUCKET)), F.col("norm").desc(), "row_no").sortWithinPartitions(F.col("norm").desc(), "row_no")
     buckets = materialize(by_length.mapInArrow(_blocks(width, BUCKET), schema).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     asked = rows.where("is_query").select(*wanted).repartitionByRange(max(1, -(-counts.q // QUERY_BLOCK)), F.col("norm").desc(), "row_no").sortWithinPartitions(F.col("norm").desc(), "row_no")
-    queries = asked.mapInArrow(_blocks(width, QUERY_BLOCK), schema).withColumn("q_block", F.monotonically_increasing_id())
-    queries = materialize(queries.select("q_block", *[F.col(c).alias(f"q_{c}") for c in ("top", "ids", "row_nos", "matrix", "norms")]), "queries")
-    blocks = [r[0] for r in queries.select("q_block").collect()]  # a block number for each QUERY_BLOCK queries
+    queries = asked.mapInArrow(_blocks(width, QUERY_BLOCK), schema).withColumn("q_raw", F.monotonically_increasing_id())
+    queries = materialize(queries.select("q_raw", *[F.col(c).alias(f"q_{c}") for c in ("top", "ids", "row_nos", "matrix", "norms")]), "queries")
+    # Numbers from 0 for the blocks, one row for each QUERY_BLOCK queries.
+    numbered = materialize(queries.select("q_raw", (F.row_number().over(Window.orderBy("q_raw")) - 1).cast("long").alias("q_block")), "query_blocks")
+    n_blocks = numbered.count()
+    queries = queries.join(small(numbered), "q_raw").drop("q_raw")
     found_schema = "query_id long, q_no long, vec_id long, score long"
-    if not blocks:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not n_blocks:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def meet(some: DataFrame, floors: DataFrame | None) -> DataFrame:
-        pairs = some.select("bucket", "top").withColumn("q_block", F.explode(F.array(*[F.lit(b) for b in blocks])))
+        pairs = some.select("bucket", "top").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
         if floors is None:
             pairs = pairs.withColumn("q_floor", F.lit(None).cast("binary"))
         else:  # the least length with which a bucket can reach any query of the block
