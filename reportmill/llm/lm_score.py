@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import U64, gram_hashes, string_buffer, word_hashes
 from .workspace import bound_batches
@@ -49,14 +50,18 @@ def _parts(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+def _pack(values: np.ndarray, part: int, parts: int) -> bytes:
+    """Sorted hashes of one part as gaps of 40 bits, byte plane by byte plane; the empty planes compress to nothing."""
+    base = ((part << 32) + parts - 1) // parts
+    near = (values - (U64(base) << U64(32))) >> U64(max(0, 64 - (parts.bit_length() - 1) - 8 * HASH_BYTES))
+    gaps = np.diff(near, prepend=U64(0)).astype("<u8")
+    return gaps.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].T.tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-    return out.reshape(-1).view("<u8")
+    out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(HASH_BYTES, -1).T
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=U64)
 
 
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +91,7 @@ def _ask(order: int, parts: int):
             for p in range(parts):
                 a, b = bounds[p], bounds[p + 1]
                 if b > a:
-                    rows.append((p, group, n, _pack(values[a:b]), _small(counts[a:b])))
+                    rows.append((p, group, n, _pack(values[a:b], p, parts), _small(counts[a:b])))
         return _table(rows)
 
     return run
@@ -185,8 +190,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     row = "part int, doc_group int, n int, grams binary, counts binary"
     asked = texts.groupBy("doc_group").applyInArrow(_ask(order, parts), row)
     replies = asked.groupBy("part").applyInArrow(_sum, row)
-    from pyspark.sql.pandas.types import to_arrow_type
-
     answer = _answer(order, parts, backoff, words, to_arrow_type(docs.schema[id_col].dataType))
     out = texts.groupBy("doc_group").cogroup(replies.groupBy("doc_group")).applyInArrow(answer, f"id {kind}, n_words long, log_score double")
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("score"))
