@@ -22,7 +22,7 @@ from .workspace import bound_batches
 
 #: Hashed indicator space; labelled rows used at most; passes over them.
 BITS = 20
-SAMPLE = 20_000
+SAMPLE = 8_000
 EPOCHS = 12
 THRESHOLD = 0.3
 
@@ -77,7 +77,7 @@ class Model:
     shift: float
 
     def margin(self, ids: np.ndarray) -> float:
-        return float(self.weights[ids].sum() / np.sqrt(len(ids)) + self.bias)
+        return float(self.weights[ids].sum(dtype=np.float64) / np.sqrt(len(ids)) + self.bias)
 
     def score(self, ids: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(ids) + self.shift, -30, 30))))
@@ -93,15 +93,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, epochs: i
     share = float(labels.mean()) if len(labels) else 0.5
     if len(labels) < 10 or share in (0.0, 1.0):
         odds = np.log((share * len(labels) + 1) / ((1 - share) * len(labels) + 1))
-        return Model(np.zeros(1 << BITS), 0.0, 0.0, float(odds))
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(odds))
     order = np.random.default_rng(seed).permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
     counts = np.ones((2, 1 << BITS))
     for i in used:
         counts[labels[i], rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = {i: ratio[rows[i]] / np.sqrt(len(rows[i])) for i in used}
-    norm = {i: float(v @ v) + 1.0 for i, v in values.items()}
+    del counts
+    norm = {i: float((ratio[rows[i]] ** 2).mean()) + 1.0 for i in used}
     weights, bias, alpha = np.zeros(1 << BITS), 0.0, dict.fromkeys(used, 0.0)
     sign = 2 * labels - 1
     top = {c: cost * len(used) / (2 * max(1, int((labels[used] == c).sum()))) for c in (0, 1)}
@@ -109,7 +109,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, epochs: i
     for _ in range(epochs):
         moved = 0.0
         for i in draw.permutation(used):
-            ids, x, y = rows[i], values[i], sign[i]
+            ids, y = rows[i], sign[i]
+            x = ratio[ids] / np.sqrt(len(ids))
             slope = y * (weights[ids] @ x + bias) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), top[int(labels[i])])
             if new != alpha[i]:
@@ -120,7 +121,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, epochs: i
                 alpha[i] = new
         if moved < 1e-4 * len(used):
             break
-    model = Model(weights * ratio, bias, 1.0, 0.0)
+    model = Model((weights * ratio).astype(np.float32), bias, 1.0, 0.0)
     z = np.array([model.margin(rows[i]) for i in held])
     return Model(model.weights, bias, *_line(z, labels[held]))
 
@@ -150,8 +151,8 @@ def _in_slices(column: pa.Array, rows: int = 256) -> Iterator[np.ndarray]:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [x.astype("<i4").tobytes() for x in _in_slices(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["label", "ids"])
+        ids = [x.astype("<i4").tobytes() for x in _in_slices(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["place", "label", "ids"])
 
 
 def fold(id_col: str) -> Column:
@@ -170,10 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(id_col) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"), F.max(label_col).alias("_high")).where("_label = _high")
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", "_label")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select("_label", "_text")
-    got = texts.mapInArrow(_learn, "label int, ids binary").toArrow()
-    order = sorted((bytes(b), a) for a, b in zip(got.column("label").to_pylist(), got.column("ids").to_pylist(), strict=True))
-    return fit([np.frombuffer(b, "<i4").astype(np.int64) for b, _ in order], np.array([a for _, a in order]), cost=cost)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select(F.xxhash64("_id", "_text").alias("_place"), "_label", "_text")
+    got = texts.mapInArrow(_learn, "place long, label int, ids binary").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit([], np.zeros(0, np.int64), cost=cost)
+    packed = got.column("ids").chunk(0)
+    cuts = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    ids = np.frombuffer(packed.buffers()[2], "<i4")
+    order = np.argsort(got.column("place").to_numpy(), kind="stable")  # the rows' own order, whichever task sent them
+    return fit([ids[cuts[k] : cuts[k + 1]] for k in order], got.column("label").to_numpy()[order], cost=cost)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
