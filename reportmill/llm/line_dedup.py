@@ -4,6 +4,10 @@ A rolling hash over the last lines' hashes decides where a chunk ends, so the
 boundaries move along with the lines when something is put in before them.
 Chunks of several lines that occur more than once are compared byte by byte
 with their first occurrence, and go wherever they are the same again.
+
+Chunks lose what repeats only in part of a chunk.  ``dedup_passages`` compares
+the shortest runs that begin or end at each line instead; together these cover
+every line of every repeated passage, wherever it stands.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ MODULUS = 2
 LEAST_LINES = 2
 #: Chunks of fewer bytes (blank lines, single short words) stay.
 LEAST_BYTES = 40
+#: A line of more words is a passage by itself.
+LONG_WORDS = 50
+#: Rows that a Python worker holds before it passes them on.
+ROWS = 20_000
 _FACTOR = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -115,3 +123,120 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = again.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("chunk")).alias("gone"))
     cleaned = rows.join(gone, ["r1", "r2"], "left").select("id", "text", "gone").mapInArrow(_clean, f"id {kind}, n_lines long, n_removed long, words_removed long, text string")
     return cleaned.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+
+
+def passage_spans(lines: list[bytes]) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs of LEAST_LINES lines and LEAST_BYTES bytes that begin or end at a line, and of each long line.
+
+    A line of any longer run of lines lies in one of these that lies in the run.
+    """
+    n = len(lines)
+    sizes = [len(x) + 1 for x in lines]
+    spans = {(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG_WORDS and len(x.decode().split()) > LONG_WORDS}
+    end = total = 0
+    for i in range(n):
+        while end < n and (end - i < LEAST_LINES or total <= LEAST_BYTES):
+            total += sizes[end]
+            end += 1
+        if end - i < LEAST_LINES or total <= LEAST_BYTES:
+            break
+        spans.add((i, end))
+        total -= sizes[i]
+    start, total = n, 0
+    for j in range(n, 0, -1):
+        while start > 0 and (j - start < LEAST_LINES or total <= LEAST_BYTES):
+            start -= 1
+            total += sizes[start]
+        if j - start < LEAST_LINES or total <= LEAST_BYTES:
+            break
+        spans.add((start, j))
+        total -= sizes[j - 1]
+    return sorted(spans)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, id, row key, span) of each span of (id, row key, text)."""
+    for batch in batches:
+        keys, at, spans = [], [], []
+
+        def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            pair = memoryview(b"".join(keys)).cast("q")
+            took = pa.array(at, pa.int32())
+            columns = [pa.array(pair[0::2].tolist(), pa.int64()), pa.array(pair[1::2].tolist(), pa.int64()), *(batch.column(c).take(took) for c in range(3)), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "id", "r1", "r2", "a", "b"])
+
+        for i, text in enumerate(batch.column(3)):
+            lines = (text.as_py() or b"").split(b"\n")
+            for a, b in passage_spans(lines):
+                keys.append(hashlib.blake2b(b"\n".join(lines[a:b]), digest_size=16).digest())
+                at.append(i)
+                spans.append((a, b))
+                if len(at) >= ROWS:
+                    yield out()
+                    keys.clear(), at.clear(), spans.clear()
+        yield out()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, row key, span, is_first, text) of the wanted spans of (row key, text, wanted)."""
+    names = ["k1", "k2", "r1", "r2", "a", "b", "is_first", "piece"]
+    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
+    for batch in batches:
+        rows, held = [], 0
+        for r1, r2, text, wanted in zip(*(batch.column(c) for c in range(4)), strict=True):
+            lines = text.as_py().split(b"\n")
+            for w in wanted.as_py():
+                piece = b"\n".join(lines[w["a"] : w["b"]])
+                rows.append((w["k1"], w["k2"], r1.as_py(), r2.as_py(), w["a"], w["b"], w["is_first"], piece))
+                held += len(piece)
+                if len(rows) >= ROWS or held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_lines, n_removed, words_removed, text) of (id, text, gone)."""
+    for batch in batches:
+        texts, lines_in, lines_gone, words_gone = [], [], [], []
+        for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+            text, gone = text.as_py(), gone.as_py() or ()
+            lines = text.split("\n") if text else []
+            drop = {i for g in gone for i in range(g["a"], g["b"])}
+            texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
+            lines_in.append(len(lines))
+            lines_gone.append(len(drop))
+            words_gone.append(sum(len(lines[i].split()) for i in drop))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines_in, pa.int64()), pa.array(lines_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_lines", "n_removed", "words_removed", "text"])
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, as by ``dedup_lines``, text without any repeated passage.
+
+    A passage is a run of LEAST_LINES lines and LEAST_BYTES bytes at least, or a
+    line of more than LONG_WORDS words.  A line goes if it lies in a passage
+    that occurs, the same byte for byte, at an earlier place by id and place in
+    the text (null ids first); so an equal line is always left at an earlier one.
+
+    Defined cases: a null text stays null with 0 lines; a text of which all
+    lines go is empty; the rest as in ``dedup_lines``.
+    """
+    bound_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("r2"), text.alias("text"))
+    raw = F.encode("text", "UTF-8").alias("text")
+    place = F.struct("id", "r1", "r2", "a", "b")
+    spans = rows.select("id", "r1", "r2", raw).mapInArrow(_passages, f"k1 long, k2 long, id {kind}, r1 long, r2 long, a int, b int")
+    repeats = spans.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first")
+    repeats = materialize(repeats, "repeats")
+    found = spans.join(repeats, ["k1", "k2"]).select("k1", "k2", "r1", "r2", "a", "b", (place.eqNullSafe(F.col("first"))).alias("is_first"))
+    wanted = found.groupBy("r1", "r2").agg(F.collect_set(F.struct("k1", "k2", "a", "b", "is_first")).alias("wanted"))
+    texts = rows.join(wanted, ["r1", "r2"]).select("r1", "r2", raw, "wanted")
+    pieces = materialize(texts.mapInArrow(_pieces, "k1 long, k2 long, r1 long, r2 long, a int, b int, is_first boolean, piece binary"), "occurrences")
+    firsts = pieces.where("is_first").select("k1", "k2", F.col("piece").alias("model")).dropDuplicates(["k1", "k2"])
+    again = pieces.where("not is_first").join(firsts, ["k1", "k2"]).where("piece = model")
+    gone = again.groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    cleaned = rows.join(gone, ["r1", "r2"], "left").select("id", "text", "gone").mapInArrow(_without, f"id {kind}, n_lines long, n_removed long, words_removed long, text string")
+    return cleaned.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)

@@ -211,6 +211,42 @@ def test_line_dedup_hard(spark):
     assert line_dedup.dedup_lines(hard(spark).limit(0)).count() == 0
 
 
+def passages_by_hand(rows):
+    """Every run of two lines and 40 bytes, and every line of over 50 words, that stands at an earlier place goes."""
+    seen, want = set(), {}
+    for i, text, *_ in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = "\n".join(lines[a:b])
+                if (b - a >= 2 and len(run.encode()) >= 40) or (b - a == 1 and len(run.split()) > 50):
+                    if run in seen:
+                        gone |= set(range(a, b))
+                    seen.add(run)
+        want[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return want
+
+
+def test_passages_of_any_length_go_whole(spark):
+    draw = random.Random(10)
+    line = lambda n: " ".join(f"v{draw.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for n, k in ((1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (60, 1)):
+        for _ in range(5):
+            passage = [line(k) for _ in range(n)]
+            for _ in range(2):
+                rows.append((len(rows), "\n".join([line(9), *passage, line(9)]), "en", "s", 0))
+    rows.append((len(rows), rows[0][1].split("\n")[1], "en", "s", 0))
+    short = ["", "a", "é", "x" * 39, "line of text"]
+    rows += [(len(rows) + i, "\n".join(draw.choice(short) for _ in range(12)), "en", "s", 0) for i in range(30)]
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(docs(spark, rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == passages_by_hand(rows)
+    assert all(got[i].n_lines - got[i].n_removed == (3 - 1 if i % 2 else got[i].n_lines) for i in range(60))
+    hard_got = line_dedup.dedup_passages(hard(spark)).collect()
+    assert Counter((r.doc_id, r.text) for r in hard_got) == Counter((r[0], r[1]) for r in HARD)
+    assert line_dedup.dedup_passages(hard(spark).limit(0)).count() == 0
+
+
 # Language model.
 
 
