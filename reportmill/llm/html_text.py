@@ -1,10 +1,12 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page is a row of tokens: words score positive, tags negative, words inside
-menus, notices and the like negative as well.  The weights are log-odds from
-labelled pages, those whose own markup names one main region.  One linear scan
-finds the contiguous region of highest sum; its text, without what belongs to
-other parts of the page, is the main text.
+A page is a row of tokens: words score positive, tags negative, words and tags
+inside menus, notices and the like nothing, as they are left out anyway.  The
+weights are log-odds from labelled pages, those whose own markup names one main
+region; a tag costs a part of a word at most, so that a block of one word earns
+more than its own tags cost.  One linear scan finds the contiguous region of
+highest sum; its text, without what belongs to other parts of the page, is the
+main text.
 """
 
 from __future__ import annotations
@@ -43,8 +45,9 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 TEXT, TAG = 0, 1
 #: Weights where no page is labelled.
-DEFAULTS = {"word": 0.6, "link": 0.1, "part": -0.6}
-DEFAULT_TAG = -0.6
+DEFAULTS = {"word": 0.6, "link": 0.1, "part": 0.0}
+#: The most that a block or an inline tag costs, as a share of what a word earns.
+BLOCK_SHARE, INLINE_SHARE = 0.2, 0.05
 
 
 def _is_part(name: str, rest: str) -> bool:
@@ -92,11 +95,13 @@ def tokens(page: str) -> list[list]:
 
 
 def _kind(token: list) -> str:
+    if token[3]:
+        return "part"
     if token[0] == TAG:
         name = token[1]
         bare = name.removeprefix("/")
         return f"<{name}>" if bare in BLOCKS or bare in INLINE or bare in RAW or bare in VOID else "<other>"
-    return "part" if token[3] else "link" if token[2] else "word"
+    return "link" if token[2] else "word"
 
 
 def count_kinds(page: str) -> Counter:
@@ -111,22 +116,27 @@ def count_kinds(page: str) -> Counter:
     return counts
 
 
+def _most(kind: str, weight: dict[str, float]) -> float:
+    """What a tag costs at most."""
+    return weight["word"] * (INLINE_SHARE if kind.strip("</>") in INLINE else BLOCK_SHARE)
+
+
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log-odds of each kind of token inside the main region, held above 0 for words and below 0 for tags."""
+    """Log-odds of each kind of token inside the main region, held above 0 for words and a little below 0 for tags."""
     inside = sum(n for (_, i), n in counts.items() if i)
     outside = sum(n for (_, i), n in counts.items() if not i)
     out = dict(DEFAULTS)
     if not inside or not outside:
         return out
-    for kind in {k for k, _ in counts}:
-        odds = math.log((counts.get((kind, True), 0) + 0.5) / (inside + 1)) - math.log((counts.get((kind, False), 0) + 0.5) / (outside + 1))
+    odds = {k: math.log((counts.get((k, True), 0) + 0.5) / (inside + 1)) - math.log((counts.get((k, False), 0) + 0.5) / (outside + 1)) for k, _ in counts}
+    if "word" in odds:
+        out["word"] = max(0.1, min(2.0, odds["word"]))
+    if "link" in odds:
+        out["link"] = max(0.05, min(0.3, odds["link"]))
+    for kind in odds:
         if kind.startswith("<"):
-            inline = kind.strip("</>") in INLINE
-            out[kind] = min(-0.1, max(-0.5 if inline else -4.0, odds))
-        elif kind == "part":
-            out[kind] = min(-0.1, max(-2.0, odds))
-        else:
-            out[kind] = max(0.1, min(2.0, odds)) if kind == "word" else max(0.05, min(0.3, odds))
+            most = _most(kind, out)
+            out[kind] = min(-0.2 * most, max(-most, odds[kind]))
     return out
 
 
@@ -148,7 +158,12 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     scores = []
     for t in found:
         kind = _kind(t)
-        scores.append(weight.get(kind, DEFAULT_TAG if t[0] == TAG else 0.0) * (len(t[1].split()) if t[0] == TEXT else 1))
+        if t[3]:
+            scores.append(0.0)
+        elif t[0] == TEXT:
+            scores.append(weight[kind] * len(t[1].split()))
+        else:
+            scores.append(weight[kind] if kind in weight else -_most(kind, weight))
     a, b = best_region(scores)
     pieces = []
     for t in found[a:b]:

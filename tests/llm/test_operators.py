@@ -153,6 +153,25 @@ def test_main_text():
     assert html_text.main_text(None, weight) == ""
 
 
+def test_main_text_keeps_all_of_the_article():
+    """Lists of short items and what stands before a box in the article stay, with weights from pages that have lists in their menus only."""
+    say = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    menu = "<nav><ul>" + "<li><a href=/x>Menu</a></li>" * 9 + "</ul></nav><div>short note</div><ul><li>loose item</li></ul>"
+    pages = [f"<html><body>{menu}<article><h1>Head</h1><p>{say(200, 'w')}</p></article><footer>us</footer></body></html>" for _ in range(20)]
+    counts = sum((html_text.count_kinds(p) for p in pages), Counter())
+    items = "".join(f"<li>item n{i}</li>" for i in range(12)) + "<li>last</li>"
+    trailing = f"<div id=x><h1>Head</h1><p>{say(60, 'w')}</p><ul>{items}</ul></div>"
+    leading = f"<div id=x><ul>{items}</ul><p>{say(60, 'w')}</p></div>"
+    boxed = f"<div id=x><h1>Head line</h1><p>{say(30, 'lead')}</p><div class=newsletter><p>{say(45, 'box')}</p><ul><li>one</li></ul></div><p>{say(200, 'w')}</p></div>"
+    listed = " ".join(f"item n{i}" for i in range(12)) + " last"
+    for weight in (html_text.weights(counts), html_text.DEFAULTS):
+        assert html_text.main_text(f"<body>{trailing}<footer>us</footer>", weight) == f"Head {say(60, 'w')} {listed}"
+        assert html_text.main_text(f"<body>{leading}<footer>us</footer>", weight) == f"{listed} {say(60, 'w')}"
+        assert html_text.main_text(f"<body>{boxed}<footer>us</footer>", weight) == f"Head line {say(30, 'lead')} {say(200, 'w')}"
+        menu_page = f"<body><ul>{'<li><a href=/x>Menu</a></li>' * 9}</ul>{trailing}<footer>us</footer>"
+        assert html_text.main_text(menu_page, weight) == f"Head {say(60, 'w')} {listed}"
+
+
 def test_best_region_is_the_best():
     draw = random.Random(1)
     for _ in range(200):
