@@ -759,6 +759,19 @@ def fold_safe_retrieval(spark, sf):
     return features.top_per_query(scores, "query_id", [F.col("score").desc(), "doc_id"], 3)
 
 
+_FOLD_SAFE_WHOLE = _FOLD_SAFE.replace(f"{SQL_TOKENS}[:60]", f"{SQL_TOKENS}[:1200]").replace(" WHERE lang = 'de'", "")
+
+
+@query("OP-108", f"WITH {_FOLD_SAFE_WHOLE}")
+def fold_safe_retrieval_whole(spark, sf):
+    """Over all documents, with the 1,200 tokens of each that retrieval keeps elsewhere."""
+    docs = table(spark, sf, "documents").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    t = features.term_table(docs, "doc_id", tx.tokens_a(F.col("text"), 1200), "fold")
+    asked = t.select(F.col("doc_id").alias("query_id"), "fold", "term")
+    scores = features.bm25(t, asked, "doc_id", "query_id", fold="fold").withColumn("score", F.round("score", 5))
+    return features.top_per_query(scores, "query_id", [F.col("score").desc(), "doc_id"], 3)
+
+
 def _linear(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     t, vocab = _vocabulary(spark, sf_dir)
     placed = vocab.withColumn("idx", F.row_number().over(_by_term()) - 1)
