@@ -130,8 +130,9 @@ def stable_order(key: Column, salt: str) -> Column:
 
 
 def stable_id(prefix: str, number: Column, key: Column) -> Column:
-    """prefix-0001-<first 8 hex digits of the key's SHA-1>."""
-    return F.concat(F.lit(f"{prefix}-"), F.lpad(number.cast("string"), 4, "0"), F.lit("-"), F.substring(F.sha1(key.cast("binary")), 1, 8))
+    """prefix-0001-<first 8 hex digits of the key's SHA-1>; numbers of more than four digits stay whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit(f"{prefix}-"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit("-"), F.substring(F.sha1(key.cast("binary")), 1, 8))
 
 
 def truth_value(label: Column, true_labels: list[str], false_labels: list[str]) -> Column:

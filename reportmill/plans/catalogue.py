@@ -606,7 +606,7 @@ def few_shot_pool(spark, sf):
 
 @query("OP-93 OP-145", "SELECT page_id, 'R-' || lpad(page_id::VARCHAR, 4, '0') || '-' || substr(sha1(url), 1, 8) AS stable_id, sha256('v1|' || url) AS order_key FROM pages WHERE page_id < 10000")
 def stable_ids(spark, sf):
-    return table(spark, sf, "pages").where("page_id < 10000").select("page_id", tx.stable_id("R", F.col("page_id"), F.col("url")).alias("stable_id"), tx.stable_order(F.col("url"), "v1").alias("order_key"))
+    return table(spark, sf, "pages").select("page_id", tx.stable_id("R", F.col("page_id"), F.col("url")).alias("stable_id"), tx.stable_order(F.col("url"), "v1").alias("order_key"))
 
 
 @query("OP-94", f"WITH {REPORTS}, n AS (SELECT a, count(*) AS n FROM reports GROUP BY a), m AS (SELECT max(n) AS m FROM n), r AS (SELECT doc_id, a, row_number() OVER (PARTITION BY a ORDER BY doc_id) AS r FROM reports) SELECT a, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(doc_id)::BIGINT AS id_sum FROM (SELECT r.doc_id, r.a, unnest(range(0, (m.m // n.n + (r.r <= m.m % n.n)::INT)::BIGINT)) AS copy FROM r JOIN n USING (a), m) GROUP BY a")
