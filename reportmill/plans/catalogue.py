@@ -652,20 +652,28 @@ LABELLED = f"""doc AS (SELECT doc_id, quality::VARCHAR AS label, ((row_number()
 occ AS (SELECT doc_id, label, fold, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM doc), terms AS (SELECT doc_id, label, fold, term, count(*) AS tf, min(pos) AS pos FROM occ GROUP BY ALL)"""
 
 
-def labelled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, fold, term, tf, pos) of the labelled documents' first 900 tokens."""
+LABELLED_WHOLE = LABELLED.replace(f"{SQL_TOKENS}[:900]", SQL_TOKENS)
+
+
+def labelled_terms(spark: SparkSession, sf_dir: str, limit: int | None = 900) -> DataFrame:
+    """(doc_id, label, fold, term, tf, pos) of the labelled documents' first ``limit`` tokens, or of all."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
     folded = sampling.kfold(docs, "label", "doc_id")
-    return features.term_table(folded, "doc_id", tx.tokens_a(F.col("text"), 900), "label", "fold")
+    return features.term_table(folded, "doc_id", tx.tokens_a(F.col("text"), limit), "label", "fold")
 
 
 VOCAB = f"{LABELLED}, st AS (SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df, min((doc_id, pos)) AS seen FROM terms WHERE length(term) >= 2 GROUP BY term), vocab AS (SELECT term, tf, df, ln((1.0 + (SELECT count(*) FROM doc)) / (1 + df)) + 1 AS idf FROM st WHERE df >= 2 ORDER BY tf DESC, seen LIMIT 300)"
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: Terms that the published classifiers keep, each in one document at least.
+WIDTH = 1500
+VOCAB_WHOLE = VOCAB.replace("WHERE df >= 2 ORDER BY tf DESC, seen LIMIT 300", f"ORDER BY tf DESC, seen LIMIT {WIDTH}")
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str, width: int = 300, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
     t = labelled_terms(spark, sf_dir)
     n = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").count()
-    return t, features.vocabulary(t, "doc_id", n, 300, min_df=2)
+    return t, features.vocabulary(t, "doc_id", n, width, min_df=min_df)
 
 
 @query("OP-102", f"WITH {VOCAB} SELECT term, tf, df, round(idf, 9) AS idf FROM vocab")
@@ -673,12 +681,28 @@ def tfidf_top_terms(spark, sf):
     return _vocabulary(spark, sf)[1].withColumn("idf", F.round("idf", 9))
 
 
-@query("OP-103", f"WITH {VOCAB}, k AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * idf AS w FROM (SELECT t.doc_id, t.term, t.tf, v.idf FROM terms t JOIN vocab v USING (term))) SELECT doc_id, count(*) AS n_terms, round(max(x), 6) AS top_weight, round(sum(x), 6) AS weight_sum FROM (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM k) GROUP BY doc_id")
+_TFIDF = "k AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * idf AS w FROM (SELECT t.doc_id, t.term, t.tf, v.idf FROM terms t JOIN vocab v USING (term))) SELECT doc_id, count(*) AS n_terms, round(max(x), 6) AS top_weight, round(sum(x), 6) AS weight_sum FROM (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM k) GROUP BY doc_id"
+
+
+@query("OP-103", f"WITH {VOCAB}, {_TFIDF}")
 def tfidf_vectors(spark, sf):
-    t, vocab = _vocabulary(spark, sf)
+    return _tfidf_summary(*_vocabulary(spark, sf))
+
+
+def _tfidf_summary(t: DataFrame, vocab: DataFrame) -> DataFrame:
     return features.tfidf(t, vocab, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 
 
+@query("OP-102", f"WITH {VOCAB_WHOLE} SELECT term, tf, df, round(idf, 9) AS idf FROM vocab")
+def tfidf_top_terms_whole(spark, sf):
+    return _vocabulary(spark, sf, WIDTH, 1)[1].withColumn("idf", F.round("idf", 9))
+
+
+@query("OP-103", f"WITH {VOCAB_WHOLE}, {_TFIDF}")
+def tfidf_vectors_whole(spark, sf):
+    return _tfidf_summary(*_vocabulary(spark, sf, WIDTH, 1))
+
+
 def _sql_bayes(source: str, fold: str) -> str:
     return f"""{source}, folds AS (SELECT DISTINCT {fold} AS f FROM terms), classes AS (SELECT DISTINCT label AS c FROM terms),
 tr AS (SELECT f, label AS c, term, tf, doc_id FROM terms, folds WHERE {fold} <> f), ct AS (SELECT f, c, term, sum(tf) AS x FROM tr GROUP BY ALL),
@@ -701,13 +725,30 @@ def naive_bayes_cv(spark, sf):
     return _bayes(labelled_terms(spark, sf), "fold", ["0", "1"])
 
 
+@query("OP-104 OP-111", "WITH " + _sql_bayes(LABELLED_WHOLE, "fold"))
+def naive_bayes_cv_whole(spark, sf):
+    return _bayes(labelled_terms(spark, sf, None), "fold", ["0", "1"])
+
+
 BY_LANG = LABELLED.replace("((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5)::INT AS fold", "lang AS fold")
 
 
+BY_LANG_WHOLE = BY_LANG.replace(f"{SQL_TOKENS}[:900]", SQL_TOKENS)
+
+
 @query("OP-82", "WITH " + _sql_bayes(BY_LANG, "fold"))
 def leave_one_lang_out_nb(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("lang").alias("fold"), F.col("quality").cast("string").alias("label"))
-    return _bayes(features.term_table(docs, "doc_id", tx.tokens_a(F.col("text"), 900), "label", "fold"), "fold", ["0", "1"])
+    return _bayes_by_lang(spark, sf, 900)
+
+
+@query("OP-82", "WITH " + _sql_bayes(BY_LANG_WHOLE, "fold"))
+def leave_one_lang_out_nb_whole(spark, sf):
+    return _bayes_by_lang(spark, sf, None)
+
+
+def _bayes_by_lang(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("lang").alias("fold"), F.col("quality").cast("string").alias("label"))
+    return _bayes(features.term_table(docs, "doc_id", tx.tokens_a(F.col("text"), limit), "label", "fold"), "fold", ["0", "1"])
 
 
 BM25 = f"""dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SQL_TOKENS}[:1200]) AS term FROM documents) GROUP BY ALL),
@@ -773,11 +814,11 @@ def fold_safe_retrieval_whole(spark, sf):
 
 
 def _linear(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    t, vocab = _vocabulary(spark, sf_dir)
+    t, vocab = _vocabulary(spark, sf_dir, WIDTH, 1)
     placed = vocab.withColumn("idx", F.row_number().over(_by_term()) - 1)
     vectors = features.tfidf(t, vocab, "doc_id").join(placed.select("term", "idx"), "term").select("doc_id", "idx", "weight")
     folds = t.select("doc_id", "label", "fold").distinct()
-    return models.cross_validated(vectors, folds, "doc_id", "label", model, 300)
+    return models.cross_validated(vectors, folds, "doc_id", "label", model, WIDTH)
 
 
 def _by_term():
