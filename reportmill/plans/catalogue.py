@@ -480,8 +480,17 @@ def kappa_by_subset(spark, sf):
 
 @query("OP-71", f"SELECT round(avg(j), 9) AS mean_jaccard, count(*) AS n FROM (SELECT CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS j FROM (SELECT {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE, 'substr(text, 1, 300)')} AS y FROM documents))")
 def secondary_jaccard(spark, sf):
-    j = metrics.jaccard(PROSE.labels(F.col("text")), PROSE.labels(F.substring("text", 1, 300)))
-    return table(spark, sf, "documents").agg(F.round(F.avg(j), 9).alias("mean_jaccard"), F.count("*").alias("n"))
+    return _mean_jaccard(table(spark, sf, "documents"), PROSE.labels(F.substring("text", 1, 300)))
+
+
+def _mean_jaccard(docs: DataFrame, other: Column) -> DataFrame:
+    j = metrics.jaccard(PROSE.labels(F.col("text")), other)
+    return docs.agg(F.round(F.avg(j), 9).alias("mean_jaccard"), F.count("*").alias("n"))
+
+
+@query("OP-71", f"SELECT round(avg(j), 9) AS mean_jaccard, count(*) AS n FROM (SELECT CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS j FROM (SELECT {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE_CAUSES, 'text')} AS y FROM documents))")
+def secondary_jaccard_whole(spark, sf):
+    return _mean_jaccard(table(spark, sf, "documents"), PROSE_CAUSES.labels(F.col("text")))
 
 
 SLICES = f"{VOTES}, sl AS (SELECT CASE hb % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS model, gold, a AS pred FROM reports)"
@@ -863,8 +872,17 @@ def hierarchical_gate(spark, sf):
 
 @query("OP-116 OP-117", f"WITH {REPORTS} SELECT doc_id, md5(concat_ws(' ', source, lang, substr(text, 1, 100))) AS base, md5(concat_ws(' ', source, lang, substr(text, 1, 100), 'candidate_' || a)) AS candidate FROM reports")
 def text_recipes(spark, sf):
-    base = ["source", "lang", F.substring("text", 1, 100)]
-    return reports(spark, sf).select("doc_id", F.md5(F.concat_ws(" ", *base)).alias("base"), F.md5(F.concat_ws(" ", *base, F.concat(F.lit("candidate_"), F.col("a")))).alias("candidate"))
+    return _recipes(reports(spark, sf), F.substring("text", 1, 100))
+
+
+def _recipes(rows: DataFrame, text: Column) -> DataFrame:
+    base = ["source", "lang", text]
+    return rows.select("doc_id", F.md5(F.concat_ws(" ", *base)).alias("base"), F.md5(F.concat_ws(" ", *base, F.concat(F.lit("candidate_"), F.col("a")))).alias("candidate"))
+
+
+@query("OP-116 OP-117", f"WITH {REPORTS} SELECT doc_id, md5(concat_ws(' ', source, lang, text)) AS base, md5(concat_ws(' ', source, lang, text, 'candidate_' || a)) AS candidate FROM reports")
+def text_recipes_whole(spark, sf):
+    return _recipes(reports(spark, sf), F.col("text"))
 
 
 # Votes.
@@ -952,8 +970,17 @@ def overlay_upsert(spark, sf):
 
 @query("OP-132", f"SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), '|') AS only_all, len(list_distinct(x || y))::INT AS either, len(list_intersect(x, y))::INT AS common FROM (SELECT doc_id, {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE, 'substr(text, 1, 300)')} AS y FROM documents)")
 def label_set_algebra(spark, sf):
-    x, y = PROSE.labels(F.col("text")), PROSE.labels(F.substring("text", 1, 300))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(x, y)), "|").alias("only_all"), F.size(F.array_union(x, y)).alias("either"), F.size(F.array_intersect(x, y)).alias("common"))
+    return _label_algebra(table(spark, sf, "documents"), PROSE.labels(F.substring("text", 1, 300)))
+
+
+def _label_algebra(docs: DataFrame, y: Column) -> DataFrame:
+    x = PROSE.labels(F.col("text"))
+    return docs.select("doc_id", F.array_join(F.array_sort(F.array_except(x, y)), "|").alias("only_all"), F.size(F.array_union(x, y)).alias("either"), F.size(F.array_intersect(x, y)).alias("common"))
+
+
+@query("OP-132", f"SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), '|') AS only_all, len(list_distinct(x || y))::INT AS either, len(list_intersect(x, y))::INT AS common FROM (SELECT doc_id, {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE_CAUSES, 'text')} AS y FROM documents)")
+def label_set_algebra_whole(spark, sf):
+    return _label_algebra(table(spark, sf, "documents"), PROSE_CAUSES.labels(F.col("text")))
 
 
 @query("OP-133", "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, 'human' AS provenance, 0 AS tier FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 'linked', 1 FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 'rules', 2 FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY tier, o_totalprice DESC) AS r FROM t) SELECT o_orderkey, provenance, tier FROM k WHERE r = 1 ORDER BY tier, o_totalprice DESC, o_orderkey LIMIT 250")
@@ -1011,9 +1038,18 @@ def props_json_extract(spark, sf):
 
 @query("OP-151 OP-152 OP-157", f"WITH {REPORTS} SELECT doc_id, '{{\"label\":\"' || a || '\",\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}}' AS target, md5('Label this report.' || chr(10) || 'Source: ' || source || chr(10) || substr(text, 1, 200)) AS prompt_md5 FROM reports")
 def prompt_packets(spark, sf):
+    return _packets(reports(spark, sf), F.substring("text", 1, 200))
+
+
+def _packets(rows: DataFrame, text: Column) -> DataFrame:
     target = F.to_json(F.struct(F.col("a").alias("label"), "lang", "source"))
-    prompt = F.concat_ws("\n", F.lit("Label this report."), F.concat(F.lit("Source: "), F.col("source")), F.substring("text", 1, 200))
-    return reports(spark, sf).select("doc_id", target.alias("target"), F.md5(prompt).alias("prompt_md5"))
+    prompt = F.concat_ws("\n", F.lit("Label this report."), F.concat(F.lit("Source: "), F.col("source")), text)
+    return rows.select("doc_id", target.alias("target"), F.md5(prompt).alias("prompt_md5"))
+
+
+@query("OP-151 OP-152 OP-157", f"WITH {REPORTS} SELECT doc_id, '{{\"label\":\"' || a || '\",\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}}' AS target, md5('Label this report.' || chr(10) || 'Source: ' || source || chr(10) || text) AS prompt_md5 FROM reports")
+def prompt_packets_whole(spark, sf):
+    return _packets(reports(spark, sf), F.col("text"))
 
 
 @query("OP-146", "SELECT p_partkey, round(ln(p_retailprice), 9) AS log_price, round(sqrt(p_size), 9) AS root_size, round_even(p_retailprice / 10, 0) AS tens, least(p_size, 20)::INT AS low, greatest(p_size, 20)::INT AS high FROM part")
