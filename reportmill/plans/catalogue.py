@@ -870,6 +870,17 @@ def hierarchical_gate(spark, sf):
     return voting.gate(F.col("m3").isin(PROSE_FAMILY), v, {True: PROSE_FAMILY, False: OTHER_FAMILY}, MODELS, "doc_id", "gold")
 
 
+@query("OP-114")
+def hierarchical_two_stage(spark, sf):
+    """The labelled reports by a model of the two families, then by a model of the family's labels."""
+    t, vocab = _vocabulary(spark, sf, WIDTH, 1)
+    placed = vocab.withColumn("idx", F.row_number().over(_by_term()) - 1)
+    vectors = features.tfidf(t, vocab, "doc_id").join(placed.select("term", "idx"), "term").select("doc_id", "idx", "weight")
+    folds = t.select("doc_id", "fold").distinct().join(reports(spark, sf).select("doc_id", F.col("a").alias("label")), "doc_id")
+    families = dict.fromkeys(PROSE_FAMILY, "prose") | dict.fromkeys(OTHER_FAMILY, "other")
+    return models.cross_validated(vectors, folds, "doc_id", "label", models.two_stage(models.train_hinge, families, "needs_review"), WIDTH)
+
+
 @query("OP-116 OP-117", f"WITH {REPORTS} SELECT doc_id, md5(concat_ws(' ', source, lang, substr(text, 1, 100))) AS base, md5(concat_ws(' ', source, lang, substr(text, 1, 100), 'candidate_' || a)) AS candidate FROM reports")
 def text_recipes(spark, sf):
     return _recipes(reports(spark, sf), F.substring("text", 1, 100))
