@@ -1,16 +1,19 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-For a window of L words, k-grams of k = (L + 1) // 2 words are hashed and the
-smallest hash of every L - k + 1 consecutive k-grams is kept.  Two texts that
-share L consecutive words share the k-grams of that span, so they keep a common
-fingerprint.  Fingerprints of documents and benchmark are joined; only
-documents with a hit are then extended: all their windows are compared with the
-benchmark's windows, by 128 bits of hash.
+Texts become words once, in one pass over the documents.  For a window of L
+words the k-grams (k is 4, 2 or 1) are hashed and the smallest hash of every
+L - k + 1 consecutive ones is kept, on both sides: two texts that share L
+consecutive words share the k-grams of that span, so they keep a common
+fingerprint.  A bit table of the benchmark's fingerprints, of bounded size,
+tells in that pass which k-grams can be one of them; only those are checked for
+being the smallest of a window and leave the pass, with the words around them.
+They are joined with the benchmark's fingerprints, and every hit is extended to
+the windows that hold it, which are compared word by word with the benchmark's.
 """
 
 from __future__ import annotations
 
-import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,34 +21,102 @@ from .sizes import small
 from .workspace import materialize
 
 WINDOW = 13
+#: Benchmark fingerprints up to which the pass holds them as they are; beyond, a bit table of at most so many longs (1 MB).
+LISTED = 2048
+TABLE_LONGS = 1 << 17
 
 
-def item_words(text: Column) -> Column:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased; a null text has none."""
-    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.coalesce(F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ""), F.array().cast("array<string>"))
+def worded(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``words``, the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased; a null text has none.
 
+    The text's bytes are taken for Latin-1 first: lower-casing is fast there,
+    and as UTF-8 lead bytes are told apart by what follows them, words of
+    different texts stay different.  The words are keys, not for display.
+    """
+    low = F.lower(F.decode(F.col(text).cast("binary"), "ISO-8859-1"))
+    split = df.withColumn("_raw", F.coalesce(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.array(F.lit(""))))
+    raw = F.col("_raw")
+    lead, end = (F.get(raw, F.lit(0)) == "").cast("int"), (F.get(raw, F.size(raw) - 1) == "").cast("int")
+    words = F.when(lead + end == 0, raw).otherwise(F.slice(raw, lead + 1, F.greatest(F.size(raw) - lead - end, F.lit(0))))
+    return split.withColumn("words", words).drop("_raw")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def gram_length(length: int) -> int:
+    """k for spans of ``length`` words: 1, 2 or 4, at most (length + 1) // 2."""
+    return 4 if length >= 7 else 2 if length >= 3 else 1
+
+
+def _grams(words: Column, k: int) -> Column:
+    """Hash of the k words (1, 2 or 4) that begin at each place."""
+
+    def pairs(x: Column, apart: int) -> Column:
+        return _let(x, lambda own: F.transform(own, lambda h, i: F.xxhash64(h, F.get(own, i + apart))))
+
+    every = F.transform(words, lambda w: F.xxhash64(w))
+    for apart in (1, 2)[: k // 2]:
+        every = pairs(every, apart)
+    return F.when(F.size(words) >= k, F.slice(every, F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
+def fingerprints(grams: Column, length: int) -> Column:
+    """Distinct smallest hashes of every window's grams, for spans of ``length`` words."""
+    wide = length - gram_length(length) + 1
+    starts = F.when(F.size(grams) >= wide, F.sequence(F.lit(1), F.size(grams) - (wide - 1)))
+    return F.array_distinct(F.coalesce(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, wide))), F.array().cast("array<bigint>")))
 
-def _runs(words: Column, length: int, make) -> Column:
-    """make(start) for every run of ``length`` consecutive elements (1-based starts)."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1)))
-    return F.coalesce(F.transform(starts, make), F.array())
 
+def _places(x: Column, longs: int) -> list[tuple[Column, Column]]:
+    """Two places (long, bit) of a hash in a bit table."""
+    return [(F.shiftrightunsigned(x, by).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int"), F.shiftrightunsigned(x, by + 20).bitwiseAND(F.lit(63).cast("long")).cast("int")) for by in (0, 30)]
+
+
+def _bit_table(marks: DataFrame, longs: int) -> Column:
+    """The bits of all ``fingerprint`` rows as one array of longs, a scalar subquery."""
+    bits = marks.select(F.explode(F.array(*[F.struct(at.alias("at"), bit.alias("bit")) for at, bit in _places(F.col("fingerprint"), longs)])).alias("p"))
+    bits = bits.groupBy("p.at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.bit"))).alias("mask"))
+    every = marks.sparkSession.range(longs).select(F.col("id").cast("int").alias("at")).join(bits, "at", "left").select("at", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mask"))), lambda s: s["mask"]).alias("bits")).scalar()
+
+
+def _known(grams: Column, table: Column, longs: int) -> Column:
+    """The grams that the table holds: a bit table of ``longs``, or the fingerprints themselves (0)."""
+    if not longs:
+        return F.array_intersect(grams, table)
+
+    def holds(bits: Column, x: Column) -> Column:
+        one, two = (F.getbit(F.get(bits, at), bit) == 1 for at, bit in _places(x, longs))
+        return one & two
+
+    return _let(table, lambda bits: F.filter(grams, lambda x: holds(bits, x)))
+
+
+def _met(words: Column, grams: Column, some: Column, k: int, lengths: list[int]) -> Column:
+    """Fingerprints of the text among ``some`` of its grams: array of (length, fingerprint, start, around).
+
+    ``around`` holds the words, from ``start`` on, of all windows that hold the
+    fingerprint's words.
+    """
+    n = F.size(words)
+
+    def spans(at: Column, length: int) -> Column:
+        wide = length - k + 1
+        lowest = lambda p: F.exists(F.sequence(F.greatest(F.lit(0), p - (wide - 1)), F.least(p, F.size(grams) - wide)), lambda j: F.array_min(F.slice(grams, j + 1, F.lit(wide))) == F.get(grams, p))
 
-def fingerprints(df: DataFrame, words: str, length: int) -> DataFrame:
-    """Adds ``fingerprint``: a row for each distinct winnowed hash of ``words`` for spans of ``length`` words."""
-    k = (length + 1) // 2
-    wide = length - k + 1
-    grams = df.withColumn("_grams", _runs(F.col(words), k, lambda i: F.xxhash64(F.slice(F.col(words), i, k))))
-    lows = _runs(F.col("_grams"), wide, lambda i: F.array_min(F.slice(F.col("_grams"), i, wide)))
-    return grams.withColumn("fingerprint", F.explode(F.array_distinct(lows))).drop("_grams")
+        def one(p: Column) -> Column:
+            start = F.greatest(F.lit(0), p - (length - k))
+            around = F.slice(words, start + 1, F.least(p, n - length) - start + length)
+            return F.struct(F.lit(length).alias("length"), F.get(grams, p).alias("fingerprint"), start.alias("start"), around.alias("around"))
 
+        return F.when(n >= length, F.transform(F.filter(at, lowest), one))
 
-def windows(df: DataFrame, words: str, length: int) -> DataFrame:
-    """Adds ``pos`` (from 0), ``w1`` and ``w2``: a row and 128 bits of hash for every window of ``length`` words."""
-    both = _runs(F.col(words), length, lambda i: F.struct(F.xxhash64(F.slice(F.col(words), i, length)).alias("w1"), F.xxhash64(F.lit(length), F.slice(F.col(words), i, length)).alias("w2")))
-    out = df.select("*", F.posexplode(both).alias("pos", "_w"))
-    return out.select(*[c for c in out.columns if c != "_w"], "_w.w1", "_w.w2")
+    places = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(some, F.get(grams, i)))
+    every = lambda at: F.flatten(F.filter(F.array(*[spans(at, length) for length in lengths]), lambda x: x.isNotNull()))
+    return F.when(F.size(some) > 0, _let(places, every))
 
 
 def contamination(
@@ -59,47 +130,54 @@ def contamination(
     their ids, sorted as strings and joined by commas.  contaminated means
     n_hit > 0 and 20 * n_hit >= n_words.
 
-    Defined cases: null and empty texts have no words and are clean; an item
-    without words or with a null id matches nothing; items with equal texts
-    count each; repeated document rows give repeated, equal rows; an empty
-    benchmark leaves every document clean; other columns are ignored.
+    Defined cases: null and empty texts have no words and are clean; very long
+    texts are taken whole; an item without words or with a null id matches
+    nothing; items with equal texts count each; repeated document rows give
+    repeated, equal rows; an empty benchmark leaves every document clean; other
+    columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit("row"), "id", "text").alias("k2"))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), item_words(F.col(item_text).cast("string")).alias("words"))
-    items = items.where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window)))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit("row"), "id", "text").alias("k2"), "text")
+    rows = worded(rows, "text").drop("text")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    items = worded(items, "text").drop("text").where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window)))
     items = materialize(items.distinct(), "items")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` values
-    worded = rows.select("k1", "k2", item_words(F.col("text")).alias("words"))
-    item_rows = None
-    candidates = None
-    for n in lengths:
-        own = items.where(F.col("length") == n)
-        marks = small(materialize(fingerprints(own.select("words"), "words", n).select("fingerprint").distinct(), "marks"))
-        met = fingerprints(worded, "words", n).select("k1", "k2", "fingerprint").join(marks, "fingerprint", "left_semi").select("k1", "k2", F.lit(n).alias("length"))
-        candidates = met if candidates is None else candidates.union(met)
-        wins = windows(own.select("item", "words"), "words", n).select("item", "w1", "w2", F.lit(n).alias("length"))
-        item_rows = wins if item_rows is None else item_rows.union(wins)
-    counted = rows.select("id", "k1", "k2", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
-    if candidates is None:
+    own = lambda n: items.where(F.col("length") == n)
+    marks = {n: own(n).select(F.lit(n).alias("length"), F.explode(fingerprints(_grams(F.col("words"), gram_length(n)), n)).alias("fingerprint")) for n in lengths}
+    found = []
+    if lengths:
+        marked = marks[lengths[0]]
+        for n in lengths[1:]:
+            marked = marked.union(marks[n])
+        marked = materialize(marked.distinct(), "marks")
+        n_marks = marked.count()
+        longs = 0 if n_marks <= LISTED else min(TABLE_LONGS, 1 << (2 * n_marks).bit_length())
+        for k in sorted({gram_length(n) for n in lengths}):
+            of_k = [n for n in lengths if gram_length(n) == k]
+            known = marked.where(F.col("length").isin(of_k)).select("fingerprint").distinct()
+            rows = rows.withColumns({f"grams_{k}": _grams(F.col("words"), k), f"table_{k}": _bit_table(known, longs) if longs else known.agg(F.collect_list("fingerprint")).scalar()})
+            rows = rows.withColumn(f"some_{k}", _known(F.col(f"grams_{k}"), F.col(f"table_{k}"), longs))
+            found.append(_met(F.col("words"), F.col(f"grams_{k}"), F.col(f"some_{k}"), k, of_k))
+    pieces = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())) if found else F.lit(None).cast("array<struct<length:int,fingerprint:bigint,start:int,around:array<string>>>")
+    counted = materialize(rows.select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"), pieces.alias("pieces")), "counted")
+    if not lengths:
         judged = counted.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items"))
     else:
-        candidates = materialize(candidates.distinct(), "candidates")
-        item_rows = materialize(item_rows.distinct(), "windows")
-        spans = None
-        for n in lengths:
-            mine = small(candidates.where(F.col("length") == n).select("k1", "k2"))
-            known = small(item_rows.where(F.col("length") == n).select("item", "w1", "w2"))
-            texts = rows.join(mine, ["k1", "k2"], "left_semi").select("k1", "k2", item_words(F.col("text")).alias("words"))
-            hits = windows(texts, "words", n).select("k1", "k2", "pos", "w1", "w2").join(known, ["w1", "w2"]).select("k1", "k2", "pos", (F.col("pos") + n).alias("stop"), "item")
-            spans = hits if spans is None else spans.union(hits)
+        met = counted.where(F.size("pieces") > 0).select("k1", "k2", F.inline("pieces")).join(small(marked), ["length", "fingerprint"], "left_semi")
+        joined = lambda words, start, n: F.array_join(F.slice(words, start + 1, n), " ")
+        every = F.transform(F.sequence(F.lit(0), F.size("around") - F.col("length")), lambda i: F.struct((F.col("start") + i).alias("pos"), joined(F.col("around"), i, F.col("length")).alias("window")))
+        extended = met.select("k1", "k2", "length", F.inline(every))
+        known = items.select("item", "length", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("length")), lambda i: joined(F.col("words"), i, F.col("length")))).alias("window"))
+        known = small(materialize(known.distinct(), "windows"))
+        spans = extended.join(known, ["length", "window"]).select("k1", "k2", "pos", (F.col("pos") + F.col("length")).alias("stop"), "item")
         spans = materialize(spans.distinct(), "spans")
         before = Window.partitionBy("k1", "k2").orderBy("pos", "stop").rowsBetween(Window.unboundedPreceding, -1)
         cover = spans.groupBy("k1", "k2", "pos").agg(F.max("stop").alias("stop"))
         cover = cover.select("k1", "k2", "stop", F.greatest("pos", F.coalesce(F.max("stop").over(before), F.lit(0))).alias("begin"))
         cover = cover.groupBy("k1", "k2").agg(F.sum(F.greatest(F.col("stop") - F.col("begin"), F.lit(0))).cast("long").alias("n_hit"))
         named = spans.select("k1", "k2", "item").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-        judged = counted.join(cover.join(named, ["k1", "k2"]), ["k1", "k2"], "left")
+        judged = counted.select("id", "k1", "k2", "n_words").join(cover.join(named, ["k1", "k2"]), ["k1", "k2"], "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return judged.select(
         F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
