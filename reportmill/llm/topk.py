@@ -25,15 +25,14 @@ QUERY_BLOCK = 1024
 SEED_BUCKETS = 2
 #: Local cosine from which pruning by coordinate is worth its cost.
 COORDINATE_FROM = 0.7
-#: Scaled components are held to this, so that products fit a long.
-LARGEST = 1 << 26
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int, is_query: Column) -> DataFrame:
     """(vec_id, is_query, v, norm) of the rows that take part: no null, no component null or not finite."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(v, lambda x: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.floor(x * F.lit(float(scale))).cast("double"))).cast("long"))
+    fits = lambda x: F.when(F.abs(x * F.lit(float(scale))) < F.lit(2.0**63), F.floor(x * F.lit(float(scale))).cast("long")).otherwise(F.raise_error(F.lit("a scaled component is beyond a long")))
+    whole = F.transform(v, fits)
     rows = vectors.where(v.isNotNull() & fine & F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), whole.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
@@ -50,7 +49,7 @@ def _blocks(width: int, rows: int):
                 matrix[i, : len(v)] = v
             norms = np.array([x[3] for x in part])
             return pa.RecordBatch.from_arrays(
-                [pa.array([float(norms.max())]), pa.array([np.array([x[0] for x in part], np.int64).tobytes()]), pa.array([np.array([x[1] for x in part], np.int64).tobytes()]), pa.array([matrix.astype("<i4").tobytes()]), pa.array([norms.tobytes()])],
+                [pa.array([float(norms.max())]), pa.array([np.array([x[0] for x in part], np.int64).tobytes()]), pa.array([np.array([x[1] for x in part], np.int64).tobytes()]), pa.array([matrix.astype("<i4" if np.abs(matrix).max(initial=0) < 1 << 31 and matrix.min(initial=0) > -(1 << 31) else "<i8").tobytes()]), pa.array([norms.tobytes()])],
                 names=["top", "ids", "row_nos", "matrix", "norms"],
             )
 
@@ -66,10 +65,13 @@ def _blocks(width: int, rows: int):
 
 
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point where no sum can leave its integers."""
-    if np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * q.shape[1] < 1 << 52:
+    """Exact integer products: in floating point where no sum can leave its integers, in longs, else in unbounded integers."""
+    most = max(abs(int(x)) for x in (q.min(initial=0), q.max(initial=0))) * max(abs(int(x)) for x in (p.min(initial=0), p.max(initial=0))) * q.shape[1]
+    if most < 1 << 52:
         return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
-    return q @ p.T
+    if most < 1 << 63:
+        return q @ p.T
+    return q.astype(object) @ p.astype(object).T
 
 
 def _search(k: int, width: int):
@@ -99,8 +101,9 @@ def _search(k: int, width: int):
         risen: dict[int, np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                q, p = (np.frombuffer(r[c], "<i4").reshape(-1, width).astype(np.int64) for c in ("q_matrix", "matrix"))
                 q_id, q_no, ids, nos = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_row_nos", "ids", "row_nos"))
+                whole = lambda raw, n: np.frombuffer(raw, "<i4" if len(raw) == 4 * n * width else "<i8").reshape(n, width).astype(np.int64)
+                q, p = whole(r["q_matrix"], len(q_id)), whole(r["matrix"], len(ids))
                 q_norm, norms = np.frombuffer(r["q_norms"]), np.frombuffer(r["norms"])
                 floor = np.frombuffer(r["q_floor"]).copy() if r["q_floor"] else np.full(len(q), -np.inf)
                 if len(risen) > 64:
@@ -115,6 +118,10 @@ def _search(k: int, width: int):
                         at, scores = at[scores >= edge], scores[scores >= edge]
                         order = np.lexsort((ids[at], -scores))[:k]
                         at, scores = at[order], scores[order]
+                    if scores.dtype == object:
+                        if any(not -(1 << 63) <= x < 1 << 63 for x in scores):
+                            raise OverflowError("an inner product is beyond a long")
+                        scores = scores.astype(np.int64)
                     if len(at) == k:
                         floor[i] = max(floor[i], float(scores.min()))
                     for column, values in zip(out, (np.full(len(at), q_id[i]), np.full(len(at), q_no[i]), ids[at], scores), strict=True):
@@ -134,8 +141,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
 
     Defined cases: vectors that are null, or hold a null or non-finite
     component, and rows with a null id take no part; shorter vectors count as
-    ending in zeros; an empty vector has product 0 with all; scaled components
-    beyond 2**26 are held to it; repeated query rows each get their own ranks;
+    ending in zeros; an empty vector has product 0 with all; a scaled component
+    or a product beyond a long is an error; repeated query rows each get their own ranks;
     a table with one row or none gives an empty result; other columns are ignored.
     """
     bound_batches(vectors.sparkSession, rows=2048)
