@@ -69,8 +69,18 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _word_end(data: np.ndarray, at: int, end: int) -> int:
+    """Where the word at ``at`` ends, looked for a segment at a time."""
+    while at < end:
+        spaces = np.flatnonzero(SPACE[data[at : min(end, at + SEGMENT)]])
+        if len(spaces):
+            return at + int(spaces[0])
+        at += SEGMENT
+    return end
+
+
 def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of at most SEGMENT, cut between texts, else at white space, else anywhere a word is longer than a segment."""
+    """Byte ranges of at most SEGMENT, cut between texts, else at white space; a longer word is a range of its own."""
     at, end = 0, int(offsets[-1])
     while at < end:
         to = min(end, at + SEGMENT)
@@ -78,22 +88,37 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]
             cut = int(offsets[np.searchsorted(offsets, to, side="right") - 1])
             if cut <= at:
                 spaces = np.flatnonzero(SPACE[data[at:to]])
-                cut = at + int(spaces[-1]) + 1 if len(spaces) else to
+                cut = at + int(spaces[-1]) + 1 if len(spaces) else _word_end(data, to, int(offsets[np.searchsorted(offsets, at, side="right")]))
             to = cut
         yield at, to
         at = to
 
 
+def _long_word(word: np.ndarray, lower: bool) -> int:
+    """The running sum of a word of more than a segment."""
+    power, _ = _powers()
+    total, step, factor = 0, pow(_BASE, SEGMENT, 1 << 64), 1
+    for at in range(0, len(word), SEGMENT):
+        part = word[at : at + SEGMENT]
+        total += factor * int((BYTE_CODE[LOWER[part] if lower else part] * power[: len(part)]).sum(dtype=U64))
+        factor = factor * step % (1 << 64)
+    return total % (1 << 64)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text) for words ``[^\\x20\\x09-\\x0D]+``.
 
     The second array has one more entry than there are texts.  ``lower`` maps
-    A-Z to a-z first.  A single word of over SEGMENT bytes counts as several.
+    A-Z to a-z first.  A word of any length is one; its hash is carried along.
     """
     power, inverse = _powers()
     hashes, starts = [], []
     with np.errstate(over="ignore"):
         for a, b in _segments(data, offsets):
+            if b - a > SEGMENT:
+                hashes.append(mix64(np.array([_long_word(data[a:b], lower)], U64) + U64(b - a)))
+                starts.append(np.array([a]))
+                continue
             part = data[a:b]
             inside = ~SPACE[part]
             edge = np.zeros(len(part), dtype=bool)
