@@ -24,8 +24,6 @@ from .workspace import bound_batches, materialize
 WINDOW = 2
 MODULUS = 2
 LEAST_LINES = 2
-#: Chunks of fewer bytes (blank lines, single short words) stay.
-LEAST_BYTES = 40
 #: A line of more words is a passage by itself.
 LONG_WORDS = 50
 #: Rows that a Python worker holds before it passes them on.
@@ -52,7 +50,7 @@ def chunk_spans(lines: list[str], window: int = WINDOW, modulus: int = MODULUS,
     return spans
 
 
-def _chunks(with_text: bool):
+def _chunks(with_text: bool, least_bytes: int):
     """A row for each chunk of several lines: (k1, k2, id, row key, chunk number, its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +66,7 @@ def _chunks(with_text: bool):
                         continue
                     piece = "\n".join(lines[a:b])
                     raw = piece.encode()
-                    if len(raw) < LEAST_BYTES:
+                    if len(raw.strip()) <= least_bytes:
                         continue
                     digest = hashlib.blake2b(raw, digest_size=16).digest()
                     rows.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), i, n, piece if with_text else None))
@@ -97,10 +95,12 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines_in, pa.int64()), pa.array(lines_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_lines", "n_removed", "words_removed", "text"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 0) -> DataFrame:
     """One row per document: (id_col, n_lines, n_removed, words_removed, text), text without repeated chunks.
 
     The first occurrence, by id and place in the text (null ids first), stays.
+    Chunks of at most ``least_bytes`` bytes between their first and last mark,
+    so those of blank lines only, are left.
 
     Defined cases: a null text stays null with 0 lines; a text of one line is
     left as it is; chunks repeated within one text go as well; of repeated
@@ -114,9 +114,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("r2"), text.alias("text"))
     schema = f"k1 long, k2 long, id {kind}, r1 long, r2 long, chunk int, piece string"
     place = F.struct("id", "r1", "r2", "chunk")
-    repeats = rows.mapInArrow(_chunks(False), schema).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first")
+    repeats = rows.mapInArrow(_chunks(False, least_bytes), schema).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first")
     repeats = materialize(repeats, "repeats")
-    found = rows.mapInArrow(_chunks(True), schema).join(repeats, ["k1", "k2"]).select("k1", "k2", "r1", "r2", "chunk", "piece", (place == F.col("first")).alias("is_first"))
+    found = rows.mapInArrow(_chunks(True, least_bytes), schema).join(repeats, ["k1", "k2"]).select("k1", "k2", "r1", "r2", "chunk", "piece", (place == F.col("first")).alias("is_first"))
     found = materialize(found, "occurrences")
     firsts = found.where("is_first").select("k1", "k2", F.col("piece").alias("model")).dropDuplicates(["k1", "k2"])
     again = found.where("not is_first").join(firsts, ["k1", "k2"]).where(F.encode("piece", "UTF-8") == F.encode("model", "UTF-8"))
@@ -125,36 +125,37 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return cleaned.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
-def passage_spans(lines: list[bytes]) -> list[tuple[int, int]]:
-    """[start, end) of the shortest runs of LEAST_LINES lines and LEAST_BYTES bytes that begin or end at a line, and of each long line.
+def passage_spans(lines: list[bytes], least_bytes: int = 0) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs of LEAST_LINES lines and over ``least_bytes`` bytes that begin or end at a line, and of each long line.
 
+    White space at a line's ends counts as no byte, so blank lines are no run.
     A line of any longer run of lines lies in one of these that lies in the run.
     """
     n = len(lines)
-    sizes = [len(x) + 1 for x in lines]
+    sizes = [len(x.strip()) for x in lines]
     spans = {(i, i + 1) for i, x in enumerate(lines) if len(x) > 2 * LONG_WORDS and len(x.decode().split()) > LONG_WORDS}
     end = total = 0
     for i in range(n):
-        while end < n and (end - i < LEAST_LINES or total <= LEAST_BYTES):
+        while end < n and (end - i < LEAST_LINES or total <= least_bytes):
             total += sizes[end]
             end += 1
-        if end - i < LEAST_LINES or total <= LEAST_BYTES:
+        if end - i < LEAST_LINES or total <= least_bytes:
             break
         spans.add((i, end))
         total -= sizes[i]
     start, total = n, 0
     for j in range(n, 0, -1):
-        while start > 0 and (j - start < LEAST_LINES or total <= LEAST_BYTES):
+        while start > 0 and (j - start < LEAST_LINES or total <= least_bytes):
             start -= 1
             total += sizes[start]
-        if j - start < LEAST_LINES or total <= LEAST_BYTES:
+        if j - start < LEAST_LINES or total <= least_bytes:
             break
         spans.add((start, j))
         total -= sizes[j - 1]
     return sorted(spans)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
     """(k1, k2, id, row key, span) of each span of (id, row key, text)."""
     for batch in batches:
         keys, at, spans = [], [], []
@@ -167,7 +168,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for i, text in enumerate(batch.column(3)):
             lines = (text.as_py() or b"").split(b"\n")
-            for a, b in passage_spans(lines):
+            for a, b in passage_spans(lines, least_bytes):
                 keys.append(hashlib.blake2b(b"\n".join(lines[a:b]), digest_size=16).digest())
                 at.append(i)
                 spans.append((a, b))
@@ -211,11 +212,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines_in, pa.int64()), pa.array(lines_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(texts, pa.string())], names=["id", "n_lines", "n_removed", "words_removed", "text"])
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 0) -> DataFrame:
     """One row per document, as by ``dedup_lines``, text without any repeated passage.
 
-    A passage is a run of LEAST_LINES lines and LEAST_BYTES bytes at least, or a
-    line of more than LONG_WORDS words.  A line goes if it lies in a passage
+    A passage is a run of LEAST_LINES lines at least with over ``least_bytes``
+    bytes besides white space at line ends, or a line of more than LONG_WORDS
+    words.  A line goes if it lies in a passage
     that occurs, the same byte for byte, at an earlier place by id and place in
     the text (null ids first); so an equal line is always left at an earlier one.
 
@@ -228,7 +230,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit("row"), F.col(id_col), text).alias("r2"), text.alias("text"))
     raw = F.encode("text", "UTF-8").alias("text")
     place = F.struct("id", "r1", "r2", "a", "b")
-    spans = rows.select("id", "r1", "r2", raw).mapInArrow(_passages, f"k1 long, k2 long, id {kind}, r1 long, r2 long, a int, b int")
+    spans = rows.select("id", "r1", "r2", raw).mapInArrow(lambda batches: _passages(batches, least_bytes), f"k1 long, k2 long, id {kind}, r1 long, r2 long, a int, b int")
     repeats = spans.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first")
     repeats = materialize(repeats, "repeats")
     found = spans.join(repeats, ["k1", "k2"]).select("k1", "k2", "r1", "r2", "a", "b", (place.eqNullSafe(F.col("first"))).alias("is_first"))
