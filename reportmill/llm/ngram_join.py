@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .components import connected_components
 from .hashing import U64, gram_hashes, mix64, sequence_hash, string_buffer, word_hashes
+from .sizes import group_bytes, small
 from .workspace import bound_batches, materialize
 
-#: Bytes of n-grams that a task packs together, and text bytes for each part.
-FLUSH_BYTES = 8 << 20
-PART_BYTES = 8 << 20
+#: Runs in which sets whose 64-bit keys clash are told apart, such keys at most, and the bits of a key.
+RUNS, CLASHES, KEY_BITS = 3, 10_000, 64
+#: Size classes of leaders: sizes within one differ by less than this factor.
+SIZE_CLASS = 1.125
 #: Occurrences within one packing from which an n-gram counts as common.
 COMMON = 8
 #: Rarity classes; the last one holds all n-grams in so many sets or more, and the common ones.
@@ -92,7 +94,7 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(part[rows[0]]), rows
 
 
-def shingle_sets(column: pa.Array, words_per_gram: int, seed: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, words_per_gram: int) -> list[np.ndarray]:
     """The sorted distinct 56-bit n-gram hashes of every text in a string column."""
     data, offsets = string_buffer(column)
     words, first = word_hashes(data, offsets)
@@ -106,11 +108,17 @@ def shingle_sets(column: pa.Array, words_per_gram: int, seed: int) -> list[np.nd
         else:
             out.append(np.zeros(0, U64))
             continue
-        out.append(np.unique((mix64(own ^ U64(seed)) if seed else own) >> U64(8)))
+        out.append(np.unique(own >> U64(8)))
     return out
 
 
-def _scan(words_per_gram: int, parts: int, seed: int):
+def _keys(own: np.ndarray, clashing: frozenset[int]) -> tuple[int, int]:
+    """The 64-bit key that a set goes by, and 64 more bits that tell a clash; a key known to clash gives way to these."""
+    key, more = int(mix64(own).sum(dtype=U64)) >> (64 - KEY_BITS), int(mix64(own + U64(0x632BE59BD9B4E019)).sum(dtype=U64))
+    return (more, more) if key in clashing else (key, more)
+
+
+def _scan(words_per_gram: int, parts: int, clashing: frozenset[int], flush_bytes: int):
     """Texts to packed n-grams by part, and a row for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,18 +155,18 @@ def _scan(words_per_gram: int, parts: int, seed: int):
             docs = []
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for i, own in enumerate(shingle_sets(part.column(1), words_per_gram, seed)):
+                for i, own in enumerate(shingle_sets(part.column(1), words_per_gram)):
                     if not len(own):
                         docs.append((None, None, 0))
                         continue
-                    key = int(mix64(own).sum(dtype=U64))
-                    docs.append((key, int(mix64(own + U64(0x632BE59BD9B4E019)).sum(dtype=U64)), len(own)))
+                    key, more = _keys(own, clashing)
+                    docs.append((key, more, len(own)))
                     if key not in seen:
                         seen.add(key)
                         grams.append(own)
                         keys.append(key)
                         held += 8 * len(own)
-                if held >= FLUSH_BYTES:
+                if held >= flush_bytes:
                     yield from flush().to_batches()
                     held = 0
             signed = [[None if d[k] is None else d[k] - (1 << 64) * (d[k] >> 63) for d in docs] for k in (0, 1)]
@@ -300,23 +308,34 @@ def similar_components(
     Defined cases: a null or empty text, or one without words, has no n-grams
     and is alone; a null id takes part and never is the smallest (its component
     is null if it has no other member); repeated rows give repeated rows; an
-    empty table gives an empty result; other columns are ignored.  Sets are
-    compared by 56-bit hashes of their n-grams.
+    empty table gives an empty result; words and texts of any length are taken
+    whole; other columns are ignored.  Sets are compared by 56-bit hashes of
+    their n-grams and told apart by 128 bits: two texts of 1,000 words each are
+    misjudged with a chance of about 10**-11.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-size // PART_BYTES))
+    unit = group_bytes(size)
+    parts = max(4, -(-size // unit))
     id_type = docs.schema["id"].dataType
     schema = _schema(id_type)
-    for seed in range(3):
-        packed = docs.mapInArrow(_scan(words_per_gram, parts, seed), schema)
+    clashing: frozenset[int] = frozenset()
+    for _ in range(RUNS):
+        packed = docs.mapInArrow(_scan(words_per_gram, parts, clashing, unit), schema)
         counted = packed.repartition(parts, "part").groupBy("part").applyInArrow(_count(parts), schema)
         gathered = counted.repartition(parts, "part").groupBy("part").applyInArrow(_gather(numerator, denominator), schema)
         stage = materialize(gathered.select("kind", "a", "b", "id", "key", "key2", "n", "n_single"), "sets")
         rows = stage.where(f"kind = {ROW}").select("id", "key", "key2", "n")
-        if not rows.where("key is not null").groupBy("key").agg((F.min("key2") != F.max("key2")).alias("clash")).where("clash").limit(1).count():
+        clash = rows.where("key is not null").groupBy("key").agg(F.min("key2").alias("low"), F.max("key2").alias("high")).where("low <> high")
+        found = [r[0] % (1 << 64) for r in clash.select("key").limit(CLASHES + 1).collect()]
+        if not found:
             break
+        clashing |= frozenset(found)
+        if len(clashing) > CLASHES:
+            raise RuntimeError("too many sets have equal keys")
+    else:
+        raise RuntimeError(f"sets of different n-grams had equal keys in {RUNS} runs")
     sets = stage.where(f"kind = {SET}").select("key", "n", "n_single", F.col("a").alias("grams"), F.col("b").alias("prefix"))
     comps = _join(sets, numerator, denominator)
     firsts = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first"))
@@ -345,16 +364,19 @@ def _join(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     need = F.ceil(F.lit(numerator) * (F.col("na") + F.col("nb")) / F.lit(numerator + denominator))
     near = (F.lit(denominator) * F.least("na", "nb") >= F.lit(numerator) * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= need)
     posts = materialize(sets.select("key", "n", "n_single", "prefix").mapInArrow(_prefix_rows, "gram long, key long, n long, pos long"), "posts")
-    meet = Window.partitionBy("gram").orderBy("n", "key")
-    me = F.struct("key", "n", "pos")
-    met = posts.withColumns({"lead": F.first(me).over(meet), "before": F.lag(me).over(meet)})
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lead").alias("o")), F.struct(F.lit(1).alias("side"), F.col("before").alias("o"))))
-    met = met.where("before is not null").select("key", "n", "pos", sides.alias("s")).select(
-        F.col("key").alias("a"), F.col("s.o.key").alias("b"), F.col("n").alias("na"), F.col("s.o.n").alias("nb"), F.col("pos").alias("i"), F.col("s.o.pos").alias("j"), F.col("s.side").alias("side"),
+    # Leaders are minima by gram and size class, so a hot gram is combined before its shuffle.
+    classed = posts.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_CLASS))))
+    leads = small(materialize(classed.groupBy("gram", "size_class").agg(F.min(F.struct("n", "key", "pos")).alias("lead"), F.count("*").alias("m")), "leads"))
+    asks = classed.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("size_class", F.col("size_class") - F.col("side"))
+    met = asks.join(leads, ["gram", "size_class"]).where("side = 1 or m > 1").select(
+        F.col("key").alias("a"), F.col("lead.key").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"), F.col("pos").alias("i"), F.col("lead.pos").alias("j"), "side",
     )
     met = met.where(near & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("at"), F.min("side").alias("side"), F.count("*").alias("m"))
     best = met.groupBy("a", "side").agg(F.max(F.struct("m", "b", "at")).alias("top")).select("a", F.col("top.b").alias("b"), F.col("top.at.i").alias("i"), F.col("top.at.j").alias("j"))
-    links = materialize(_verified(best.dropDuplicates(["a", "b"]), sets, numerator, denominator), "links")
+    turn = F.col("a") > F.col("b")
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(turn, F.col("i")).otherwise(F.col("j")).alias("j"))
+    best = materialize(best.dropDuplicates(["a", "b"]), "best")
+    links = materialize(_verified(best, sets, numerator, denominator), "links")
     comps = connected_components(links)
     # What may still link lies in one gram and in different components; grams tie such components into groups.
     posts = posts.join(comps, posts.key == comps.node, "left").select("gram", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
@@ -367,18 +389,18 @@ def _join(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     members = materialize(members, "members")
     sizes = members.groupBy("group").agg(F.count("*").alias("members"))
     few = sizes.where(F.col("members") <= PAIRWISE).select("group")
-    more = _by_pairs(open_posts.join(ties.join(few, "group").select("comp"), "comp"), sets, near, numerator, denominator)
+    more = _by_pairs(open_posts.join(ties.join(few, "group").select("comp"), "comp"), best.select("a", "b"), sets, near, numerator, denominator)
     more = more.union(_by_blocks(members.join(few, "group", "left_anti"), sets, numerator, denominator))
     more = materialize(more, "links")
     return connected_components(links.union(more)) if more.limit(1).count() else comps
 
 
-def _by_pairs(posts: DataFrame, sets: DataFrame, near: Column, numerator: int, denominator: int) -> DataFrame:
-    """Links across components in small groups: pairs that share a gram and pass the filters, each verified once."""
+def _by_pairs(posts: DataFrame, tried: DataFrame, sets: DataFrame, near: Column, numerator: int, denominator: int) -> DataFrame:
+    """Links across components in small groups: pairs that share a gram and pass the filters and were not tried before, each verified once."""
     one = posts.select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
     two = posts.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"))
     pairs = one.join(two, "gram").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near)
-    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("at")).select("a", "b", "at.i", "at.j")
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("at")).select("a", "b", "at.i", "at.j").join(small(tried), ["a", "b"], "left_anti")
     return _verified(materialize(pairs, "pairs"), sets, numerator, denominator)
 
 
@@ -442,18 +464,40 @@ def _verify_blocks(numerator: int, denominator: int):
 def _by_blocks(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links across components in large groups, such as thousands of near copies.
 
-    The members are dealt by size into blocks; block pairs that the length
-    filter leaves are compared as a whole, so that neither pairs nor unbounded
-    groups become rows.  Every pair lies in one block pair.
+    The members outside the group's largest component are dealt by size into
+    blocks, and so are those inside; the former meet each other and the latter,
+    where the length filter leaves a block pair.  Blocks are numbered by the
+    counts of (group, side, size), so no task orders a group.  Every pair across
+    components that can link lies in one block pair.
     """
-    order = Window.partitionBy("group").orderBy("n", "key")
-    dealt = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    largest = members.groupBy("group", "comp").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "comp")).alias("top")).select("group", F.col("top.comp").alias("largest"))
+    sided = members.join(small(materialize(largest, "largest")), "group").withColumn("inside", (F.col("comp") == F.col("largest")).cast("long"))
+    before = Window.partitionBy("group", "inside").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sided.groupBy("group", "inside", "n").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    place = F.shiftleft(F.floor(F.col("start") / BLOCK), 24) + F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / BLOCK))
+    dealt = sided.join(counts, ["group", "inside", "n"]).withColumn("block", 2 * place + F.col("inside"))
     rows = dealt.join(sets.select("key", "grams"), "key").select("group", "block", "key", "comp", "n", "grams")
     schema = "group long, block long, low long, high long, keys binary, comps binary, ns binary, lengths binary, grams binary"
     blocks = materialize(rows.groupBy("group", "block").applyInArrow(_pack, schema), "blocks")
     x, y = (blocks.select("group", F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("low", "high")]) for s in "xy")
-    pairs = x.join(y, "group").where((F.col("x_block") <= F.col("y_block")) & (F.lit(denominator) * F.col("x_high") >= F.lit(numerator) * F.col("y_low"))).select("group", "x_block", "y_block")
+    meet = (F.col("x_block") % 2 == 0) & ((F.col("y_block") % 2 == 1) | (F.col("x_block") <= F.col("y_block")))
+    reach = lambda s, t: F.lit(denominator) * F.col(f"{s}_high") >= F.lit(numerator) * F.col(f"{t}_low")
+    pairs = x.join(y, "group").where(meet & reach("x", "y") & reach("y", "x")).select("group", "x_block", "y_block")
     data = ("keys", "comps", "ns", "lengths", "grams")
     for s in "xy":
         pairs = pairs.join(blocks.select("group", F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in data]), ["group", f"{s}_block"])
     return pairs.select(*[f"{s}_{c}" for s in "xy" for c in data]).mapInArrow(_verify_blocks(numerator, denominator), "a long, b long")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+c AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+m AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM m JOIN c x ON x.rid = a JOIN c y ON y.rid = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT any_value(x.doc_id) AS doc_id, any_value(coalesce(c.n, 0))::BIGINT AS n_shingles, min(y.doc_id) AS component_id
+FROM r JOIN d x ON x.rid = r.a JOIN d y ON y.rid = r.b LEFT JOIN c ON c.rid = r.a GROUP BY r.a
+"""

@@ -75,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_lm_scoring": lm_score.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_ngram_jaccard_join": ngram_join.ORACLE,
 }

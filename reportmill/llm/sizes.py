@@ -14,3 +14,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Meant for written tables of fixed-width columns, where counting is cheap.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bytes that a message between two groups of a packed exchange holds on average, and least and most bytes of a group.
+MESSAGE_BYTES = 64 << 10
+GROUP_BYTES = (2 << 20, 64 << 20)
+
+
+def group_bytes(total: int) -> int:
+    """Bytes of text for each group of a packed exchange, in which every group sends to every part.
+
+    The geometric mean of the whole and a message: groups times parts is then
+    the whole by MESSAGE_BYTES, so messages grow in proportion to the input (up
+    to 64 GB of text; beyond, groups stay within a worker's memory and messages
+    get smaller instead, but never smaller than one n-gram).
+    """
+    return int(min(max((total * MESSAGE_BYTES) ** 0.5, GROUP_BYTES[0]), GROUP_BYTES[1]))

@@ -79,6 +79,15 @@ def test_hashes_across_segments(monkeypatch):
     assert (whole[1] == cut[1]).all()
 
 
+def test_long_words_stay_whole(monkeypatch):
+    texts = ["x" * 200 + " b " + "y" * 129, "z" * 64 + " q", "k" * 65, "é" * 100 + "\n" + "A" * 70 + "B"]
+    whole = hashing.word_hashes(*hashing.string_buffer(pa.array(texts)))
+    monkeypatch.setattr(hashing, "SEGMENT", 64)
+    cut = hashing.word_hashes(*hashing.string_buffer(pa.array(texts)))
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert [len(x) for x in ngram_join.shingle_sets(pa.array(["w" * 300 + " b c d e"]), 5)] == [1]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (100, 102)], "a long, b long")
     got = {r.node: r.comp for r in connected_components(edges).collect()}
@@ -216,7 +225,7 @@ def test_line_dedup_matches_brute_force(spark):
         lines, kept = text.split("\n"), []
         for a, b in line_dedup.chunk_spans(lines):
             piece = "\n".join(lines[a:b])
-            if b - a < 2 or len(piece.encode()) < line_dedup.LEAST_BYTES or piece not in seen:
+            if b - a < 2 or not piece.strip() or piece not in seen:
                 kept += lines[a:b]
             if b - a >= 2:
                 seen.add(piece)
@@ -231,14 +240,14 @@ def test_line_dedup_hard(spark):
 
 
 def passages_by_hand(rows):
-    """Every run of two lines and 40 bytes, and every line of over 50 words, that stands at an earlier place goes."""
+    """Every run of two lines that are not all blank, and every line of over 50 words, that stands at an earlier place goes."""
     seen, want = set(), {}
     for i, text, *_ in sorted(rows):
         lines, gone = text.split("\n"), set()
         for a in range(len(lines)):
             for b in range(a + 1, len(lines) + 1):
                 run = "\n".join(lines[a:b])
-                if (b - a >= 2 and len(run.encode()) >= 40) or (b - a == 1 and len(run.split()) > 50):
+                if (b - a >= 2 and run.strip()) or (b - a == 1 and len(run.split()) > 50):
                     if run in seen:
                         gone |= set(range(a, b))
                     seen.add(run)
@@ -246,6 +255,13 @@ def passages_by_hand(rows):
     return want
 
 
+def test_short_lines_go_too(spark):
+    rows = [(i, "\n".join(f"l{k}" for k in range(12)), "en", "s", 0) for i in range(3)] + [(9, "a\n\n\nb", "en", "s", 0), (10, "c\n\n\nd", "en", "s", 0)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_passages(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 12, 2: 12, 9: 0, 10: 0}
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_passages(docs(spark, rows), least_bytes=40).collect())
+
+
 def test_passages_of_any_length_go_whole(spark):
     draw = random.Random(10)
     line = lambda n: " ".join(f"v{draw.randrange(10**6)}" for _ in range(n))
@@ -376,6 +392,15 @@ def test_top_k(spark, bucket, monkeypatch):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(frame([(50, [400_000.0, 1.0]), (1, [1.0, 0.0]), (2, [2.0**20, -3.0])]), F.col("vec_id") % 50 == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 400_000 * 256 * 2**28 - 256 * 768), (1, 26_214_400_000)]
+    for rows in ([(50, [2.0**60]), (1, [1.0])], [(50, [2.0**40]), (1, [2.0**40])]):
+        with pytest.raises(Exception, match="beyond a long"):
+            topk.top_k(frame(rows), F.col("vec_id") % 50 == 0).collect()
+
+
 # Sharding.
 
 
@@ -489,6 +514,17 @@ def test_ngram_join(spark, pairwise, block, monkeypatch):
     assert got == components_by_hand(rows)
 
 
+def test_ngram_join_tells_clashing_keys_apart(spark, monkeypatch):
+    rows = made_texts(60, 33)
+    plain = ngram_join._keys
+    monkeypatch.setattr(ngram_join, "KEY_BITS", 4)
+    got = sorted(str(tuple(r)) for r in ngram_join.similar_components(docs(spark, rows)).collect())
+    assert got == components_by_hand(rows)
+    monkeypatch.setattr(ngram_join, "_keys", lambda own, clashing: (7, plain(own, frozenset())[1]))
+    with pytest.raises(RuntimeError, match="equal keys"):
+        ngram_join.similar_components(docs(spark, rows))
+
+
 @pytest.mark.parametrize("rows", [HARD, []], ids=["hard", "empty"])
 def test_ngram_join_hard(spark, rows):
     assert sorted(str(tuple(r)) for r in ngram_join.similar_components(docs(spark, rows)).collect()) == components_by_hand(rows)
