@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,19 +30,20 @@ SAMPLE = 400
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 RAW = "script style textarea title noscript template iframe svg math object select button".split()
-OTHER_PARTS = frozenset("nav header footer aside form menu dialog".split())
+OTHER_PARTS = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription login signup share sharing social related recommended comment comments commentlist disqus replies respond reply widget toolbar pagination pager copyright complementary contentinfo search skip".split())
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Words of class, id and role attributes: such as stand for other parts, such as do so only by themselves, for content, and before a feature of the page.
+PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription login signup recommended comment comments commentlist disqus replies reply pagination pager complementary contentinfo".split())
+WEAK_WORDS = frozenset("header banner share sharing social related respond widget toolbar copyright search skip".split())
+CONTENT_WORDS = frozenset("article content entry main post story text body results page blog".split())
+FEATURES = frozenset("has with without no is".split())
+READERS = frozenset("comment comments commentlist disqus replies reply".split())
+
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"'<]")
+ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+PART = "/part"
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 
 TEXT, TAG = 0, 1
 #: Weights where no page is labelled.
@@ -50,47 +52,156 @@ DEFAULTS = {"word": 0.6, "link": 0.1, "part": 0.0}
 BLOCK_SHARE, INLINE_SHARE = 0.2, 0.05
 
 
-def _is_part(name: str, rest: str) -> bool:
-    """Whether an element is a menu, notice or another part that is not main text."""
-    if name in ("article", "main", "body", "html"):
-        return False
-    if name in OTHER_PARTS:
-        return True
+def class_words(rest: str) -> list[list[str]]:
+    """The words of each name in the class, id and role of a tag, without names such as has-sidebar."""
+    found = []
     for groups in ATTRIBUTE.findall(rest) if "=" in rest else ():
-        for value in groups:
-            if value and not PART_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
-    return "hidden" in rest and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest) is not None
+        for name in "".join(groups).split():
+            split = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            if split and split[0] not in FEATURES:
+                found.append(split)
+    return found
+
+
+def _prior(word: str) -> float:
+    return -2.0 if word in PART_WORDS else -1.0 if word in WEAK_WORDS else 1.0 if word in CONTENT_WORDS else 0.0
 
 
-def tokens(page: str) -> list[list]:
-    """[kind, value, in a link, in another part, in the named main region] for every text run and tag."""
+def _part(name: str, rest: str, in_main: bool, weight: dict[str, float]) -> str:
+    """Why an element is a menu, notice or another part that is not main text: element, readers, class, or empty if it isn't."""
+    if name in ("article", "main", "body", "html"):
+        return ""
+    if name in OTHER_PARTS or (name == "header" and not in_main) or (rest and HIDDEN.search(ATTRIBUTE.sub(" ", rest))):
+        return "element"
+    for split in class_words(rest):
+        if not (in_main and split == ["header"]) and sum(weight.get(f".{w}", _prior(w)) for w in split) < 0:
+            return "class" if READERS.isdisjoint(split) else "readers"
+    return ""
+
+
+class _Scan:
+    """Tags of a page in one pass; what isn't there is looked for once only."""
+
+    def __init__(self, page: str):
+        self.page, self.lost = page, set()
+        self.low = page.lower() if page.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` is next, -1 if nowhere."""
+        if what in self.lost:
+            return -1
+        found = self.low.find(what, at)
+        if found < 0:
+            self.lost.add(what)
+        return found
+
+    def tag_end(self, at: int) -> tuple[int, bool]:
+        """(end of the attributes, whether the tag is closed); a tag that isn't ends at the next one."""
+        i = at
+        while stop := STOP.search(self.page, i):
+            i, mark = stop.end(), stop[0]
+            if mark == ">":
+                return stop.start(), True
+            if mark == "<":
+                return stop.start(), False
+            if self.page[at : stop.start()][-8:].rstrip().endswith("="):
+                close = self.find(mark, i)
+                i = close + 1 if close >= 0 else i
+        return len(self.page), False
+
+
+def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
+    """[kind, value, in a link, in another part, in the named main region, class words] for every text run and tag.
+
+    An element that is not closed ends with the one around it, another part
+    also where an article begins in it.
+    """
+    scan, weight = _Scan(page), weight or {}
     out: list[list] = []
-    open_at: dict[str, list[int]] = {}
-    link = 0
-    for m in TOKEN.finditer(page):
-        if m["text"] is not None:
-            text = html.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            if out and out[-1][0] == TEXT:
-                out[-1][1] += text
-            else:
-                out.append([TEXT, text, link > 0, False, False])
-        elif m["name"] is not None:
-            name = m["name"].lower()
+    stack: list[tuple[str, int, str]] = []  # name, its tag's place in ``out``, why it is a part
+    held: Counter = Counter()
+    spans: list[tuple[int, int, str]] = []
+    link = at = 0
+
+    def text(piece: str) -> None:
+        piece = html.unescape(piece) if "&" in piece else piece
+        if out and out[-1][0] == TEXT:
+            out[-1][1].append(piece)
+        elif piece:
+            out.append([TEXT, [piece], link > 0, False, False, ()])
+
+    def close() -> None:
+        name, begin, why = stack.pop()
+        held[name] -= 1
+        held[PART] -= bool(why)
+        if why or name in ("article", "main"):
+            spans.append((begin, len(out), why or name))
+
+    while at < len(page):
+        tag = scan.find("<", at)
+        if tag < 0:
+            text(page[at:])
+            break
+        if tag > at:
+            text(page[at:tag])
+        m = NAME.match(page, tag)
+        if page.startswith("<!--", tag):
+            end = scan.find("-->", tag + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif not m:
+            end = scan.find(">", tag) if page[tag + 1 : tag + 2] in ("!", "?") else -1
+            if end < 0:
+                text("<")
+            at = end + 1 if end >= 0 else tag + 1
+        else:
+            name = m[2].lower()
+            end, closed = scan.tag_end(m.end())
+            rest, at = page[m.end() : end], end + closed
+            if not closed:
+                continue
             if name == "a":
-                link = 0 if m["end"] else 1
-            out.append([TAG, m["end"] + name, False, False, False])
-            if m["end"]:
-                if started := open_at.get(name):
-                    at, mark = started.pop()
-                    if mark:
-                        for t in out[at:]:
-                            t[mark] = True
-            elif name not in VOID and not m["rest"].endswith("/"):
-                mark = 3 if _is_part(name, m["rest"]) else 4 if name in ("article", "main") else 0
-                open_at.setdefault(name, []).append((len(out) - 1, mark))
-        elif m["raw"] is not None:
-            out.append([TAG, m["raw"].lower(), False, True, False])
+                link = 0 if m[1] else 1
+            if name in RAW and not m[1] and not rest.endswith("/"):
+                out.append([TAG, name, False, True, False, ()])
+                end = scan.find(f"</{name}", at)
+                at = end if end >= 0 else len(page)
+                if end >= 0:
+                    end, closed = scan.tag_end(at + 2 + len(name))
+                    at = end + closed
+                continue
+            if m[1]:
+                out.append([TAG, "/" + name, False, False, False, ()])
+                if held[name]:
+                    while stack[-1][0] != name:
+                        close()
+                    close()
+                continue
+            if name in ("article", "main") and held[PART]:
+                while held[PART]:
+                    close()
+            found = class_words(rest)
+            out.append([TAG, name, False, False, False, tuple(dict.fromkeys(w for x in found for w in x))])
+            if name not in VOID and not rest.endswith("/"):
+                why = _part(name, rest, held["article"] + held["main"] > 0, weight)
+                stack.append((name, len(out) - 1, why))
+                held[name] += 1
+                held[PART] += bool(why)
+    while stack:
+        close()
+    for t in out:
+        if t[0] == TEXT:
+            t[1] = "".join(t[1])
+    n_words = [len(t[1].split()) if t[0] == TEXT else 0 for t in out]
+    upto = [0, *accumulate(n_words)]
+    for column, named in ((3, ("element", "readers", "class")), (4, ("article", "main"))):
+        change = [0] * (len(out) + 1)
+        for begin, end, why in spans:
+            # A name that holds most of the page describes its layout.
+            if why in named and not (why == "class" and 5 * (upto[end] - upto[begin]) > 3 * upto[-1]):
+                change[begin] += 1
+                change[end] -= 1
+        for t, depth in zip(out, accumulate(change), strict=False):
+            t[column] = t[column] or depth > 0
     return out
 
 
@@ -113,6 +224,8 @@ def count_kinds(page: str) -> Counter:
     for t in found:
         edge = t[0] == TAG and t[1].removeprefix("/") in ("article", "main")
         counts[_kind(t), t[4] and not edge] += len(t[1].split()) if t[0] == TEXT else 1
+        for word in () if edge else t[5]:
+            counts["." + word, t[4]] += 1
     return counts
 
 
@@ -123,8 +236,7 @@ def _most(kind: str, weight: dict[str, float]) -> float:
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Log-odds of each kind of token inside the main region, held above 0 for words and a little below 0 for tags."""
-    inside = sum(n for (_, i), n in counts.items() if i)
-    outside = sum(n for (_, i), n in counts.items() if not i)
+    inside, outside = (sum(n for (k, i), n in counts.items() if i == side and k[0] != ".") for side in (True, False))
     out = dict(DEFAULTS)
     if not inside or not outside:
         return out
@@ -134,7 +246,9 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     if "link" in odds:
         out["link"] = max(0.05, min(0.3, odds["link"]))
     for kind in odds:
-        if kind.startswith("<"):
+        if kind.startswith("."):
+            out[kind] = _prior(kind[1:]) + max(-2.0, min(2.0, math.log((counts.get((kind, True), 0) + 1) / (counts.get((kind, False), 0) + 1))))
+        elif kind.startswith("<"):
             most = _most(kind, out)
             out[kind] = min(-0.2 * most, max(-most, odds[kind]))
     return out
@@ -154,7 +268,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The main text of a page; empty for a page without words."""
-    found = tokens(page or "")
+    found = tokens(page or "", weight)
     scores = []
     for t in found:
         kind = _kind(t)
@@ -165,9 +279,27 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
         else:
             scores.append(weight[kind] if kind in weight else -_most(kind, weight))
     a, b = best_region(scores)
+    taken = [a <= i < b for i in range(len(found))]
+    # Of an article in several parts each that earns more than its tags cost is main text.
+    begin = depth = 0
+    for i, t in enumerate(found):
+        if t[0] == TAG and t[1] in ("article", "/article") and not t[3]:
+            if t[1] == "article":
+                begin = begin if depth else i
+                depth += 1
+            elif depth:
+                depth -= 1
+                if not depth and any(taken) and sum(scores[begin:i]) > 0:
+                    taken[begin : i + 1] = [True] * (i + 1 - begin)
+    # Beside a named main region, links outside it are a menu.
+    if any(t[4] and taken[i] for i, t in enumerate(found)):
+        taken = [x and (t[4] or not t[2]) for x, t in zip(taken, found, strict=True)]
     pieces = []
-    for t in found[a:b]:
-        if t[0] == TEXT:
+    for i, t in enumerate(found):
+        if not taken[i]:
+            if i and taken[i - 1]:
+                pieces.append(" ")
+        elif t[0] == TEXT:
             if not t[3]:
                 pieces.append(t[1])
         elif t[1].removeprefix("/") not in INLINE:
@@ -200,8 +332,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     space, blocks are joined in page order by one space.
 
     Defined cases: a null or empty page, or one without words outside other
-    parts, has the empty text; a part that is never closed is read as main text;
-    unclosed comments and scripts reach to the end; repeated rows give repeated
+    parts, has the empty text; an element that is never closed ends with the one
+    around it, an unclosed tag at the next tag, an unclosed comment or script at
+    the end of the page; time is in proportion to the page's length; repeated rows give repeated
     rows; an empty table gives an empty result; other columns are ignored.
     """
     weight = learn(pages, id_col, html_col, sample)
