@@ -1,13 +1,16 @@
 """Stupid-backoff scores against the whole corpus, computed relationally.
 
-Texts are dealt into groups of a few megabytes.  Each group explodes its texts
-into n-grams and sends every different one once, packed, to the part that its
-hash names; there the corpus counts are summed.  The counts go back to the
-groups, where each text's n-grams are joined to them and the scores summed per
-document.  A hot n-gram counts once per group, never once per text.
-
-A text is scored by the counts of all other texts: its own n-grams are taken
-off, so a copy elsewhere raises a score and the text itself doesn't.
+Texts are dealt into groups.  Each group explodes its texts into n-grams and
+counts the different ones; these partial counts go, packed, to the count table
+of their order and hash range, where they are summed.  The table's counts are
+joined to the n-grams that a group asked for and go back to it, where the
+scores are summed per document.  A hot n-gram counts once per group, never once
+per text.  Groups and tables grow with the square root of the corpus, so the
+messages between them are in proportion to it (``sizes.group_bytes``).
+
+Under the counts of the whole corpus every n-gram of a text has been seen, in
+the text itself, so nothing is ever given up.  ``leave_one_out`` takes a text's
+own counts off: a copy elsewhere raises its score and the text itself doesn't.
 """
 
 from __future__ import annotations
@@ -20,13 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import U64, gram_hashes, string_buffer, word_hashes
+from .sizes import group_bytes
 from .workspace import bound_batches
 
 ORDER = 3
 BACKOFF = 0.4
-GROUP_BYTES = 8 << 20
-#: Bytes of hash that tell n-grams of one part and order apart; with the part's own bits about 2**47.
-HASH_BYTES = 5
 
 
 def _exploded(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -51,16 +52,19 @@ def _parts(values: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, part: int, parts: int) -> bytes:
-    """Sorted hashes of one part as gaps of 40 bits, byte plane by byte plane; the empty planes compress to nothing."""
+    """Sorted 64-bit hashes of one part as gaps, byte plane by byte plane; planes without a bit are left out."""
     base = ((part << 32) + parts - 1) // parts
-    near = (values - (U64(base) << U64(32))) >> U64(max(0, 64 - (parts.bit_length() - 1) - 8 * HASH_BYTES))
-    gaps = np.diff(near, prepend=U64(0)).astype("<u8")
-    return gaps.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].T.tobytes()
+    gaps = np.diff(values - (U64(base) << U64(32)), prepend=U64(0)).astype("<u8")
+    planes = gaps.view(np.uint8).reshape(-1, 8).T
+    used = max([0, *np.flatnonzero(planes.any(axis=1))]) + 1
+    return bytes([used]) + planes[:used].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(HASH_BYTES, -1).T
+    """The hashes again, less their part's base."""
+    used = raw[0]
+    out = np.zeros(((len(raw) - 1) // used, 8), np.uint8)
+    out[:, :used] = np.frombuffer(raw, np.uint8, offset=1).reshape(used, -1).T
     return np.cumsum(out.reshape(-1).view("<u8"), dtype=U64)
 
 
@@ -104,31 +108,29 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    """A part's counts, summed over all groups, for each group that asked, in its order."""
+    """The count table of one order and part, joined to the n-grams of each group that asked, in its order."""
     rows = table.to_pylist()
-    out = []
-    for n in sorted({r["n"] for r in rows}):
-        own = [r for r in rows if r["n"] == n]
-        grams = [_unpack(r["grams"]) for r in own]
-        sizes = np.cumsum([len(g) for g in grams])[:-1]
-        _, back = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(back, np.concatenate([_full(r["counts"], len(g)) for r, g in zip(own, grams, strict=True)])).astype(np.int64)
-        out += [(r["part"], r["doc_group"], n, None, _small(x)) for r, x in zip(own, np.split(totals[back], sizes), strict=True)]
-    return _table(out)
-
-
-def _less_own(values: np.ndarray, totals: np.ndarray, grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each n-gram occurrence, its corpus count without those of its own text."""
+    grams = [_unpack(r["grams"]) for r in rows]
+    sizes = np.cumsum([len(g) for g in grams])[:-1]
+    _, back = np.unique(np.concatenate(grams), return_inverse=True)
+    totals = np.bincount(back, np.concatenate([_full(r["counts"], len(g)) for r, g in zip(rows, grams, strict=True)])).astype(np.int64)
+    return _table([(r["part"], r["doc_group"], r["n"], None, _small(x)) for r, x in zip(rows, np.split(totals[back], sizes), strict=True)])
+
+
+def _counted(values: np.ndarray, totals: np.ndarray, grams: np.ndarray, doc: np.ndarray, leave_one_out: bool) -> np.ndarray:
+    """For each n-gram occurrence its corpus count, without those of its own text if these are left out."""
     out = np.zeros(len(grams), np.int64)
     at = np.flatnonzero(grams != 0)
     if len(at):
         index = np.searchsorted(values, grams[at])
-        _, back, own = np.unique(doc[at] * len(values) + index, return_inverse=True, return_counts=True)
-        out[at] = totals[index] - own[back]
+        out[at] = totals[index]
+        if leave_one_out:
+            _, back, own = np.unique(doc[at] * len(values) + index, return_inverse=True, return_counts=True)
+            out[at] -= own[back]
     return out
 
 
-def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind: pa.DataType):
+def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind: pa.DataType, leave_one_out: bool):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table([pa.nulls(0, id_kind), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "n_words", "log_score"])
@@ -143,9 +145,9 @@ def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind:
             values, _ = _distinct(own)
             bounds = _parts(values, parts)
             pieces = [_full(known[n][p], bounds[p + 1] - bounds[p]) for p in range(parts) if bounds[p + 1] > bounds[p]]
-            left.append(_less_own(values, np.concatenate(pieces) if pieces else np.zeros(0, np.int64), own, doc))
-        total = np.maximum(words_in_all - np.repeat(sizes, sizes), 1)
-        # Backward: the longest n-gram that other texts hold decides.
+            left.append(_counted(values, np.concatenate(pieces) if pieces else np.zeros(0, np.int64), own, doc, leave_one_out))
+        total = np.maximum(words_in_all - (np.repeat(sizes, sizes) if leave_one_out else 0), 1)
+        # Backward: the longest n-gram that was seen decides.
         scores = np.log(np.maximum(left[0], 0.5) / total)
         for n in range(2, order + 1):
             context = np.zeros(len(doc), np.int64)
@@ -165,16 +167,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(first[-1])], pa.int64())], names=["n"])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = False) -> DataFrame:
     """One row per document: (id_col, n_words, log_score, score).
 
     log_score sums ln S(w | up to order - 1 words before) over the words
     ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased); score is its mean.  S is the count
-    of the longest n-gram ending at w that other texts hold, over that of its
-    context, times ``backoff`` for each order given up.  A word that no other
-    text holds counts as half an occurrence.
+    of the longest n-gram ending at w that was seen, over that of its context,
+    times ``backoff`` for each order given up.  Counts are those of all texts,
+    or of all other texts with ``leave_one_out``; a word never seen counts as
+    half an occurrence.
 
-    Defined cases: a text without words has n_words 0, log_score 0.0 and a null
+    Defined cases: words and texts of any length are taken whole; a text without words has n_words 0, log_score 0.0 and a null
     score; a repeated row is another text, so its copies count for it; null ids
     are scored like others; an empty table gives an empty result; other columns
     are ignored.
@@ -183,14 +186,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     text = F.col(text_col).cast("string")
     totals = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     words = docs.select(text.alias("text")).mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
-    parts = max(4, -(-totals // GROUP_BYTES))
+    parts = max(4, -(-totals // group_bytes(totals)))
     kind = docs.schema[id_col].dataType.simpleString()
     group = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int")
     texts = docs.select(group.alias("doc_group"), F.col(id_col).alias("id"), text.alias("text"))
     row = "part int, doc_group int, n int, grams binary, counts binary"
     asked = texts.groupBy("doc_group").applyInArrow(_ask(order, parts), row)
-    replies = asked.groupBy("part").applyInArrow(_sum, row)
-    answer = _answer(order, parts, backoff, words, to_arrow_type(docs.schema[id_col].dataType))
+    replies = asked.groupBy("part", "n").applyInArrow(_sum, row)
+    answer = _answer(order, parts, backoff, words, to_arrow_type(docs.schema[id_col].dataType), leave_one_out)
     out = texts.groupBy("doc_group").cogroup(replies.groupBy("doc_group")).applyInArrow(answer, f"id {kind}, n_words long, log_score double")
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("score"))
 
@@ -212,5 +215,5 @@ LEFT JOIN a3 ON a3.u = g.u AND a3.v = g.v AND a3.w = g.w LEFT JOIN o3 ON o3.rid
 s1 AS (SELECT *, ln(greatest(cw, 0.5) / rest) AS s FROM c),
 s2 AS (SELECT * REPLACE (CASE WHEN cvw > 0 THEN ln(cvw / greatest(cv, 1)) WHEN v IS NOT NULL THEN ln(0.4) + s ELSE s END AS s) FROM s1),
 s3 AS (SELECT rid, sum(CASE WHEN cuvw > 0 THEN ln(cuvw / greatest(cuv, 1)) WHEN u IS NOT NULL THEN ln(0.4) + s ELSE s END) AS log_score, count(*) AS n FROM s2 GROUP BY rid)
-SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(log_score, 0), 6) AS log_score, round(log_score / n, 6) AS score FROM d LEFT JOIN s3 USING (rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(log_score / n, 6) AS score FROM d LEFT JOIN s3 USING (rid)
 """

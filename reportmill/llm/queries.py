@@ -27,8 +27,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(_table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("score", 6).alias("score"))
+    scored = lm_score.score(_table(spark, sf_dir, "documents"), leave_one_out=True)
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -181,6 +182,64 @@ def test_main_text_keeps_all_of_the_article():
         assert html_text.main_text(menu_page, weight) == f"Head {say(60, 'w')} {listed}"
 
 
+FIFTY = " ".join(f"word{i}" for i in range(50))
+MENU = "<ul>" + "".join(f"<li><a href=x>menu {i}</a></li>" for i in range(200)) + "</ul>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<div class="search-results"><p>{FIFTY}</p></div>', FIFTY),
+    (f'<body class="blog with-sidebar"><div class="post has-header"><p>{FIFTY}</p></div></body>', FIFTY),
+    (f'<article><div class="article-share-wrap"><p>{FIFTY}</p></div></article>', FIFTY),
+    (f"<article><header><h1>The title</h1></header><p>{FIFTY}</p></article>", "The title " + FIFTY),
+    (f"<article><p>{FIFTY}</p></article>{MENU}<article><p>{FIFTY}</p></article>", FIFTY + " " + FIFTY),
+    (f"<body><article><p>{FIFTY}</p></article><aside><p>advert text here</p></body>", FIFTY),
+    (f"<body><article><p>{FIFTY}</p></article><footer>foot text here", FIFTY),
+    (f'<article><p>{FIFTY}</p><div class="comment-body"><p>a reader says</p></div></article>', FIFTY),
+    (f"<aside>x <article><p>{FIFTY}</p></article>", FIFTY),
+    (f"<p>a &lt; b < c {FIFTY} 3 <4</p>", f"a < b < c {FIFTY} 3 <4"),
+    (f"<part><p>{FIFTY}</p></part>", FIFTY),
+])
+def test_main_text_of_layouts(page, text):
+    assert html_text.main_text(page, html_text.DEFAULTS) == text
+
+
+@pytest.mark.parametrize("piece", ["<script x", "<a ", '<a href="', "<p '", "<div class=ad>", "<", "<!", "</b>", "<!--", "<a =", "<p>", "<article>"])
+def test_unclosed_markup_takes_linear_time(piece):
+    began = time.process_time()
+    html_text.main_text(piece * ((1 << 18) // len(piece)), html_text.DEFAULTS)
+    assert time.process_time() - began < 5
+
+
+def test_class_words_are_learned():
+    page = '<div class="promo">x y</div><main><div class="widget">a b c d e f g</div></main>'
+    weight = html_text.weights(sum((html_text.count_kinds(page) for _ in range(20)), Counter()))
+    assert weight[".widget"] > 0 > weight[".promo"]
+    assert html_text.main_text('<div class="widget"><p>one two three four</p></div>', weight) == "one two three four"
+
+
+def region_by_hand(scores):
+    """Of all runs of highest positive sum the longest, the first of equals."""
+    runs = [(sum(scores[a:b]), b - a, -a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    best = max(runs, default=(0, 0, 0))
+    return (-best[2], -best[2] + best[1]) if best[0] > 0 else (0, 0)
+
+
+def test_whole_extraction_matches_brute_force():
+    """Pages of flat blocks: the text is that of the best run of blocks, found by trying all."""
+    draw = random.Random(41)
+    for _ in range(200):
+        blocks = [("li" if draw.random() < 0.4 else "p", [f"w{draw.randrange(99)}" for _ in range(draw.choice((0, 1, 3, 9)))], draw.random() < 0.4) for _ in range(draw.randint(0, 7))]
+        page = "".join(f"<{n}>" + (f"<a href=x>{' '.join(w)}</a>" if linked else " ".join(w)) + f"</{n}>" for n, w, linked in blocks)
+        weight = {"word": 0.5, "link": 0.125, "<li>": -0.75, "</li>": -0.75, "<p>": -0.125, "</p>": -0.125, "<a>": -0.25, "</a>": -0.25}
+        flat = []
+        for n, w, linked in blocks:
+            flat += [(weight[f"<{n}>"], "")] + [(weight["<a>"], "")] * linked
+            flat += [(len(w) * weight["link" if linked else "word"], " ".join(w))] * bool(w)
+            flat += [(weight["</a>"], "")] * linked + [(weight[f"</{n}>"], "")]
+        a, b = region_by_hand([x for x, _ in flat])
+        assert html_text.main_text(page, weight).split() == " ".join(t for _, t in flat[a:b]).split()
+
+
 def test_best_region_is_the_best():
     draw = random.Random(1)
     for _ in range(200):
@@ -285,16 +344,16 @@ def test_passages_of_any_length_go_whole(spark):
 # Language model.
 
 
-def scored_by_hand(texts):
+def scored_by_hand(texts, leave_one_out):
     grams = [Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in texts]
     every = sum(grams, Counter())
     total = sum(map(len, texts))
     out = []
     for w, own in zip(texts, grams, strict=True):
-        c = lambda *g, own=own: every[g] - own[g]
+        c = lambda *g, own=own: every[g] - own[g] * leave_one_out
         s = 0.0
         for i, x in enumerate(w):
-            value = math.log(max(c(x), 0.5) / max(total - len(w), 1))
+            value = math.log(max(c(x), 0.5) / max(total - len(w) * leave_one_out, 1))
             for n in (2, 3):
                 if i >= n - 1:
                     g = tuple(w[i - n + 1 : i + 1])
@@ -305,9 +364,10 @@ def scored_by_hand(texts):
 
 
 @pytest.mark.parametrize("rows", [made_texts(120, 11), HARD, []], ids=["made", "hard", "empty"])
-def test_lm_scores(spark, rows):
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 4)) for r in lm_score.score(docs(spark, rows)).collect())
-    want = sorted((r[0] is None, r[0] or 0, n, round(s, 4)) for r, (n, s) in zip(rows, scored_by_hand([words(r[1]) for r in rows]), strict=True))
+@pytest.mark.parametrize("leave", [False, True])
+def test_lm_scores(spark, rows, leave):
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 4)) for r in lm_score.score(docs(spark, rows), leave_one_out=leave).collect())
+    want = sorted((r[0] is None, r[0] or 0, n, round(s, 4)) for r, (n, s) in zip(rows, scored_by_hand([words(r[1]) for r in rows], leave), strict=True))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(math.isclose(g[3], w[3], rel_tol=1e-6, abs_tol=1e-3) for g, w in zip(got, want, strict=True))
 
