@@ -13,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .workspace import bound_batches, materialize
@@ -29,13 +31,21 @@ def digest32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def _payload(value: pa.Scalar) -> memoryview:
+    """A string or binary value's own bytes, without a copy; a null has none."""
+    return memoryview(value.as_buffer()) if value.is_valid else memoryview(b"")
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [b"" if not x.is_valid else x.as_buffer() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), pa.array([len(x) for x in raw], pa.int64()), pa.array([digest32(hashlib.sha1(x).digest()) for x in raw])],
-            names=["page_id", "k1", "k2", "payload_bytes", "payload_digest"],
-        )
+        sizes, digests = [], []
+        for value in batch.column(1):
+            raw, sha = _payload(value), hashlib.sha1()
+            for at in range(0, len(raw), CHUNK_BYTES):
+                sha.update(raw[at : at + CHUNK_BYTES])
+            sizes.append(len(raw))
+            digests.append(digest32(sha.digest()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["page_id", "k1", "k2", "payload_bytes", "payload_digest"])
 
 
 def _hashes(page: Column) -> list[Column]:
@@ -59,42 +69,57 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return joined.select("page_id", "k1", "k2", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
-def _chunks(text: str, size: int) -> Iterator[str]:
-    """Pieces of at most ``size`` bytes in UTF-8, cut between characters."""
-    step = max(1, size // 4)
-    if len(text) <= step:
-        yield text
-        return
+def _chunks(raw: memoryview, size: int) -> Iterator[memoryview]:
+    """Pieces of at most ``size`` bytes (4 at least) of UTF-8, cut between characters; one empty piece of nothing."""
+    size = max(4, size)
+    if not len(raw):
+        yield raw
     at = 0
-    while at < len(text):
-        to = min(len(text), at + step)
-        if 0 < to < len(text) and text[to - 1] == "\r":  # a line end stays whole
-            to += text[to] == "\n"
-        yield text[at:to]
+    while at < len(raw):
+        to = min(len(raw), at + size)
+        while to < len(raw) and raw[to] & 0xC0 == 0x80:
+            to -= 1
+        if to < len(raw) and to - at > 1 and raw[to - 1 : to + 1] == END.encode():  # a line end stays whole
+            to -= 1
+        yield raw[at:to]
         at = to
 
 
+def _name(page: object) -> str:
+    """A page's id in a record's."""
+    return URN + quote("" if page is None else str(page), safe="")
+
+
+def _page(record_id: str) -> str:
+    return unquote(record_id.strip("<>").removeprefix(URN).split("#")[0])
+
+
 def _records(chunk: int):
-    """Rows of page to the text of their WARC records, one row a record."""
+    """Rows of page to the text of their WARC records, one row a record.
+
+    A segment is named by its page and number; of pages in several equal rows
+    each row has a mark of its own as well, so that no two records share an id.
+    """
 
-    def head(fields: list[tuple[str, object]], body: str) -> str:
-        lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {len(body.encode())}"]
+    def head(fields: list[tuple[str, object]], body: str, size: int) -> str:
+        lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {size}"]
         return END.join(lines) + END + END + body + END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn = TaskContext.get(), 0
         for batch in batches:
             out: list[str] = []
             held = 0
-            for page, url, page_html, size, digest, refers in zip(*(batch.column(i) for i in range(6)), strict=True):
-                own = f"{URN}{'' if not page.is_valid else page.as_py()}"
-                base = [("WARC-Record-ID", f"<{own}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join((url.as_py() or "").split()) or None), ("WARC-Payload-Digest", f"sha1:{digest.as_py()}"), ("X-Payload-Length", size.as_py())]
+            for page, url, page_html, size, digest, refers, copies in zip(*(batch.column(i) for i in range(7)), strict=True):
+                turn += 1
+                own = _name(page.as_py()) + (f"#{task.partitionId() if task else 0}.{turn}" if copies.as_py() > 1 else "")
+                base = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join((url.as_py() or "").split()) or None), ("WARC-Payload-Digest", f"sha1:{digest.as_py()}"), ("X-Payload-Length", size.as_py())]
                 if refers.is_valid:
-                    records = [head([("WARC-Type", "revisit"), *base, ("WARC-Refers-To", f"<{URN}{refers.as_py()}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], "")]
+                    records = iter([head([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{own}>"), *base, ("WARC-Refers-To", f"<{_name(refers.as_py())}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], "", 0)])
                 else:
-                    pieces = _chunks(page_html.as_py() or "", chunk)
                     records = (
-                        head([("WARC-Type", "continuation" if n else "response"), *base, ("WARC-Segment-Number", n + 1), ("WARC-Segment-Origin-ID", f"<{own}>" if n else None), ("Content-Type", "text/html; charset=utf-8")], piece)
-                        for n, piece in enumerate(pieces)
+                        head([("WARC-Type", "continuation" if n else "response"), ("WARC-Record-ID", f"<{own}{'#' * (own.count('#') == 0)}/{n + 1}>" if n else f"<{own}>"), *base, ("WARC-Segment-Number", n + 1), ("WARC-Segment-Origin-ID", f"<{own}>" if n else None), ("Content-Type", "text/html; charset=utf-8")], str(piece, "utf-8"), len(piece))
+                        for n, piece in enumerate(_chunks(_payload(page_html), chunk))
                     )
                 for r in records:
                     out.append(r)
@@ -111,9 +136,10 @@ def _records(chunk: int):
 def write_archives(pages: DataFrame, plan: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = CHUNK_BYTES) -> None:
     """Write a record for every page below ``path``, as planned."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), *_hashes(F.col(html_col)))
-    once = plan.dropDuplicates(["page_id", "k1", "k2"]).withColumnsRenamed({"page_id": "_id", "k1": "_k1", "k2": "_k2"})
+    once = plan.groupBy("page_id", "k1", "k2").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_digest", "refers_to")], F.count("*").alias("copies"))
+    once = once.withColumnsRenamed({"page_id": "_id", "k1": "_k1", "k2": "_k2"})
     full = rows.join(once, rows["page_id"].eqNullSafe(once["_id"]) & (rows["k1"] == once["_k1"]) & (rows["k2"] == once["_k2"]))
-    records = full.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to").mapInArrow(_records(chunk), "value string")
+    records = full.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "copies").mapInArrow(_records(chunk), "value string")
     records.write.option("compression", "gzip").option("lineSep", END).text(path)
 
 
@@ -146,7 +172,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = b"".join(body)
                 if len(text) != int(fields["Content-Length"]):
                     raise ValueError(f"record {fields.get('WARC-Record-ID')} is cut short")
-                out.append((fields["WARC-Segment-Origin-ID" if "WARC-Segment-Origin-ID" in fields else "WARC-Record-ID"].strip("<>").removeprefix(URN), fields["WARC-Type"], int(fields.get("WARC-Segment-Number", 1)), text, fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), fields["WARC-Refers-To"].strip("<>").removeprefix(URN) if "WARC-Refers-To" in fields else None))
+                out.append((fields["WARC-Segment-Origin-ID" if "WARC-Segment-Origin-ID" in fields else "WARC-Record-ID"].strip("<>").removeprefix(URN), fields["WARC-Type"], int(fields.get("WARC-Segment-Number", 1)), text, fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None))
                 state = "between"
         if out:
             kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string()]
@@ -185,7 +211,7 @@ def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataF
             record_id, kind, header_digest, header_length, refers = now
             if kind == "response" and (digest32(sha.digest()), size) != (header_digest, header_length):
                 raise ValueError(f"record {record_id} does not match its digest")
-            return record_id or None, header_length, header_digest, kind, refers
+            return _page(record_id) or None, header_length, header_digest, kind, refers
 
         for batch in _assemble(batches):
             out = []
