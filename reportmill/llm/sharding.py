@@ -132,7 +132,7 @@ class ShardStore:
         return due
 
     def compact(self, at_once: int = 8) -> int:
-        """Merge until no run is due; the retired shards go once their successor version is committed."""
+        """Merge until no run is due; retired shards stay for readers of older versions until ``vacuum``."""
         while due := self.merges_due(shards := self.shards(base := self.version())):
             folder = f"data/m{base + 1:09d}-{self._jvm.java.util.UUID.randomUUID()}"
 
@@ -146,10 +146,25 @@ class ShardStore:
                 merged = [s for new in pool.map(merge, enumerate(due)) for s in new]
             gone = {s.path for run in due for s in run}
             self.commit(base, [s for s in shards if s.path not in gone] + merged)
-            for path in gone:
-                delete(self.spark, f"{self.root}/{path}")
         return self.version()
 
+    def vacuum(self, older_than: int | None = None, at_once: int = 8) -> list[int]:
+        """Delete versions below ``older_than`` (the newest unless given) and the shards that only they name; returns them.
+
+        Readers of those versions must have ended.
+        """
+        newest = self.version()
+        keep_from = newest if older_than is None else min(older_than, newest)
+        versions = sorted(int(n[1:-5]) for n, _ in self._list("manifest") if n.startswith("v") and n.endswith(".json"))
+        live = {s.path for v in versions if v >= keep_from for s in self.shards(v)}
+        old = [v for v in versions if v < keep_from]
+        gone = {s.path for v in old for s in self.shards(v)} - live
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(lambda path: delete(self.spark, f"{self.root}/{path}"), sorted(gone)))
+        for v in old:
+            delete(self.spark, f"{self.root}/manifest/v{v:09d}.json")
+        return old
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version's shards."""
         return self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in self.shards(version)])
@@ -167,8 +182,8 @@ def shard(docs: DataFrame, root: str, target: int = TARGET_BYTES, arrival_rows:
     """Append ``docs`` to the store below ``root`` and compact it.
 
     Every row is kept as it is: nulls, empty and very long texts, repeated rows
-    and further columns included.  An empty table gives a store with one empty
-    shard.
+    and further columns included; rows aren't ordered, so ties don't arise.  An
+    empty table gives a store with one empty shard.
     """
     store = ShardStore(docs.sparkSession, root, target, fan_in)
     store.append(docs, arrival_rows)
