@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .workspace import materialize
+from .workspace import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = low.alias("l").join(low.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp")
         fresh = materialize(jump.select("node", F.least("comp", "up").alias("comp")), "labels")
         moved = fresh.join(labels.withColumnRenamed("comp", "was"), "node").where("comp <> was").limit(1).count()
+        discard(low)
+        discard(labels)
         labels = fresh
         if not moved:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .hashing import U64, gram_hashes, mix64, string_buffer, word_hashes
 from .sizes import BROADCAST_ROWS
-from .workspace import bound_batches
+from .workspace import bound_batches, materialize
 
-#: Hashed indicator space; labelled rows used at most; passes over them.
+#: Hashed indicator space; labelled rows and bytes of text used at most; passes over them.
 BITS = 20
 SAMPLE = 8_000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 12
 THRESHOLD = 0.3
 
@@ -160,10 +161,12 @@ def fold(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, cost: float = 0.1) -> Model:
-    """Fit on at most ``sample`` labelled ids outside fold 0, those of smallest hash.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, cost: float = 0.1, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` labelled ids outside fold 0, those of smallest hash, and at most ``sample_bytes`` of their texts.
 
-    Labels other than 0 and 1, and ids whose labels disagree, are left out.
+    Defined cases: labels other than 0 and 1, ids whose labels disagree and null
+    ids are left out; of several documents of an id the smallest text counts; a
+    null text is like an empty one; empty tables give a model that scores 0.5.
     """
     if sample > BROADCAST_ROWS:
         raise ValueError(f"a sample of at most {BROADCAST_ROWS} labelled rows")
@@ -171,7 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(id_col) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"), F.max(label_col).alias("_high")).where("_label = _high")
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", "_label")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select(F.xxhash64("_id", "_text").alias("_place"), "_label", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    texts = materialize(texts.select(F.xxhash64("_id", "_text").alias("_place"), "_label", "_text"), "sample")
+    sizes = sorted(texts.select("_place", F.coalesce(F.octet_length("_text"), F.lit(0))).collect())  # ``sample`` rows at most
+    fits = np.searchsorted(np.cumsum([n for _, n in sizes]), sample_bytes, side="right")
+    texts = texts.where(F.col("_place") <= sizes[fits - 1][0]) if 0 < fits < len(sizes) else texts.limit(0) if not fits else texts
     got = texts.mapInArrow(_learn, "place long, label int, ids binary").toArrow().combine_chunks()
     if not got.num_rows:
         return fit([], np.zeros(0, np.int64), cost=cost)

@@ -8,10 +8,12 @@ the lineage and leaves nothing on one machine only.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,11 @@ _written: list[tuple[weakref.ref, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder; one of our own only in a single local process without one, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="reportmill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -51,7 +55,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned, once nothing reads it any more."""
+    delete(df.sparkSession, df._written_to.rsplit("/", 1)[0])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete every table that is written inside, when it ends; what outlives it must have its path from before."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        for _, path in _written[mark:]:
+            delete(spark, path)
+        del _written[mark:]
 
 
 def delete(spark: SparkSession, path: str) -> None:
