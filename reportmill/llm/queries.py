@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, mixing, ngram_join, quality, sharding, topk, warc
+from . import decontaminate, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, sharding, topk, warc
 from .workspace import new_path
 
 
@@ -57,9 +57,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -423,6 +424,23 @@ def test_warc_round_trip(spark, tmp_path):
             assert len(r.chunk) <= chunk
         assert chunks == {i: (payloads[i] or "").encode() for i in payloads if i not in (1, 3, 4)}
     assert warc.archive(pages.limit(0), str(tmp_path / "none")).count() == 0
+    twice = pages.where("page_id in (7, 10)").union(pages.where("page_id in (7, 10)"))
+    assert Counter(r.page_id for r in warc.archive(twice, str(tmp_path / "twice"), chunk=64).collect()) == {7: 2, 10: 2}
+    ids = [r[0] for r in spark.read.option("lineSep", "\r\n").text(str(tmp_path / "twice")).where("value like 'WARC-Record-ID: %'").collect()]
+    assert len(ids) == len(set(ids)) > 4
+
+
+def test_warc_holds_no_payload_twice():
+    page = pa.array(["é" * (16 << 20)])
+    full = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["u"]), page, pa.array([32 << 20]), pa.array(["x"]), pa.nulls(1, pa.int64()), pa.array([1])], names=list("abcdefg"))
+    digest = pa.RecordBatch.from_arrays([pa.array([1]), page, pa.array([1]), pa.array([1])], names=list("abcd"))
+    tracemalloc.start()
+    seen = sum(len(v.as_py()) for b in warc._records(1 << 18)(iter([full])) for v in b.column(0))
+    got = next(iter(warc._digests(iter([digest]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen > 16 << 20 and got.column(4)[0].as_py() == warc.digest32(hashlib.sha1("é".encode() * (16 << 20)).digest())
+    assert peak < 12 << 20
 
 
 # Top-k.
@@ -480,6 +498,9 @@ def test_sharding_keeps_rows_and_versions(spark, tmp_path):
     with pytest.raises(sharding.CommitConflict):
         store.commit(version - 1, after)
     assert store.version() == version
+    assert Counter(r.doc_id for r in store.read(6).collect()) == Counter(range(2000))
+    assert store.vacuum() == list(range(1, version))
+    assert Counter(r.doc_id for r in store.read().collect()) == Counter(range(2000))
 
 
 def test_sharding_hard(spark, tmp_path):

@@ -6,8 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from reportmill.llm import decontaminate, mixing, ngram_join, quality
+from reportmill.llm import decontaminate, mixing, ngram_join, pipeline as corpus_pipeline, quality
 
 from .test_operators import HARD, docs, made_texts
 
@@ -48,6 +47,14 @@ def test_near_duplicate_stage_keeps_one_of_equal_rows(spark):
     assert {1, 2, 3} <= {r.doc_id for r in kept}
 
 
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontamination", "mixing"])
+def test_no_column_name_clashes(spark, name):
+    rows = docs(spark, [*made_texts(20, 3), *HARD]).withColumns({c: F.lit(c) for c in ("_id", "_h", "row", "listed_id", "listed_h", "a.b", "component_id", "_0", "_text", "score")})
+    out = STAGE[name](spark, rows, SF)
+    assert out.columns == rows.columns
+    assert all(r["a.b"] == "a.b" and r["_h"] == "_h" for r in out.collect())
+
+
 def test_decontamination_stage(spark, table):
     kept = STAGE["decontamination"](spark, table, SF)
     judged = decontaminate.contamination(table, spark.read.parquet(f"{SF}/benchmark.parquet"))
