@@ -1,90 +1,5 @@
-"""The corpus pipeline: five stages, each one operator, each written as Parquet and read again.
+"""The corpus pipeline; its stages are those of ``reportmill.llm.pipeline``."""
 
-Every stage but the last returns the columns of its input.  SQL can't express
-the trained classifier, so ORACLE_SQL is None and tests hold the stages against
-brute-force versions.
-"""
+from reportmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from reportmill.llm import decontaminate, mixing, ngram_join, quality, sharding
-from reportmill.llm.sizes import small
-from reportmill.llm.workspace import materialize, new_path
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def _row_key() -> Column:
-    """Equal for equal rows of one id and text."""
-    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"))
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is not in ``dropped`` (one column, key)."""
-    gone = small(materialize(dropped.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")), "dropped"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    scored = quality.score(rows, model, keep=("row",)).where("predicted = 1")
-    return scored.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of smallest id, once."""
-    keyed = docs.select(_row_key().alias("key"), "text")
-    groups = ngram_join.similar_components(keyed, id_col="key")
-    groups = materialize(groups, "groups")
-    kept = _without(docs, groups.where("key <> component_id").select("key").distinct())
-    again = groups.where("key = component_id").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    if not again.limit(1).count():
-        return kept
-    again = materialize(again.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")), "repeated")
-    match = kept["doc_id"].eqNullSafe(again["_id"]) & (F.xxhash64(kept["text"]) == again["_h"])
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(again, match).groupBy("_id", "_h").agg(F.min(first).alias("row")).select("row.*")
-    return kept.join(again, match, "left_anti").unionByName(once.select("doc_id", "text", *others))
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
-    keyed = docs.select(_row_key().alias("key"), "text")
-    judged = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
-    return _without(docs, judged.where("contaminated").select("key").distinct())
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.mixed_rows(docs)
-
-
-def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in target-sized shards; a row for each with its shard."""
-    return sharding.shard(docs, new_path(spark, "shards")).listing("doc_id")
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
-    ("sharding", sharding_stage),
-]
-
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
