@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The published token and url patterns.
 TOKEN_A = r"([A-Za-z_][A-Za-z_0-9]{1,}|[0-9]+)"
 TOKEN_B = r"([a-zA-Z_][a-zA-Z0-9_+\-.]{1,})"
 PULL_URL = r"https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/pull/[0-9]+"
@@ -113,10 +114,40 @@ def label_list(piped: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(piped, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def json_value(text: Column) -> Column:
+    """The JSON object or list in a model's answer: without fences, else from the first brace or bracket to its last; null if none parses."""
+    bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```[a-zA-Z]*|```\s*$", " "))
+    pieces = [bare, F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.regexp_extract(bare, r"(?s)(\[.*\])", 1)]
+    fine = [F.when(p.rlike(r"^[\[{]") & F.try_parse_json(p).isNotNull(), p) for p in pieces]
+    braces_first = F.instr(bare, "[") == 0
+    both = (F.instr(bare, "{") > 0) & (braces_first | (F.instr(bare, "{") < F.instr(bare, "[")))
+    return F.coalesce(fine[0], F.when(both, F.coalesce(fine[1], fine[2])).otherwise(F.coalesce(fine[2], fine[1])))
+
+
 def json_object(text: Column) -> Column:
-    """The outermost braces of a model's answer, with fences stripped; null if there are none."""
-    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(found != "", found)
+    """The JSON object in a model's answer; null if there is none."""
+    found = json_value(text)
+    return F.when(found.startswith("{"), found)
+
+
+def normal_prediction(answer: Column, labels: list[str], causes: list[str], default: str = "needs_review") -> Column:
+    """struct<label, causes, true_failure, quote, confidence> of a prediction's JSON object, every field held to its vocabulary.
+
+    Causes come as a list or as a string joined by pipes or commas, truth as a
+    boolean or a word, confidence as a number, a boolean or a word.
+    """
+    names = ("primary_failure_label", "secondary_cause_labels", "is_true_numerical_failure", "evidence_quote", "confidence")
+    field = lambda n: F.coalesce(F.get_json_object(json_object(answer), f"$.{n}"), F.lit(""))
+    label, cause, truth, quote, confidence = (field(n) for n in names)
+    listed = F.when(cause.startswith("["), F.from_json(cause, "array<string>")).otherwise(F.split(F.replace(cause, F.lit(","), F.lit("|")), r"\|"))
+    kept = F.array_distinct(F.filter(F.transform(listed, lambda c: F.trim(c)), lambda c: c.isin(causes)))
+    word = F.lower(F.trim(truth))
+    return F.struct(
+        F.when(F.trim(label).isin(labels), F.trim(label)).otherwise(default).alias("label"),
+        F.when(F.size(kept) > 0, F.array_join(kept, "|")).otherwise("unknown").alias("causes"),
+        F.when(word.isin("true", "yes"), "yes").when(word.isin("false", "no"), "no").otherwise("unclear").alias("true_failure"),
+        F.substring(quote, 1, 500).alias("quote"), confidence_word(confidence).alias("confidence"),
+    )
 
 
 def hash_bucket(key: Column, buckets: int) -> Column:

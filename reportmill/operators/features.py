@@ -33,6 +33,33 @@ def tfidf(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "term", (F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(by))).alias("weight"))
 
 
+def fold_vocabulary(terms: DataFrame, key: str, fold: str, size: int, min_length: int = 2) -> DataFrame:
+    """(held, term, idx, idf): the vocabulary of the rows outside each fold, numbered from 0 in alphabetical order.
+
+    ``terms`` has (key, fold, term, tf, pos).  Sums by term and fold are all that
+    is shared out to the folds, so no text is counted twice.
+    """
+    folds = terms.select(key, fold).distinct().groupBy(fold).agg(F.count("*").alias("docs"))
+    known = [(r[0], r[1]) for r in folds.collect()]  # one row for each fold
+    if not known:
+        return terms.select(F.col(fold).alias("held"), "term", F.lit(0).alias("idx"), F.lit(0.0).alias("idf")).limit(0)
+    outside = F.map_from_entries(F.array(*[F.struct(F.lit(f).cast(terms.schema[fold].dataType), F.lit(sum(n for g, n in known if g != f))) for f, _ in known]))
+    part = terms.where(F.length("term") >= min_length).groupBy("term", fold).agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), F.min(F.struct(key, "pos")).alias("seen"))
+    other = F.filter(F.map_keys(outside), lambda h: h != F.col(fold))
+    stats = part.withColumn("held", F.explode(other)).groupBy("held", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), F.min("seen").alias("seen"))
+    top = stats.withColumn("_r", F.row_number().over(Window.partitionBy("held").orderBy(F.col("tf").desc(), "seen"))).where(F.col("_r") <= size)
+    idf = F.log((1.0 + F.element_at(outside, F.col("held"))) / (1 + F.col("df"))) + 1
+    return top.select("held", "term", (F.row_number().over(Window.partitionBy("held").orderBy("term")) - 1).alias("idx"), idf.alias("idf"))
+
+
+def fold_vectors(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """(held, key, idx, weight): TF-IDF of every row by the vocabulary of each fold's training side, scaled to length 1."""
+    known = terms.select(key, "term", "tf").join(vocab, "term")
+    by = Window.partitionBy("held", key)
+    raw = known.withColumn("weight", F.col("tf") / F.sum("tf").over(by) * F.col("idf"))
+    return raw.select("held", key, "idx", (F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(by))).alias("weight"))
+
+
 def naive_bayes(terms: DataFrame, key: str, label: str, fold: str, classes: list[str], prior: bool = True) -> DataFrame:
     """(key, label, score) for every text and class: multinomial Naive Bayes with add-one smoothing.
 

@@ -37,16 +37,35 @@ def call(client: Client, prompt: str, retries: int = 2, sleep: Callable[[float],
     return "", error
 
 
-def parse_answer(text: str) -> dict:
-    """The JSON object in an answer: as it is, without fences, or the outermost braces; empty if none parses."""
-    for piece in (text, re.sub(r"^```[a-z]*|```$", "", text.strip(), flags=re.M), (re.search(r"\{.*\}", text, re.S) or [""])[0]):
+def parse_json(text: str) -> dict | list | None:
+    """The JSON object or list in an answer: as it is, without fences, or from the first brace or bracket to its last; None if none parses."""
+    bare = re.sub(r"^\s*```[a-zA-Z]*|```\s*$", "", text or "")
+    pieces = [text or "", bare]
+    starts = sorted((bare.find(o), o, c) for o, c in ("{}", "[]") if o in bare)
+    pieces += [bare[at : bare.rfind(c) + 1] for at, _, c in starts]
+    for piece in pieces:
         try:
             found = json.loads(piece)
-            if isinstance(found, dict):
-                return found
-        except (ValueError, TypeError):
+        except ValueError:
             continue
-    return {}
+        if isinstance(found, (dict, list)):
+            return found
+    return None
+
+
+def parse_answer(text: str) -> dict:
+    """The JSON object in an answer; empty if there is none."""
+    found = parse_json(text)
+    return found if isinstance(found, dict) else {}
+
+
+def batch_answers(text: str, key: str, label: str) -> dict[str, str]:
+    """Label by id of a batch's answer: a list of objects, an object that holds it under ``predictions``, or labels by id."""
+    found = parse_json(text)
+    if isinstance(found, dict):
+        found = found.get("predictions", [{key: k, label: v} for k, v in found.items()])
+    rows = [r for r in found or () if isinstance(r, dict) and r.get(key)] if isinstance(found, list) else []
+    return {str(r[key]): str(r.get(label, "")).strip() for r in rows}
 
 
 def normal_label(text: str, labels: list[str], default: str = "needs_review") -> str:
@@ -81,37 +100,48 @@ def score_rows(rows: DataFrame, key: str, prompt: str, client: Client, labels: l
     return rows.select(key, prompt).mapInPandas(run, f"{key} {kind}, label string, raw_response string, error string, elapsed_seconds double")
 
 
-def score_batches(rows: DataFrame, key: str, prompt: str, batch: str, client: Client, labels: list[str]) -> DataFrame:
-    """(key, label, error): one call for each batch; the answer is a JSON list or object of labels by key."""
+def score_batches(rows: DataFrame, key: str, prompt: str, batch: str, client: Client, labels: list[str], id_field: str = "blind_id", label_field: str = "primary_failure_label", retries: int = 0) -> DataFrame:
+    """(key, label, error): one call for each batch, whose answer ``batch_answers`` reads; a row without one is needs_review."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key)
         text = "\n".join(f"[{k}] {p}" for k, p in part[[key, prompt]].itertuples(index=False))
-        answer, error = call(client, text)
-        found = {str(k): str(v) for k, v in parse_answer(answer).items()}
+        answer, error = call(client, text, retries)
+        found = batch_answers(answer, id_field, label_field)
+        error = error or ("" if found else "parse_error")
         labelled = [found[str(k)] if found.get(str(k)) in labels else "needs_review" for k in part[key]]
-        return pd.DataFrame({key: part[key], "label": labelled, "error": error})
+        return pd.DataFrame({key: part[key], "label": labelled, "error": ["" if str(k) in found else error for k in part[key]]})
 
     return rows.select(key, prompt, batch).groupBy(batch).applyInPandas(run, f"{key} {kind}, label string, error string")
 
 
-def fetch(rows: DataFrame, key: str, url: str, client: Client, largest: int = 5_000_000, pause: float = 0.0) -> DataFrame:
-    """(key, body, status, error): a body for each url; too large ones are skipped, failures recorded."""
+def fetch(rows: DataFrame, key: str, url: str, client: Callable[[str, int], str | bytes], largest: int = 5_000_000, pause: float = 0.0, cached: DataFrame | None = None) -> DataFrame:
+    """(key, body, status, error): a body for each url that ``cached`` (key, body) lacks.
+
+    The client gets the most bytes that it may read, one over ``largest``; a
+    body of more is skipped and never held.  Status is cached, fetched,
+    skipped_large or failed.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for k, u in part[[key, url]].itertuples(index=False):
-                body, error = call(client, u, retries=0)
-                large = len(body.encode()) > largest
-                out.append((k, "" if large else body, "failed" if error else "skipped_large" if large else "fetched", error))
+                body, error = call(lambda u: client(u, largest + 1), u, retries=0)
+                raw = body.encode() if isinstance(body, str) else body
+                large = len(raw) > largest
+                out.append((k, "" if large else raw.decode("utf-8", "replace"), "failed" if error else "skipped_large" if large else "fetched", error))
                 if pause:
                     time.sleep(pause)
             yield pd.DataFrame(out, columns=[key, "body", "status", "error"])
 
-    return rows.select(key, url).mapInPandas(run, f"{key} {kind}, body string, status string, error string")
+    got = pending(rows, cached, key).select(key, url).mapInPandas(run, f"{key} {kind}, body string, status string, error string")
+    if cached is None:
+        return got
+    known = rows.select(key).join(cached.select(key, "body"), key).select(key, "body", F.lit("cached").alias("status"), F.lit("").alias("error"))
+    return known.unionByName(got)
 
 
 def packets(rows: DataFrame, key: str, system: str, user: str, *meta: str) -> DataFrame:

@@ -100,12 +100,34 @@ PROSE_CAUSES = RuleSet((
 ))
 
 
-def weighted_scores(rules: RuleSet, title: Column, body: Column, comments: Column, weights: tuple[int, int, int] = (5, 2, 1), body_chars: int = 4000, comment_chars: int = 8000) -> Column:
-    """array<struct<label, score>>: matches in three sections, weighted, in rule order."""
+@dataclass(frozen=True)
+class Weighted:
+    """A pattern of a label with its weight in title, body and comments, and the most that it earns in each (None: no limit)."""
+
+    pattern: str
+    weights: tuple[int, int, int]
+    most: tuple[int | None, int | None, int | None] = (None, None, None)
+
+
+# The published weights of the dtype label, whose plain tokens in code say little.
+DTYPE_SYMPTOM_WEIGHTS, DTYPE_TOKEN_WEIGHTS, DTYPE_TOKEN_MOST = (6, 3, 1), (2, 1, 1), (None, 2, 1)
+
+
+def weighted_scores(rules: RuleSet, title: Column, body: Column, comments: Column, weights: tuple[int, int, int] = (5, 2, 1), body_chars: int = 4000, comment_chars: int = 8000, special: dict[str, list[Weighted]] | None = None) -> Column:
+    """array<struct<label, score>>: matches in three sections, weighted, in rule order.
+
+    Labels in ``special`` are scored by their own weighted patterns instead.
+    """
+    sections = (title, F.substring(body, 1, body_chars), F.substring(comments, 1, comment_chars))
     parts = []
     for n in rules.names():
-        score = weights[0] * rules.count(title, n) + weights[1] * rules.count(F.substring(body, 1, body_chars), n) + weights[2] * rules.count(F.substring(comments, 1, comment_chars), n)
-        parts.append(F.struct(F.lit(n).alias("label"), score.cast("long").alias("score")))
+        own = (special or {}).get(n) or [Weighted(p, weights) for label, p in rules.rules if label == n]
+        earned = []
+        for w in own:
+            for text, by, most in zip(sections, w.weights, w.most, strict=True):
+                points = by * F.coalesce(F.regexp_count(text, F.lit(w.pattern)), F.lit(0))
+                earned.append(points if most is None else F.least(points, F.lit(most)))
+        parts.append(F.struct(F.lit(n).alias("label"), sum(earned[1:], earned[0]).cast("long").alias("score")))
     return F.array(*parts)
 
 
@@ -131,14 +153,14 @@ def ranked(scores: Column) -> Column:
     return F.struct(top["label"].alias("label"), (-top["neg"]).alias("score"))
 
 
-def decide(rules: RuleSet, title: Column, body: Column, comments: Column, strong: tuple[str, ...], side: str, early: tuple[str, ...], discussion: str, phrases: str, phrase_label: str, early_chars: int = 1200) -> Column:
+def decide(rules: RuleSet, title: Column, body: Column, comments: Column, strong: tuple[str, ...], side: str, early: tuple[str, ...], discussion: str, phrases: str, phrase_label: str, early_chars: int = 1200, special: dict[str, list[Weighted]] | None = None) -> Column:
     """struct<label, confidence> by a decision list over title, early text and ranked scores.
 
     In order: a strong label in the title; the side label in the title alone; a
     discussion title; a phrase in the title; early labels with a score of 3; a
     phrase early on; the ranked scores.
     """
-    scores = penalised(weighted_scores(rules, title, body, comments), side)
+    scores = penalised(weighted_scores(rules, title, body, comments, special=special), side)
     start = F.concat(title, F.lit("\n"), F.substring(body, 1, early_chars))
     pick = lambda label, confidence: F.struct(F.lit(label).alias("label"), confidence.alias("confidence"))
     grade = lambda label, least: F.when(score_of(scores, label) >= least, F.lit("high")).otherwise(F.lit("medium"))

@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..operators import curation, features, metrics, models, sampling, taxonomy, voting
 from ..operators.taxonomy import PROSE, PROSE_CAUSES, RuleSet
 from ..sources import sinks, tables
+from . import composites
 
 ORDER = list(PROSE.names()) + ["needs_review"]
 
@@ -217,6 +218,26 @@ def weighted_section_score(spark, sf):
     return scored.select("conv_id", *[taxonomy.score_of(F.col("s"), n).alias(n) for n in PROSE.names()])
 
 
+SPECIAL = {"german_prose": [taxonomy.Weighted("(das|die) [a-z]+", taxonomy.DTYPE_SYMPTOM_WEIGHTS), taxonomy.Weighted("[0-9]+", taxonomy.DTYPE_TOKEN_WEIGHTS, taxonomy.DTYPE_TOKEN_MOST)]}
+
+
+def _sql_special(n: str) -> str:
+    parts = []
+    for w in SPECIAL[n]:
+        for c, by, most in zip(("title", "substr(body, 1, 4000)", "substr(comments, 1, 8000)"), w.weights, w.most, strict=True):
+            points = f"{by} * len(regexp_extract_all({c}, '{w.pattern}'))"
+            parts.append(points if most is None else f"least({points}, {most})")
+    return "(" + " + ".join(parts) + f")::BIGINT AS {n}"
+
+
+@query("OP-24", f"WITH {THREAD} SELECT conv_id, {_sql_special('german_prose')}, (5 * ({_COUNT('license_notice', 'title')}) + 2 * ({_COUNT('license_notice', 'substr(body, 1, 4000)')}) + ({_COUNT('license_notice', 'substr(comments, 1, 8000)')}))::BIGINT AS license_notice FROM threads")
+def special_section_score(spark, sf):
+    """One label by its own weighted and capped patterns, another by the common weights."""
+    scores = taxonomy.weighted_scores(PROSE, F.col("title"), F.col("body"), F.col("comments"), special=SPECIAL)
+    scored = threads(spark, sf).select("conv_id", scores.alias("s"))
+    return scored.select("conv_id", *[taxonomy.score_of(F.col("s"), n).alias(n) for n in ("german_prose", "license_notice")])
+
+
 STRONG, EARLY = ("contact_pii", "german_prose"), ("romance_prose", "english_prose")
 DISCUSSION, PHRASES = "(^| )(talk|discussion)( |$)", "(^| )(was|wrong)( |$)"
 
@@ -478,18 +499,13 @@ def kappa_by_subset(spark, sf):
     return _rounded(metrics.kappa(metrics.subsets(reports(spark, sf), named), "a", "b", "subset"), "observed", "expected", "kappa")
 
 
-@query("OP-71", f"SELECT round(avg(j), 9) AS mean_jaccard, count(*) AS n FROM (SELECT CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS j FROM (SELECT {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE, 'substr(text, 1, 300)')} AS y FROM documents))")
-def secondary_jaccard(spark, sf):
-    return _mean_jaccard(table(spark, sf, "documents"), PROSE.labels(F.substring("text", 1, 300)))
-
-
 def _mean_jaccard(docs: DataFrame, other: Column) -> DataFrame:
     j = metrics.jaccard(PROSE.labels(F.col("text")), other)
     return docs.agg(F.round(F.avg(j), 9).alias("mean_jaccard"), F.count("*").alias("n"))
 
 
 @query("OP-71", f"SELECT round(avg(j), 9) AS mean_jaccard, count(*) AS n FROM (SELECT CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS j FROM (SELECT {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE_CAUSES, 'text')} AS y FROM documents))")
-def secondary_jaccard_whole(spark, sf):
+def secondary_jaccard(spark, sf):
     return _mean_jaccard(table(spark, sf, "documents"), PROSE_CAUSES.labels(F.col("text")))
 
 
@@ -613,7 +629,7 @@ def few_shot_pool(spark, sf):
     return out.select("a", F.array_join(F.col("pool").cast("array<string>"), ",").alias("pool"))
 
 
-@query("OP-93 OP-145", "SELECT page_id, 'R-' || lpad(page_id::VARCHAR, 4, '0') || '-' || substr(sha1(url), 1, 8) AS stable_id, sha256('v1|' || url) AS order_key FROM pages WHERE page_id < 10000")
+@query("OP-93 OP-145", "SELECT page_id, 'R-' || lpad(page_id::VARCHAR, greatest(4, length(page_id::VARCHAR))::INT, '0') || '-' || substr(sha1(url), 1, 8) AS stable_id, sha256('v1|' || url) AS order_key FROM pages")
 def stable_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.stable_id("R", F.col("page_id"), F.col("url")).alias("stable_id"), tx.stable_order(F.col("url"), "v1").alias("order_key"))
 
@@ -679,37 +695,27 @@ WIDTH = 1500
 VOCAB_WHOLE = VOCAB.replace("WHERE df >= 2 ORDER BY tf DESC, seen LIMIT 300", f"ORDER BY tf DESC, seen LIMIT {WIDTH}")
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str, width: int = 300, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
+def _vocabulary(spark: SparkSession, sf_dir: str, width: int = WIDTH, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
     t = labelled_terms(spark, sf_dir)
     n = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").count()
     return t, features.vocabulary(t, "doc_id", n, width, min_df=min_df)
 
 
-@query("OP-102", f"WITH {VOCAB} SELECT term, tf, df, round(idf, 9) AS idf FROM vocab")
-def tfidf_top_terms(spark, sf):
-    return _vocabulary(spark, sf)[1].withColumn("idf", F.round("idf", 9))
-
-
 _TFIDF = "k AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) * idf AS w FROM (SELECT t.doc_id, t.term, t.tf, v.idf FROM terms t JOIN vocab v USING (term))) SELECT doc_id, count(*) AS n_terms, round(max(x), 6) AS top_weight, round(sum(x), 6) AS weight_sum FROM (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM k) GROUP BY doc_id"
 
 
-@query("OP-103", f"WITH {VOCAB}, {_TFIDF}")
-def tfidf_vectors(spark, sf):
-    return _tfidf_summary(*_vocabulary(spark, sf))
-
-
 def _tfidf_summary(t: DataFrame, vocab: DataFrame) -> DataFrame:
     return features.tfidf(t, vocab, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 
 
 @query("OP-102", f"WITH {VOCAB_WHOLE} SELECT term, tf, df, round(idf, 9) AS idf FROM vocab")
-def tfidf_top_terms_whole(spark, sf):
-    return _vocabulary(spark, sf, WIDTH, 1)[1].withColumn("idf", F.round("idf", 9))
+def tfidf_top_terms(spark, sf):
+    return _vocabulary(spark, sf)[1].withColumn("idf", F.round("idf", 9))
 
 
 @query("OP-103", f"WITH {VOCAB_WHOLE}, {_TFIDF}")
-def tfidf_vectors_whole(spark, sf):
-    return _tfidf_summary(*_vocabulary(spark, sf, WIDTH, 1))
+def tfidf_vectors(spark, sf):
+    return _tfidf_summary(*_vocabulary(spark, sf))
 
 
 def _sql_bayes(source: str, fold: str) -> str:
@@ -729,13 +735,8 @@ def _bayes(t: DataFrame, fold: str, classes: list[str]) -> DataFrame:
     return scored.join(gold, "doc_id").select("doc_id", "gold", "pred", F.round("score", 4).alias("score"))
 
 
-@query("OP-104 OP-111", "WITH " + _sql_bayes(LABELLED, "fold"))
-def naive_bayes_cv(spark, sf):
-    return _bayes(labelled_terms(spark, sf), "fold", ["0", "1"])
-
-
 @query("OP-104 OP-111", "WITH " + _sql_bayes(LABELLED_WHOLE, "fold"))
-def naive_bayes_cv_whole(spark, sf):
+def naive_bayes_cv(spark, sf):
     return _bayes(labelled_terms(spark, sf, None), "fold", ["0", "1"])
 
 
@@ -745,13 +746,8 @@ BY_LANG = LABELLED.replace("((row_number() OVER (PARTITION BY quality ORDER BY d
 BY_LANG_WHOLE = BY_LANG.replace(f"{SQL_TOKENS}[:900]", SQL_TOKENS)
 
 
-@query("OP-82", "WITH " + _sql_bayes(BY_LANG, "fold"))
-def leave_one_lang_out_nb(spark, sf):
-    return _bayes_by_lang(spark, sf, 900)
-
-
 @query("OP-82", "WITH " + _sql_bayes(BY_LANG_WHOLE, "fold"))
-def leave_one_lang_out_nb_whole(spark, sf):
+def leave_one_lang_out_nb(spark, sf):
     return _bayes_by_lang(spark, sf, None)
 
 
@@ -800,20 +796,11 @@ FROM dt q JOIN dt x ON x.term = q.term AND x.fold <> q.fold JOIN n ON n.f = q.fo
 SELECT query_id, doc_id, round(score, 5) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS rank FROM sc) WHERE rank <= 3"""
 
 
-@query("OP-108", f"WITH {_FOLD_SAFE}")
-def fold_safe_retrieval(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'de'").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
-    t = features.term_table(docs, "doc_id", tx.tokens_a(F.col("text"), 60), "fold")
-    asked = t.select(F.col("doc_id").alias("query_id"), "fold", "term")
-    scores = features.bm25(t, asked, "doc_id", "query_id", fold="fold").withColumn("score", F.round("score", 5))
-    return features.top_per_query(scores, "query_id", [F.col("score").desc(), "doc_id"], 3)
-
-
 _FOLD_SAFE_WHOLE = _FOLD_SAFE.replace(f"{SQL_TOKENS}[:60]", f"{SQL_TOKENS}[:1200]").replace(" WHERE lang = 'de'", "")
 
 
 @query("OP-108", f"WITH {_FOLD_SAFE_WHOLE}")
-def fold_safe_retrieval_whole(spark, sf):
+def fold_safe_retrieval(spark, sf):
     """Over all documents, with the 1,200 tokens of each that retrieval keeps elsewhere."""
     docs = table(spark, sf, "documents").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
     t = features.term_table(docs, "doc_id", tx.tokens_a(F.col("text"), 1200), "fold")
@@ -822,18 +809,14 @@ def fold_safe_retrieval_whole(spark, sf):
     return features.top_per_query(scores, "query_id", [F.col("score").desc(), "doc_id"], 3)
 
 
-def _linear(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    t, vocab = _vocabulary(spark, sf_dir, WIDTH, 1)
-    placed = vocab.withColumn("idx", F.row_number().over(_by_term()) - 1)
-    vectors = features.tfidf(t, vocab, "doc_id").join(placed.select("term", "idx"), "term").select("doc_id", "idx", "weight")
-    folds = t.select("doc_id", "label", "fold").distinct()
-    return models.cross_validated(vectors, folds, "doc_id", "label", model, WIDTH)
-
+def _fold_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = labelled_terms(spark, sf_dir)
+    return t, features.fold_vectors(t, features.fold_vocabulary(t, "doc_id", "fold", WIDTH), "doc_id")
 
-def _by_term():
-    from pyspark.sql import Window
 
-    return Window.orderBy("term")
+def _linear(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    t, vectors = _fold_vectors(spark, sf_dir)
+    return models.cross_validated(vectors, t.select("doc_id", "label", "fold").distinct(), "doc_id", "label", model, WIDTH)
 
 
 @query("OP-109")
@@ -846,6 +829,14 @@ def svm_sgd_cv(spark, sf):
     return _linear(spark, sf, "hinge")
 
 
+@query("OP-111")
+def five_voter_vote(spark, sf):
+    """The vote of the five cross-validated models, each fitted on the other folds only."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("quality").cast("string").alias("label"))
+    won = voting.plurality(composites.cross_validated_votes(docs, "label", F.col("text")), list(composites.VOTERS), "id", "gold")
+    return won.select(F.col("id").alias("doc_id"), "gold", "pred", "votes", "margin")
+
+
 @query("OP-112", "SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('click', 'view') THEN lower(trim(event_type)) WHEN contains(lower(event_type), 'sign') THEN 'signup' ELSE 'needs_review' END AS label FROM events")
 def label_from_answer(spark, sf):
     t = F.lower(F.trim("event_type"))
@@ -873,26 +864,19 @@ def hierarchical_gate(spark, sf):
 @query("OP-114")
 def hierarchical_two_stage(spark, sf):
     """The labelled reports by a model of the two families, then by a model of the family's labels."""
-    t, vocab = _vocabulary(spark, sf, WIDTH, 1)
-    placed = vocab.withColumn("idx", F.row_number().over(_by_term()) - 1)
-    vectors = features.tfidf(t, vocab, "doc_id").join(placed.select("term", "idx"), "term").select("doc_id", "idx", "weight")
+    t, vectors = _fold_vectors(spark, sf)
     folds = t.select("doc_id", "fold").distinct().join(reports(spark, sf).select("doc_id", F.col("a").alias("label")), "doc_id")
     families = dict.fromkeys(PROSE_FAMILY, "prose") | dict.fromkeys(OTHER_FAMILY, "other")
     return models.cross_validated(vectors, folds, "doc_id", "label", models.two_stage(models.train_hinge, families, "needs_review"), WIDTH)
 
 
-@query("OP-116 OP-117", f"WITH {REPORTS} SELECT doc_id, md5(concat_ws(' ', source, lang, substr(text, 1, 100))) AS base, md5(concat_ws(' ', source, lang, substr(text, 1, 100), 'candidate_' || a)) AS candidate FROM reports")
-def text_recipes(spark, sf):
-    return _recipes(reports(spark, sf), F.substring("text", 1, 100))
-
-
 def _recipes(rows: DataFrame, text: Column) -> DataFrame:
     base = ["source", "lang", text]
     return rows.select("doc_id", F.md5(F.concat_ws(" ", *base)).alias("base"), F.md5(F.concat_ws(" ", *base, F.concat(F.lit("candidate_"), F.col("a")))).alias("candidate"))
 
 
 @query("OP-116 OP-117", f"WITH {REPORTS} SELECT doc_id, md5(concat_ws(' ', source, lang, text)) AS base, md5(concat_ws(' ', source, lang, text, 'candidate_' || a)) AS candidate FROM reports")
-def text_recipes_whole(spark, sf):
+def text_recipes(spark, sf):
     return _recipes(reports(spark, sf), F.col("text"))
 
 
@@ -979,18 +963,13 @@ def overlay_upsert(spark, sf):
     return curation.overlay(r.select("doc_id", "a"), patches, "doc_id", "a")
 
 
-@query("OP-132", f"SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), '|') AS only_all, len(list_distinct(x || y))::INT AS either, len(list_intersect(x, y))::INT AS common FROM (SELECT doc_id, {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE, 'substr(text, 1, 300)')} AS y FROM documents)")
-def label_set_algebra(spark, sf):
-    return _label_algebra(table(spark, sf, "documents"), PROSE.labels(F.substring("text", 1, 300)))
-
-
 def _label_algebra(docs: DataFrame, y: Column) -> DataFrame:
     x = PROSE.labels(F.col("text"))
     return docs.select("doc_id", F.array_join(F.array_sort(F.array_except(x, y)), "|").alias("only_all"), F.size(F.array_union(x, y)).alias("either"), F.size(F.array_intersect(x, y)).alias("common"))
 
 
 @query("OP-132", f"SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), '|') AS only_all, len(list_distinct(x || y))::INT AS either, len(list_intersect(x, y))::INT AS common FROM (SELECT doc_id, {sql_labels(PROSE, 'text')} AS x, {sql_labels(PROSE_CAUSES, 'text')} AS y FROM documents)")
-def label_set_algebra_whole(spark, sf):
+def label_set_algebra(spark, sf):
     return _label_algebra(table(spark, sf, "documents"), PROSE_CAUSES.labels(F.col("text")))
 
 
@@ -1047,11 +1026,6 @@ def props_json_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", k.alias("k"), tx.confidence_word((k / 100).cast("string")).alias("confidence"))
 
 
-@query("OP-151 OP-152 OP-157", f"WITH {REPORTS} SELECT doc_id, '{{\"label\":\"' || a || '\",\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}}' AS target, md5('Label this report.' || chr(10) || 'Source: ' || source || chr(10) || substr(text, 1, 200)) AS prompt_md5 FROM reports")
-def prompt_packets(spark, sf):
-    return _packets(reports(spark, sf), F.substring("text", 1, 200))
-
-
 def _packets(rows: DataFrame, text: Column) -> DataFrame:
     target = F.to_json(F.struct(F.col("a").alias("label"), "lang", "source"))
     prompt = F.concat_ws("\n", F.lit("Label this report."), F.concat(F.lit("Source: "), F.col("source")), text)
@@ -1059,7 +1033,7 @@ def _packets(rows: DataFrame, text: Column) -> DataFrame:
 
 
 @query("OP-151 OP-152 OP-157", f"WITH {REPORTS} SELECT doc_id, '{{\"label\":\"' || a || '\",\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}}' AS target, md5('Label this report.' || chr(10) || 'Source: ' || source || chr(10) || text) AS prompt_md5 FROM reports")
-def prompt_packets_whole(spark, sf):
+def prompt_packets(spark, sf):
     return _packets(reports(spark, sf), F.col("text"))
 
 

@@ -146,7 +146,7 @@ def test_linear_models_separate(spark, name):
     for i in range(60):
         y = "abc"[i % 3]
         rows.append((i, y, i // 3 % 2, {"abc".index(y): 1.0, 3 + draw.randrange(4): 0.3}))
-    vectors = spark.createDataFrame([(i, k, v) for i, _, _, x in rows for k, v in x.items()], "id int, idx int, weight double")
+    vectors = spark.createDataFrame([(h, i, k, v) for h in (0, 1) for i, _, _, x in rows for k, v in x.items()], "held int, id int, idx int, weight double")
     folds = spark.createDataFrame([(i, y, f) for i, y, f, _ in rows], "id int, label string, fold int")
     got = models.cross_validated(vectors, folds, "id", "label", name, 7).collect()
     assert len(got) == 60

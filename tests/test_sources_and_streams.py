@@ -90,14 +90,29 @@ def batch_stub(prompt: str) -> str:
     return json.dumps({str(i): "good" for i in range(2)})
 
 
+def capped_stub(url: str, most: int) -> str:
+    return stub(url)[:most]
+
+
+def test_batch_answers():
+    rows = [{"blind_id": "1", "primary_failure_label": "good"}, {"blind_id": 2, "primary_failure_label": "bad"}]
+    want = {"1": "good", "2": "bad"}
+    for text in (json.dumps(rows), json.dumps({"predictions": rows}), "```json\n" + json.dumps(rows) + "\n```", "Here: " + json.dumps(rows) + " done", json.dumps(want)):
+        assert scorers.batch_answers(text, "blind_id", "primary_failure_label") == want
+    assert scorers.batch_answers("no json", "blind_id", "primary_failure_label") == {}
+    assert scorers.parse_json('x {"a": [1]} y') == {"a": [1]}
+
+
 def test_scorers(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "other"), (3, "boom")], "id int, p string")
     got = {r.id: (r.label, bool(r.error)) for r in scorers.score_rows(df, "id", "p", stub, ["good", "bad"], retries=0).collect()}
     assert got == {1: ("good", False), 2: ("bad", False), 3: ("needs_review", True)}
     batched = df.withColumn("b", F.lit(0))
     assert {r.id: r.label for r in scorers.score_batches(batched, "id", "p", "b", batch_stub, ["good"]).collect()} == {1: "good", 2: "needs_review", 3: "needs_review"}
-    fetched = {r.id: r.status for r in scorers.fetch(df, "id", "p", stub, largest=20).collect()}
+    fetched = {r.id: r.status for r in scorers.fetch(df, "id", "p", capped_stub, largest=20).collect()}
     assert fetched == {1: "skipped_large", 2: "fetched", 3: "failed"}
+    again = scorers.fetch(df, "id", "p", capped_stub, largest=20, cached=spark.createDataFrame([(2, "kept")], "id int, body string"))
+    assert {r.id: (r.status, r.body) for r in again.collect()} == {1: ("skipped_large", ""), 2: ("cached", "kept"), 3: ("failed", "")}
     assert scorers.retry_delay("please retryDelay: 7s", 0) == 7
     packet = scorers.packets(df, "id", "S", "p", "id").first()
     assert [m.role for m in packet.messages] == ["system", "user"]
