@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,6 +31,50 @@ ORDER = 3
 BACKOFF = 0.4
 
 
+#: Bytes of text that a task packs by group at a time.
+PACK_BYTES = 16 << 20
+
+
+def _pack_texts():
+    """Rows (doc_group, id, text) to one row for each group of a pack: (doc_group, ids, sizes, total, data), texts compressed."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pa.compute.sort_indices(rows.column(0)))
+        group = rows.column(0).to_numpy()
+        data, offsets = string_buffer(rows.column(2))
+        cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+        ids = pa.concat_arrays(rows.column(1).chunks)
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids)
+        sizes = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.diff(offsets), pa.int64()))
+        spans = [(int(offsets[a]), int(offsets[b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = [pa.compress(data[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]], pa.int32()), lists, sizes, pa.array([b - a for a, b in spans], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_group", "ids", "sizes", "total", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _texts(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """(ids, texts) of a group's packs."""
+    ids = pa.concat_arrays([x.flatten() for x in table.column("ids").chunks])
+    sizes = np.concatenate([np.asarray(x.flatten()) for x in table.column("sizes").chunks])
+    data = b"".join(pa.decompress(d.as_buffer(), decompressed_size=n.as_py(), codec="zstd", asbytes=True) for d, n in zip(table.column("data"), table.column("total"), strict=True))
+    offsets = pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64).tobytes())
+    return ids, pa.Array.from_buffers(pa.large_string(), len(sizes), [None, offsets, pa.py_buffer(data)])
+
+
 def _exploded(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """First word of each text, and by n the hash of the n-gram that ends at each word (0: it would begin before its text)."""
     data, offsets = string_buffer(column)
@@ -87,7 +132,7 @@ def _full(raw: bytes, n: int) -> np.ndarray:
 def _ask(order: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         group = table.column(0)[0].as_py()
-        _, grams = _exploded(table.column(2), order)
+        _, grams = _exploded(_texts(table)[1], order)
         rows = []
         for n, own in enumerate(grams, 1):
             values, counts = _distinct(own)
@@ -134,7 +179,8 @@ def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind:
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table([pa.nulls(0, id_kind), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "n_words", "log_score"])
-        first, grams = _exploded(texts.column(2), order)
+        ids, column = _texts(texts)
+        first, grams = _exploded(column, order)
         sizes = np.diff(first)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         known: dict[int, dict[int, bytes]] = {}
@@ -156,7 +202,7 @@ def _answer(order: int, parts: int, backoff: float, words_in_all: int, id_kind:
             can = grams[n - 1] != 0
             scores = np.where(seen, np.log(np.maximum(left[n - 1], 1) / np.maximum(context, 1)), np.where(can, np.log(backoff) + scores, scores))
         sums = np.bincount(doc, scores, minlength=len(sizes)).astype(np.float64)
-        return pa.table([texts.column(1), pa.array(sizes.astype(np.int64)), pa.array(sums)], names=["id", "n_words", "log_score"])
+        return pa.table([ids, pa.array(sizes.astype(np.int64)), pa.array(sums)], names=["id", "n_words", "log_score"])
 
     return run
 
@@ -190,6 +236,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     kind = docs.schema[id_col].dataType.simpleString()
     group = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).cast("int")
     texts = docs.select(group.alias("doc_group"), F.col(id_col).alias("id"), text.alias("text"))
+    texts = texts.mapInArrow(_pack_texts(), f"doc_group int, ids array<{kind}>, sizes array<long>, total long, data binary")
     row = "part int, doc_group int, n int, grams binary, counts binary"
     asked = texts.groupBy("doc_group").applyInArrow(_ask(order, parts), row)
     replies = asked.groupBy("part", "n").applyInArrow(_sum, row)
