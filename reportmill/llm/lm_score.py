@@ -96,17 +96,26 @@ def _parts(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1))
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _restore(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack(values: np.ndarray, part: int, parts: int) -> bytes:
     """Sorted 64-bit hashes of one part as gaps, byte plane by byte plane; planes without a bit are left out."""
     base = ((part << 32) + parts - 1) // parts
     gaps = np.diff(values - (U64(base) << U64(32)), prepend=U64(0)).astype("<u8")
     planes = gaps.view(np.uint8).reshape(-1, 8).T
     used = max([0, *np.flatnonzero(planes.any(axis=1))]) + 1
-    return bytes([used]) + planes[:used].tobytes()
+    return _squeeze(bytes([used]) + planes[:used].tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     """The hashes again, less their part's base."""
+    raw = _restore(raw)
     used = raw[0]
     out = np.zeros(((len(raw) - 1) // used, 8), np.uint8)
     out[:, :used] = np.frombuffer(raw, np.uint8, offset=1).reshape(used, -1).T
@@ -120,10 +129,11 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _small(counts: np.ndarray) -> bytes:
     """Counts as bytes, with those over 254 in full after them."""
     big = counts > 254
-    return np.where(big, 255, counts).astype(np.uint8).tobytes() + counts[big].astype("<i8").tobytes()
+    return _squeeze(np.where(big, 255, counts).astype(np.uint8).tobytes() + counts[big].astype("<i8").tobytes())
 
 
 def _full(raw: bytes, n: int) -> np.ndarray:
+    raw = _restore(raw)
     out = np.frombuffer(raw[:n], np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(raw[n:], "<i8")
     return out
