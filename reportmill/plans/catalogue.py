@@ -1048,3 +1048,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {n: q.sql for n, q in CATALOGUE.items() if q.sql}
+
+
+from . import connectors  # noqa: E402,F401  registers its queries here

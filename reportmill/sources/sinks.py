@@ -13,11 +13,12 @@ from .tables import exists
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], files: int | None = 1) -> None:
-    """CSV with a header in the declared column order; an undeclared or missing column is an error."""
+    """CSV with a header in the declared column order, values with their outer white space; an undeclared or missing column is an error."""
     if set(df.columns) != set(columns):
         raise ValueError(f"columns differ: {sorted(set(df.columns) ^ set(columns))}")
     out = df.select(*columns)
-    (out.coalesce(files) if files else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (out.coalesce(files) if files else out).write.mode("overwrite").options(header=True, escape='"', **keep).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

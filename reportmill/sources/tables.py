@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import changed_files
 
@@ -84,45 +81,16 @@ def diffs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("file_name"), changed_files(F.col("value")).alias("changed_files"), F.octet_length("value").alias("bytes"))
 
 
-class RecordedSearch(DataSource):
-    """``spark.read.format("recorded_search")``: search results from recorded JSON lines, one partition a query.
+def recorded_search(spark: SparkSession, folder: str, queries: list[str]) -> DataFrame:
+    """(query, url, title, body, state): search results from recorded JSON lines, <folder>/<query>.jsonl.
 
-    Options: ``path`` (a folder of <query>.jsonl below a local or mounted path)
-    and ``queries`` (comma-joined).  A query without a recording gives no rows.
+    The folder may lie in any file system that Spark reads.  A query without a
+    recording gives no rows; other queries are a parameter, not another source.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "recorded_search"
-
-    def schema(self) -> str:
-        return "query string, url string, title string, body string, state string"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _SearchReader(self.options)
-
-
-class _Query(InputPartition):
-    def __init__(self, text: str):
-        super().__init__(text)
-        self.text = text
-
-
-class _SearchReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.queries = options["path"], [q for q in options.get("queries", "").split(",") if q]
-
-    def partitions(self) -> list[_Query]:
-        return [_Query(q) for q in self.queries] or [_Query("")]
-
-    def read(self, partition: _Query) -> Iterator[tuple]:
-        import json
-        import os
-
-        file = os.path.join(self.path, f"{partition.text}.jsonl")
-        if partition.text and os.path.exists(file):
-            with open(file, encoding="utf-8") as lines:
-                for line in lines:
-                    if line.strip():
-                        row = json.loads(line)
-                        yield (partition.text, *(row.get(c) for c in ("url", "title", "body", "state")))
+    fields = "url string, title string, body string, state string"
+    out = spark.createDataFrame([], f"query string, {fields}")
+    for q in dict.fromkeys(queries):
+        path = f"{folder}/{q}.jsonl"
+        if exists(spark, path):
+            out = out.unionByName(json_lines(spark, path, fields).where("_corrupt is null").select(F.lit(q).alias("query"), "url", "title", "body", "state"))
+    return out
