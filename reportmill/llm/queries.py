@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, sharding, topk, warc
+from . import decontaminate, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, quality_rules, sharding, topk, warc
 from .workspace import new_path
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -64,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_html_extraction, op3_line_dedup, op4_lm_scoring, op5_quality_classifier, op6_warc,
-        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, pipeline,
+        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, op11_quality_rules, pipeline,
     )
 }
 
@@ -74,4 +78,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": topk.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,
+    "op11_quality_rules": quality_rules.ORACLE,
 }
