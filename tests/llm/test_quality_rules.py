@@ -51,7 +51,7 @@ def test_binomial_tail_is_exact(spark):
     assert 1e-13 < far.p < 1e-10 and far.q == 1.0
 
 
-def made(spark, n=3000, bad=0.01, seed=5):
+def made(spark, n=3000, bad=0.003, seed=5):
     """Good documents, of which a share ``bad`` has symbols; bad ones all have; two strata, one of few rows."""
     draw, rows, labels = random.Random(seed), [], []
     for i in range(n):
