@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, quality_rules, sharding, topk, warc
+from . import decontaminate, divergence, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, quality_rules, sharding, topk, warc
 from .workspace import new_path
 
 
@@ -60,6 +60,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -68,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_html_extraction, op3_line_dedup, op4_lm_scoring, op5_quality_classifier, op6_warc,
-        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, op11_quality_rules, pipeline,
+        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, op11_quality_rules, op13_source_divergence, pipeline,
     )
 }
 
@@ -79,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,
     "op11_quality_rules": quality_rules.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
