@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, divergence, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, quality_rules, sharding, topk, warc
+from . import decontaminate, divergence, hard_negatives, html_text, line_dedup, lm_score, mixing, ngram_join, pipeline as corpus, quality, quality_rules, sharding, topk, warc
 from .workspace import new_path
 
 
@@ -60,6 +60,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_html_extraction, op3_line_dedup, op4_lm_scoring, op5_quality_classifier, op6_warc,
-        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, op11_quality_rules, op13_source_divergence, pipeline,
+        op7_exact_top_k, op8_sharding, op9_benchmark_decontamination, op10_ngram_jaccard_join, op11_quality_rules, op12_hard_negatives, op13_source_divergence, pipeline,
     )
 }
 
@@ -83,5 +88,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,
     "op11_quality_rules": quality_rules.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
