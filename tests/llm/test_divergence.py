@@ -52,7 +52,7 @@ def made(seed=2, n=400):
     for i in range(n):
         lang = draw.choice(["en", "en", "de", None, "fr"])
         source = draw.choice(["s1", "s2", "s3", None, "s5", "s6", "é"])
-        text = " ".join(draw.choice(vocabulary[: 10 + 3 * (hash(source or "") % 5)] if lang != "fr" else ["only", "1 2"]) for _ in range(draw.randint(0, 12)))
+        text = " ".join(draw.choice(vocabulary[: 10 + 3 * (len(lang or "") % 5)] if lang != "fr" else ["only", "1 2"]) for _ in range(draw.randint(0, 12)))
         rows.append((i, draw.choice([text, text, text, None, ""]), lang, source, 0))
     return [*rows, (n, "lonely words here", "it", "s1", 0), (n + 1, None, "it", "s2", 0), (n + 1, None, "it", "s2", 0), (n + 2, "x", "pt", "s1", 0)]
 
