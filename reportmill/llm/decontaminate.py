@@ -21,9 +21,8 @@ from .sizes import small
 from .workspace import materialize
 
 WINDOW = 13
-#: Benchmark fingerprints up to which the pass holds them as they are; beyond, a bit table of at most so many longs (1 MB).
-LISTED = 2048
-TABLE_LONGS = 1 << 17
+#: Longs of the bit table of the benchmark's fingerprints, at least and at most (16 MB); some 32 bits for a fingerprint up to 4 million of them.
+TABLE_LONGS = (1 << 6, 1 << 21)
 
 
 def worded(df: DataFrame, text: str) -> DataFrame:
@@ -84,22 +83,21 @@ def _bit_table(marks: DataFrame, longs: int) -> Column:
 
 
 def _known(grams: Column, table: Column, longs: int) -> Column:
-    """The grams that the table holds: a bit table of ``longs``, or the fingerprints themselves (0)."""
-    if not longs:
-        return F.array_intersect(grams, table)
+    """Places, from 0, of the grams that a bit table of ``longs`` may hold; each is looked up once."""
 
     def holds(bits: Column, x: Column) -> Column:
         one, two = (F.getbit(F.get(bits, at), bit) == 1 for at, bit in _places(x, longs))
         return one & two
 
-    return _let(table, lambda bits: F.filter(grams, lambda x: holds(bits, x)))
+    every = F.sequence(F.lit(0), F.size(grams) - 1)
+    return F.when(F.size(grams) > 0, _let(table, lambda bits: F.filter(every, lambda i: holds(bits, F.get(grams, i))))).otherwise(F.array().cast("array<int>"))
 
 
-def _met(words: Column, grams: Column, some: Column, k: int, lengths: list[int]) -> Column:
-    """Fingerprints of the text among ``some`` of its grams: array of (length, fingerprint, start, around).
+def _met(words: Column, grams: Column, places: Column, k: int, lengths: list[int]) -> Column:
+    """Fingerprints of the text at ``places`` of its grams: array of (length, fingerprint, start, around).
 
     ``around`` holds the words, from ``start`` on, of all windows that hold the
-    fingerprint's words.
+    fingerprint's words.  Time is in proportion to the text's words.
     """
     n = F.size(words)
 
@@ -114,9 +112,8 @@ def _met(words: Column, grams: Column, some: Column, k: int, lengths: list[int])
 
         return F.when(n >= length, F.transform(F.filter(at, lowest), one))
 
-    places = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(some, F.get(grams, i)))
     every = lambda at: F.flatten(F.filter(F.array(*[spans(at, length) for length in lengths]), lambda x: x.isNotNull()))
-    return F.when(F.size(some) > 0, _let(places, every))
+    return F.when(F.size(places) > 0, _let(places, every))
 
 
 def contamination(
@@ -152,13 +149,13 @@ def contamination(
             marked = marked.union(marks[n])
         marked = materialize(marked.distinct(), "marks")
         n_marks = marked.count()
-        longs = 0 if n_marks <= LISTED else min(TABLE_LONGS, 1 << (2 * n_marks).bit_length())
+        longs = min(max(TABLE_LONGS[0], 1 << (n_marks // 2).bit_length()), TABLE_LONGS[1])
         for k in sorted({gram_length(n) for n in lengths}):
             of_k = [n for n in lengths if gram_length(n) == k]
             known = marked.where(F.col("length").isin(of_k)).select("fingerprint").distinct()
-            rows = rows.withColumns({f"grams_{k}": _grams(F.col("words"), k), f"table_{k}": _bit_table(known, longs) if longs else known.agg(F.collect_list("fingerprint")).scalar()})
-            rows = rows.withColumn(f"some_{k}", _known(F.col(f"grams_{k}"), F.col(f"table_{k}"), longs))
-            found.append(_met(F.col("words"), F.col(f"grams_{k}"), F.col(f"some_{k}"), k, of_k))
+            rows = rows.withColumns({f"grams_{k}": _grams(F.col("words"), k), f"table_{k}": _bit_table(known, longs)})
+            rows = rows.withColumn(f"places_{k}", _known(F.col(f"grams_{k}"), F.col(f"table_{k}"), longs))
+            found.append(_met(F.col("words"), F.col(f"grams_{k}"), F.col(f"places_{k}"), k, of_k))
     pieces = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())) if found else F.lit(None).cast("array<struct<length:int,fingerprint:bigint,start:int,around:array<string>>>")
     counted = materialize(rows.select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"), pieces.alias("pieces")), "counted")
     if not lengths:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -33,7 +34,7 @@ RAW = "script style textarea title noscript template iframe svg math object sele
 OTHER_PARTS = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role attributes: such as stand for other parts, such as do so only by themselves, for content, and before a feature of the page.
-PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription login signup recommended comment comments commentlist disqus replies reply pagination pager complementary contentinfo".split())
+PART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription login signup recommended comment comments commentlist disqus replies reply pagination pager complementary contentinfo".split())
 WEAK_WORDS = frozenset("header banner share sharing social related respond widget toolbar copyright search skip".split())
 CONTENT_WORDS = frozenset("article content entry main post story text body results page blog".split())
 FEATURES = frozenset("has with without no is".split())
@@ -44,6 +45,14 @@ STOP = re.compile(r"[>\"'<]")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = "/part"
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+STYLE = re.compile(r"\bstyle\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Elements that a form, or a part named by its class, holds only if it is the layout of a page; blocks that a menu which isn't closed ends at.
+LAYOUT = {"form": frozenset("main article h1 header footer nav aside".split()), "class": frozenset(("main", "h1"))}
+NEXT_BLOCKS = frozenset("address article aside blockquote div figure footer form h1 h2 h3 h4 h5 h6 header main p pre section table".split())
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+#: Words of a closing line of rights, at most.
+RIGHTS_WORDS = 40
 
 TEXT, TAG = 0, 1
 #: Weights where no page is labelled.
@@ -67,11 +76,21 @@ def _prior(word: str) -> float:
     return -2.0 if word in PART_WORDS else -1.0 if word in WEAK_WORDS else 1.0 if word in CONTENT_WORDS else 0.0
 
 
+def _unseen(rest: str) -> bool:
+    """Whether the attributes hide an element."""
+    styles = STYLE.findall(rest) if "=" in rest else ()
+    return any(UNSEEN.search("".join(x)) for x in styles) or bool(HIDDEN.search(STYLE.sub(" ", ATTRIBUTE.sub(" ", rest))))
+
+
 def _part(name: str, rest: str, in_main: bool, weight: dict[str, float]) -> str:
-    """Why an element is a menu, notice or another part that is not main text: element, readers, class, or empty if it isn't."""
+    """Why an element is a menu, notice or another part that is not main text: element, form, readers, class, or empty if it isn't."""
+    if name not in ("body", "html") and rest and _unseen(rest):
+        return "hidden"
     if name in ("article", "main", "body", "html"):
         return ""
-    if name in OTHER_PARTS or (name == "header" and not in_main) or (rest and HIDDEN.search(ATTRIBUTE.sub(" ", rest))):
+    if name == "form":
+        return "form"
+    if name in OTHER_PARTS or (name == "header" and not in_main):
         return "element"
     for split in class_words(rest):
         if not (in_main and split == ["header"]) and sum(weight.get(f".{w}", _prior(w)) for w in split) < 0:
@@ -84,6 +103,7 @@ class _Scan:
 
     def __init__(self, page: str):
         self.page, self.lost = page, set()
+        self.edges: dict[str, list[tuple[int, int, int]]] = {}
         self.low = page.lower() if page.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
 
     def find(self, what: str, at: int) -> int:
@@ -95,6 +115,22 @@ class _Scan:
             self.lost.add(what)
         return found
 
+    def is_closed(self, name: str, at: int) -> bool:
+        """Whether the element ``name`` that is open at ``at`` has an end tag of its own further on."""
+        if name not in self.edges:  # places of its tags with the depth after each, once for a page
+            depth, tags = 0, []
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?![a-z0-9:-])", self.low):
+                depth += -1 if m[1] else 1
+                tags.append((m.start(), -depth))
+            low = [0] * (len(tags) + 1)  # the least depth from each tag on
+            low[-1] = 1 << 60
+            for i in range(len(tags) - 1, -1, -1):
+                low[i] = min(low[i + 1], -tags[i][1])
+            self.edges[name] = [(place, -depth, least) for (place, depth), least in zip(tags, low, strict=False)]
+        tags = self.edges[name]
+        i = bisect_left(tags, (at,))
+        return i < len(tags) and tags[i][2] < (tags[i - 1][1] if i else 1)
+
     def tag_end(self, at: int) -> tuple[int, bool]:
         """(end of the attributes, whether the tag is closed); a tag that isn't ends at the next one."""
         i = at
@@ -113,15 +149,18 @@ class _Scan:
 def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
     """[kind, value, in a link, in another part, in the named main region, class words] for every text run and tag.
 
-    An element that is not closed ends with the one around it, another part
-    also where an article begins in it.
+    An element that is not closed ends with the one around it, a menu or the
+    like that has no end tag also at the next block.  An article inside a part
+    that is named by its class ends that part, if it is the page's first; readers'
+    comments never end so.  A form, or a part named by its class, that holds the
+    layout of a page or all its words, is none.
     """
     scan, weight = _Scan(page), weight or {}
     out: list[list] = []
     stack: list[tuple[str, int, str]] = []  # name, its tag's place in ``out``, why it is a part
     held: Counter = Counter()
     spans: list[tuple[int, int, str]] = []
-    link = at = 0
+    link = at = articles = 0
 
     def text(piece: str) -> None:
         piece = html.unescape(piece) if "&" in piece else piece
@@ -134,6 +173,7 @@ def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
         name, begin, why = stack.pop()
         held[name] -= 1
         held[PART] -= bool(why)
+        held[why] -= bool(why)
         if why or name in ("article", "main"):
             spans.append((begin, len(out), why or name))
 
@@ -176,9 +216,17 @@ def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
                         close()
                     close()
                 continue
-            if name in ("article", "main") and held[PART]:
-                while held[PART]:
+            if held["element"] and name in NEXT_BLOCKS:
+                top = next(x for x in reversed(stack) if x[2] == "element")
+                if top[0] != name and not scan.is_closed(top[0], tag):
+                    while stack[-1] is not top:
+                        close()
                     close()
+            if name in ("article", "main"):
+                if held["class"] and not articles and not held["readers"] and not held["element"]:
+                    while held["class"]:
+                        close()
+                articles += not held[PART]
             found = class_words(rest)
             out.append([TAG, name, False, False, False, tuple(dict.fromkeys(w for x in found for w in x))])
             if name not in VOID and not rest.endswith("/"):
@@ -186,25 +234,36 @@ def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
                 stack.append((name, len(out) - 1, why))
                 held[name] += 1
                 held[PART] += bool(why)
+                held[why] += bool(why)
     while stack:
         close()
     for t in out:
         if t[0] == TEXT:
             t[1] = "".join(t[1])
-    n_words = [len(t[1].split()) if t[0] == TEXT else 0 for t in out]
-    upto = [0, *accumulate(n_words)]
-    for column, named in ((3, ("element", "readers", "class")), (4, ("article", "main"))):
-        change = [0] * (len(out) + 1)
-        for begin, end, why in spans:
-            # A name that holds most of the page describes its layout.
-            if why in named and not (why == "class" and 5 * (upto[end] - upto[begin]) > 3 * upto[-1]):
-                change[begin] += 1
-                change[end] -= 1
-        for t, depth in zip(out, accumulate(change), strict=False):
-            t[column] = t[column] or depth > 0
+    upto = {why: [0, *accumulate(int(t[0] == TAG and t[1] in names) for t in out)] for why, names in LAYOUT.items()}
+    spans = [(begin, end, why) for begin, end, why in spans if why not in LAYOUT or upto[why][end] == upto[why][begin + 1]]
+    parts = ("element", "hidden", "readers", "form", "class")
+    for left_out in (parts, parts[:4], parts[:3]):  # of a page with nothing else a part named by its class, then a form, is the text
+        depths = _depths(spans, left_out, len(out))
+        if any(t[0] == TEXT and not d and not t[1].isspace() for t, d in zip(out, depths, strict=False)):
+            break
+    else:
+        depths = _depths(spans, parts, len(out))
+    for t, part, main in zip(out, depths, _depths(spans, ("article", "main"), len(out)), strict=False):
+        t[3], t[4] = t[3] or part > 0, main > 0
     return out
 
 
+def _depths(spans: list[tuple[int, int, str]], named: tuple[str, ...], n: int) -> list[int]:
+    """In how many spans of these names each of ``n`` tokens lies."""
+    change = [0] * (n + 1)
+    for begin, end, why in spans:
+        if why in named:
+            change[begin] += 1
+            change[end] -= 1
+    return list(accumulate(change))
+
+
 def _kind(token: list) -> str:
     if token[3]:
         return "part"
@@ -266,6 +325,25 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def _drop_rights(found: list[list], taken: list[bool]) -> None:
+    """Take a last block that is a line of rights out of what is taken."""
+    last, words = [], []
+    for i in range(len(found) - 1, -1, -1):
+        t = found[i]
+        if taken[i] and t[0] == TEXT and not t[3]:
+            last.append(i)
+            words = t[1].split() + words
+        elif words and t[0] == TAG and t[1].removeprefix("/") not in INLINE:
+            break
+        if len(words) > RIGHTS_WORDS:
+            return
+    else:
+        return  # the whole page is one block
+    if words and RIGHTS.match(" ".join(words)):
+        for i in last:
+            taken[i] = False
+
+
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The main text of a page; empty for a page without words."""
     found = tokens(page or "", weight)
@@ -294,6 +372,7 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     # Beside a named main region, links outside it are a menu.
     if any(t[4] and taken[i] for i, t in enumerate(found)):
         taken = [x and (t[4] or not t[2]) for x, t in zip(taken, found, strict=True)]
+    _drop_rights(found, taken)
     pieces = []
     for i, t in enumerate(found):
         if not taken[i]:

@@ -88,6 +88,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, epochs: i
     """Log-count ratios, then dual coordinate descent on the L2-regularised hinge loss.
 
     One row in five is left out of the descent and fits the score's line.
+    Equal rows count each; rows of one text and both labels pull both ways.
     With a single class, or no row, every score is that class's share (0.5 for none).
     """
     labels = np.asarray(labels, dtype=np.int64)
@@ -164,6 +165,9 @@ def fold(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, cost: float = 0.1, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on at most ``sample`` labelled ids outside fold 0, those of smallest hash, and at most ``sample_bytes`` of their texts.
 
+    Texts are taken in the order of a hash; one that does not fit into what is
+    left of the bytes is left out by itself, those after it are still taken.
+
     Defined cases: labels other than 0 and 1, ids whose labels disagree and null
     ids are left out; of several documents of an id the smallest text counts; a
     null text is like an empty one; empty tables give a model that scores 0.5.
@@ -176,9 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", "_label")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     texts = materialize(texts.select(F.xxhash64("_id", "_text").alias("_place"), "_label", "_text"), "sample")
-    sizes = sorted(texts.select("_place", F.coalesce(F.octet_length("_text"), F.lit(0))).collect())  # ``sample`` rows at most
-    fits = np.searchsorted(np.cumsum([n for _, n in sizes]), sample_bytes, side="right")
-    texts = texts.where(F.col("_place") <= sizes[fits - 1][0]) if 0 < fits < len(sizes) else texts.limit(0) if not fits else texts
+    left, fits = sample_bytes, []
+    sizes = texts.select("_place", F.coalesce(F.octet_length("_text"), F.lit(0))).collect()  # ``sample`` rows at most
+    for place, n in sorted(sizes):
+        if n <= left:
+            left -= n
+            fits.append((place,))
+    if len(fits) < len(sizes):
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "_place long")), "_place", "left_semi")
     got = texts.mapInArrow(_learn, "place long, label int, ids binary").toArrow().combine_chunks()
     if not got.num_rows:
         return fit([], np.zeros(0, np.int64), cost=cost)
