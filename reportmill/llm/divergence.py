@@ -29,7 +29,7 @@ LEAST_DOCS, TOP = 10, 10
 #: Shares are whole parts of this many, and one more.
 PARTS = 1_000_000_000
 #: (term, group) entries that a task holds before it passes them on; bytes of a text split at once.
-HELD, PIECE = 200_000, 1 << 20
+HELD, PIECE = 500_000, 1 << 20
 
 #: ASCII letters to lower case, other ASCII to blanks; bytes beyond stay.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -50,14 +50,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to (lang, source, term, n, docs), summed over as much as a task may hold."""
     words, docs = defaultdict(Counter), defaultdict(Counter)
 
-    def passed() -> pa.RecordBatch:
-        rows = [(*g, t, n, docs[g][t]) for g, own in words.items() for t, n in own.items()]
+    def passed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), own in words.items():
+            terms, n, held = list(own), len(own), docs[lang, source]
+            columns = [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.array([held[t] for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[pa.repeat(x.decode(), n).cast(pa.string()) for x in (lang, source)], *columns], names=["lang", "source", "term", "n", "docs"])
         words.clear()
         docs.clear()
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*[a.cast(pa.string()) for a in arrays[:3]], *arrays[3:]], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns), strict=True):
@@ -67,8 +66,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(part)
             docs[lang, source].update(seen)
         if sum(map(len, words.values())) > HELD:
-            yield passed()
-    yield passed()
+            yield from passed()
+    yield from passed()
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, terms: int) -> np.ndarray:
