@@ -1,36 +1,61 @@
-"""Splits, folds, quotas and greedy selections as window expressions with explicit ties."""
+"""Splits, folds, quotas and greedy selections with explicit ties.
+
+Ranks that every row needs come from a range partitioning (``ranked``), so a
+label with most of the rows uses all tasks; windows remain only where few rows
+of a group stay, which Spark cuts down before the shuffle.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import hash_bucket
+from ..scratch import same_key, small, written
 
 
 def rank_in(group: list[str | Column], order: list[str | Column]) -> Column:
-    """1-based rank within a group."""
+    """1-based rank within a group, for the first few rows of each."""
     return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str | Column], tasks: int | None = None) -> DataFrame:
+    """Adds ``_rank``, the 1-based rank within the group, and ``_size``, the group's rows.
+
+    Rows are range-partitioned by group and order into ``tasks`` parts (the
+    session's shuffle partitions) and numbered within them; a row's rank is its
+    number after the first of its group in its part, and the rows of its group
+    in earlier parts.  So no task holds a group, only a range.  A null is a
+    group like any other; rows of equal order are told apart by their hash.
+    """
+    parts = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*group, *order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    sorted_rows = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = written(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    counts = rows.groupBy("_part", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # a row for each part, and one more for each further group in it
+    of_group = Window.partitionBy(*group)
+    before = F.sum("_n").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = small(written(counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_size": F.sum("_n").over(of_group)}).drop("_n"), "starts")).alias("starts")
+    joined = rows.join(starts, [rows["_part"] == starts["_part"], *same_key(rows, starts, group)])
+    return joined.select(*[rows[c] for c in df.columns], (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("_rank"), "_size")
+
+
 def kfold(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     """Adds ``fold``: the rank within the label, modulo k."""
-    return df.withColumn("fold", (rank_in([label], [key]) - 1) % k)
+    return ranked(df, [label], [key]).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
 def split_10(df: DataFrame, label: str, key: str) -> DataFrame:
     """Adds ``split``: of ten rows of a label one test, one validation, eight train."""
-    at = (rank_in([label], [key]) - 1) % 10
-    return df.withColumn("split", F.when(at == 0, "test").when(at == 1, "validation").otherwise("train"))
+    at = (F.col("_rank") - 1) % 10
+    return ranked(df, [label], [key]).withColumn("split", F.when(at == 0, "test").when(at == 1, "validation").otherwise("train")).drop("_rank", "_size")
 
 
 def holdout(df: DataFrame, label: str, key: str, share: float = 0.2) -> DataFrame:
     """Adds ``held``: every stride-th row of a label, round(n * share) rows and at least one."""
-    n = F.count("*").over(Window.partitionBy(label))
+    n, at = F.col("_size"), F.col("_rank") - 1
     wanted = F.greatest(F.lit(1), F.bround(n * F.lit(share), 0)).cast("long")
     stride = F.greatest(F.lit(1), F.bround(n / wanted, 0)).cast("long")
-    at = rank_in([label], [key]) - 1
-    return df.withColumn("held", (at % stride == 0) & (F.floor(at / stride) < wanted))
+    return ranked(df, [label], [key]).withColumn("held", (at % stride == 0) & (F.floor(at / stride) < wanted)).drop("_rank", "_size")
 
 
 def hash_split(df: DataFrame, key: Column, buckets: int = 10, train_below: int = 8) -> DataFrame:
@@ -63,12 +88,13 @@ def first_per(df: DataFrame, group: list[str], order: list[str | Column], n: int
 
 def temporal_spread(df: DataFrame, group: list[str], order: list[str | Column], limit: int) -> DataFrame:
     """At most ``limit`` rows of each group, evenly spread over its order, first and last included."""
-    n = F.count("*").over(Window.partitionBy(*group))
-    at = rank_in(group, order) - 1
+    n, at = F.col("_size"), F.col("_rank") - 1
     if limit == 1:
-        return df.withColumn("_k", at == 0).where("_k").drop("_k")
-    picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (n - 1) / F.lit(limit - 1), 0).cast("int"))
-    return df.withColumn("_k", (n <= limit) | F.array_contains(picks, at)).where("_k").drop("_k")
+        picked = at == 0
+    else:
+        picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (n - 1) / F.lit(limit - 1), 0).cast("long"))
+        picked = (n <= limit) | F.array_contains(picks, at)
+    return ranked(df, group, order).where(picked).drop("_rank", "_size")
 
 
 def hashed_cap(df: DataFrame, label: str, key: Column, cap: int, seed: int) -> DataFrame:
@@ -85,30 +111,40 @@ def capped_queue(df: DataFrame, label: str, score: str, ties: list[str], cap: in
 
 
 def double_capped(df: DataFrame, first: str, second: str, order: list[str | Column], caps: tuple[int, int], size: int) -> DataFrame:
-    """Greedy selection in order under a cap for each of two columns.
-
-    Only the first caps[0] rows of a ``first`` value after any choice matter in
-    order, and a row is passed over only for a full cap, so the walk stops when
-    ``size`` rows are chosen; it runs in one task over the narrow columns.
+    """The first ``size`` rows that a walk in order takes, passing over rows of a full ``first`` or ``second`` value.
+
+    The walk is settled in rounds.  Of a value's open rows, as many as it has
+    places left cannot be crowded out; a row is taken once that holds for both
+    its values, and given up once either is full.  The first open row is always
+    settled, so rounds end, and every round settles rows of all values at once;
+    no task sees more rows of a value than its cap.  A null is a value like any
+    other.  ``order`` should tell all rows apart.
     """
-    ordered = df.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        left: dict[str, dict] = {first: {}, second: {}}
-        taken = []
-        for n, a, b in part.sort_values("_n")[["_n", first, second]].itertuples(index=False):
-            if len(taken) == size:
-                break
-            if left[first].get(a, 0) < caps[0] and left[second].get(b, 0) < caps[1]:
-                left[first][a] = left[first].get(a, 0) + 1
-                left[second][b] = left[second].get(b, 0) + 1
-                taken.append(n)
-        return pd.DataFrame({"_n": pd.Series(taken, dtype="int64")})
-
-    # No more than caps[0] rows of a pair can be taken, so the walk sees a bounded number of rows per pair.
-    narrow = ordered.withColumn("_r", rank_in([first, second], ["_n"])).where(F.col("_r") <= min(caps)).select(F.lit(0).alias("_g"), F.col("_n").cast("long"), first, second)
-    chosen = narrow.groupBy("_g").applyInPandas(walk, "_n long")
-    return ordered.join(chosen, "_n").drop("_n")
+    pair = [first, second]
+    # No more than the smaller cap of a pair of values can be taken.
+    narrow = df.withColumn("_r", rank_in(pair, order)).where(F.col("_r") <= min(caps)).drop("_r")
+    rows = written(narrow.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    open_rows, taken = rows, None
+    while open_rows.limit(1).count():
+        near, full = [], []
+        for value, cap in zip(pair, caps, strict=True):
+            left = F.lit(cap)
+            ahead = open_rows.withColumn("_r", rank_in([value], order)).where(F.col("_r") <= cap)
+            if taken is not None:
+                used = written(taken.groupBy(value).agg(F.count("*").alias("_used")), "used")
+                full.append((value, small(used.where(F.col("_used") >= cap))))
+                used = small(used)
+                ahead = ahead.join(used, same_key(ahead, used, [value]), "left").drop(used[value])
+                left = left - F.coalesce("_used", F.lit(0))
+            near.append(ahead.where(F.col("_r") <= left).select("_row"))
+        now = written(near[0].join(near[1], "_row"), "now")
+        chosen = written(rows.join(now, "_row", "left_semi"), "taken")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        left_rows = open_rows.join(now, "_row", "left_anti")
+        for value, gone in full:
+            left_rows = left_rows.join(gone, same_key(left_rows, gone, [value]), "left_anti")
+        open_rows = written(left_rows, "open")
+    return (rows if taken is None else taken).drop("_row").orderBy(*order).limit(size)
 
 
 def stacked_limits(df: DataFrame, label: str, order: list[str | Column], per_label: int, size: int) -> DataFrame:
@@ -124,13 +160,12 @@ def few_shot(df: DataFrame, label: str, order: list[str | Column], n: int, key:
 
 def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
     """Rows repeated until every label has as many as the largest: whole repeats, then the first by key; adds ``copy``."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_max", F.max("_n").over(Window.partitionBy()))
-    joined = df.join(sizes, label).withColumn("_r", rank_in([label], [key]))
-    times = F.floor(F.col("_max") / F.col("_n")) + (F.col("_r") <= F.col("_max") % F.col("_n")).cast("long")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_n", "_max", "_r")
+    rows = ranked(df, [label], [key])
+    most = rows.agg(F.max("_size").alias("_most"))
+    times = F.floor(F.col("_most") / F.col("_size")) + (F.col("_rank") <= F.col("_most") % F.col("_size")).cast("long")
+    return rows.crossJoin(F.broadcast(most)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_size", "_most", "_rank")  # one row
 
 
 def batches(df: DataFrame, group: list[str], order: list[str | Column], size: int) -> DataFrame:
     """Adds ``batch``: the number of the mini-batch within the group."""
-    return df.withColumn("batch", F.floor((rank_in(group, order) - 1) / size))
+    return ranked(df, group, order).withColumn("batch", F.floor((F.col("_rank") - 1) / size)).drop("_rank", "_size")

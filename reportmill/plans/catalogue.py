@@ -597,7 +597,14 @@ def capped_queue(spark, sf):
     return sampling.capped_queue(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", ["o_orderkey"], 160, 1000).select("o_orderkey", "o_orderpriority", "place")
 
 
-@query("OP-87")
+_WALK = """RECURSIVE o AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n
+FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 55)),
+w AS (SELECT 0::BIGINT AS n, false AS took, []::VARCHAR[] AS p, []::VARCHAR[] AS s UNION ALL
+SELECT n, ok, CASE WHEN ok THEN list_append(p, o_orderpriority) ELSE p END, CASE WHEN ok THEN list_append(s, o_orderstatus) ELSE s END
+FROM (SELECT o.n, o_orderpriority, o_orderstatus, p, s, len(list_filter(p, lambda x: x = o_orderpriority)) < 55 AND len(list_filter(s, lambda x: x = o_orderstatus)) < 80 AND len(p) < 300 AS ok FROM w JOIN o ON o.n = w.n + 1))"""
+
+
+@query("OP-87", f"WITH {_WALK} SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM o JOIN w USING (n) WHERE took")
 def double_capped_selection(spark, sf):
     return sampling.double_capped(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), "o_orderpriority", "o_orderstatus", [F.col("o_totalprice").desc(), "o_orderkey"], (55, 80), 300)
 

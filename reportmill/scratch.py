@@ -1,4 +1,4 @@
-"""Paths for tables that a query writes and reads back, in the folder that ``spark.checkpoint.dir`` names."""
+"""Tables that a query writes and reads back, in the folder that ``spark.checkpoint.dir`` names."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 50_000
 _written: list[tuple[weakref.ref, str]] = []
 
 
@@ -29,6 +31,23 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and return the table that reads it back: read more than once it is computed once, and its lineage ends."""
+    path = f"{new_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written narrow table, marked for broadcast if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> list:
+    """Conditions under which the rows of two tables have equal keys, null being equal to null."""
+    return [left[k].eqNullSafe(right[k]) for k in keys]
+
+
 def _sweep() -> None:
     while _written:
         session, path = _written.pop()

@@ -66,6 +66,34 @@ def test_chronological_matches_a_full_sort(spark):
     assert got == {r.id for r in rows[: int(503 * 0.8)]}
 
 
+def test_ranks_of_a_hot_group_use_all_tasks(spark):
+    df = spark.range(3000).selectExpr("id", "case when id % 100 = 1 then 'few' when id % 100 = 2 then null else 'hot' end as g", "id * 7919 % 1009 as s")
+    out = sampling.ranked(df, ["g"], [F.col("s").desc(), "id"], tasks=8)
+    rows = out.collect()
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (-r.s, r.id)):
+        want.setdefault(r.g, []).append(r.id)
+    assert {r.id: (r._rank, r._size) for r in rows} == {i: (n, len(ids)) for ids in want.values() for n, i in enumerate(ids, 1)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sampling.ranked(df.limit(0), ["g"], ["id"]).collect() == []
+
+
+def test_double_cap_of_hot_values(spark):
+    """A few values hold most rows and each cap fills while the other value's rows are still open."""
+    draw = random.Random(8)
+    rows = [(i, draw.choice(["a", "a", "a", "b", None]), draw.choice(["x", "x", "y", "z"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    for caps, size in (((3, 200), 100), ((40, 5), 100), ((7, 9), 12), ((1, 1), 100)):
+        left, want = {}, []
+        for i, a, b in rows:
+            if len(want) < size and left.get(("a", a), 0) < caps[0] and left.get(("b", b), 0) < caps[1]:
+                want.append(i)
+                left["a", a] = left.get(("a", a), 0) + 1
+                left["b", b] = left.get(("b", b), 0) + 1
+        assert [r.i for r in sampling.double_capped(df, "a", "b", ["i"], caps, size).collect()] == want
+    assert sampling.double_capped(df.limit(0), "a", "b", ["i"], (3, 3), 5).collect() == []
+
+
 def test_double_cap_is_greedy(spark):
     draw = random.Random(3)
     rows = [(i, draw.choice("abcd"), draw.choice("xyz"), draw.randint(0, 50)) for i in range(400)]
