@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import curation, features, metrics, models, sampling, taxonomy, voting
+from ..operators import curation, features, metrics, models, retrieval as bm25, sampling, taxonomy, voting
 from ..operators.taxonomy import PROSE, PROSE_CAUSES, RuleSet
 from ..sources import sinks, tables
 from . import composites
@@ -769,21 +769,23 @@ df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
 sc AS (SELECT item_id, doc_id, sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / n.a))) AS score FROM qt JOIN dt USING (term) JOIN df USING (term) JOIN len USING (doc_id), n GROUP BY ALL)"""
 
 
-def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = features.term_table(table(spark, sf_dir, "documents"), "doc_id", tx.tokens_a(F.col("text"), 1200))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens_a(F.col("text")))).alias("term"))
-    return features.bm25(docs, asked, "doc_id", "item_id").withColumn("score", F.round("score", 6))
+def retrieval(spark: SparkSession, sf_dir: str, k: int, by_label: bool = False) -> DataFrame:
+    """(item_id, doc_id, lang, score) of all documents that may be among an item's first k, of each language if ``by_label``."""
+    tokens = tx.tokens_a(F.col("text"), 1200)
+    index = bm25.build_index(table(spark, sf_dir, "documents"), "doc_id", tokens, label="lang")
+    found = bm25.search(index, table(spark, sf_dir, "benchmark"), "item_id", tx.tokens_a(F.col("text")), k, by_label=by_label)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.col("label").alias("lang"), F.round("score", 6).alias("score"))
 
 
 @query("OP-105 OP-52", f"WITH {BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc) WHERE rank <= 5")
 def bm25_top5(spark, sf):
-    return features.top_per_query(retrieval(spark, sf), "item_id", [F.col("score").desc(), "doc_id"], 5)
+    return features.top_per_query(retrieval(spark, sf, 5).drop("lang"), "item_id", [F.col("score").desc(), "doc_id"], 5)
 
 
 @query("OP-106 OP-113", f"WITH {BM25}, lab AS (SELECT doc_id, lang FROM documents), top AS (SELECT item_id, lang, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, lang DESC, doc_id) AS rank FROM sc JOIN lab USING (doc_id)), v AS (SELECT item_id, lang, sum(greatest(score, 0)) AS s, min(rank) AS r FROM top WHERE rank <= 5 GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, r) AS k FROM v), m AS (SELECT lang FROM documents GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) SELECT item_id, coalesce(b.lang, m.lang) AS pred FROM benchmark LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (item_id), m")
 def bm25_knn(spark, sf):
     docs = table(spark, sf, "documents")
-    scored = retrieval(spark, sf).join(docs.select("doc_id", "lang"), "doc_id")
+    scored = retrieval(spark, sf, 5)
     top = features.top_per_query(scored, "item_id", [F.col("score").desc(), F.col("lang").desc(), "doc_id"], 5)
     found = features.knn_label(top, "item_id", "lang", "")
     most = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(1).select(F.col("lang").alias("most"))
@@ -792,7 +794,7 @@ def bm25_knn(spark, sf):
 
 @query("OP-107", f"WITH {BM25}, lab AS (SELECT doc_id, lang FROM documents), c AS (SELECT item_id, doc_id, lang, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id, lang ORDER BY round(score, 6) DESC, doc_id) AS k FROM sc JOIN lab USING (doc_id) WHERE score > 0) SELECT item_id, doc_id, lang, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE k <= 2) WHERE rank <= 4")
 def label_capped_retrieval(spark, sf):
-    scored = retrieval(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    scored = retrieval(spark, sf, 2, by_label=True)
     return features.label_capped(scored, "item_id", "lang", [F.col("score").desc(), "doc_id"], 2, 4).select("item_id", "doc_id", "lang", "score", "rank")
 
 
@@ -809,10 +811,10 @@ _FOLD_SAFE_WHOLE = _FOLD_SAFE.replace(f"{SQL_TOKENS}[:60]", f"{SQL_TOKENS}[:1200
 @query("OP-108", f"WITH {_FOLD_SAFE_WHOLE}")
 def fold_safe_retrieval(spark, sf):
     """Over all documents, with the 1,200 tokens of each that retrieval keeps elsewhere."""
-    docs = table(spark, sf, "documents").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
-    t = features.term_table(docs, "doc_id", tx.tokens_a(F.col("text"), 1200), "fold")
-    asked = t.select(F.col("doc_id").alias("query_id"), "fold", "term")
-    scores = features.bm25(t, asked, "doc_id", "query_id", fold="fold").withColumn("score", F.round("score", 5))
+    docs, tokens = table(spark, sf, "documents").withColumn("fold", (F.col("doc_id") % 5).cast("int")), tx.tokens_a(F.col("text"), 1200)
+    index = bm25.build_index(docs, "doc_id", tokens, fold="fold")
+    found = bm25.search(index, docs, "doc_id", tokens, 3, fold="fold")
+    scores = found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"))
     return features.top_per_query(scores, "query_id", [F.col("score").desc(), "doc_id"], 3)
 
 

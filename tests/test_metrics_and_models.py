@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as tx
-from reportmill.operators import curation, features, metrics, models, sampling, voting
+from reportmill.operators import curation, features, metrics, models, retrieval, sampling, voting
 
 
 def pairs(spark, a, b):
@@ -208,3 +208,43 @@ def test_selective_curve(spark):
     assert got[2] == (3, 1.0, pytest.approx(2 / 3))
     assert got[4] == (1, pytest.approx(1 / 3), 1.0)
     assert math.isclose(got[5][1], 1 / 3)
+
+
+def test_bounded_retrieval_is_exact(spark):
+    """By bounds and outright: the same first k, with folds and by label, for rare and common terms, ties and null keys."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[min(59, int(draw.expovariate(0.12)))] for _ in range(n))
+    rows = [(i, text(draw.randint(0, 40)), draw.choice("abc"), i % 3) for i in range(300)]
+    rows += [(1000 + i, rows[5][1], "a", i % 3) for i in range(4)] + [(None, "w1 w2", "a", 0), (2000, None, "b", 1)]
+    docs = spark.createDataFrame(rows, "id long, text string, label string, fold int")
+    asked = spark.createDataFrame([(q, text(n)) for q, n in enumerate([1, 2, 3, 5, 8, 30])] + [(9, "unknown"), (10, None)], "q long, text string")
+    tokens = tx.tokens_a(F.col("text"))
+
+    def first(index, queries, key, k, fold=None, by_label=False, **how):
+        found = retrieval.search(index, queries, key, tokens, k, fold=fold, by_label=by_label, **how).withColumn("score", F.round("score", 6))
+        group = ["query", "label"] if by_label else ["query"]
+        return sorted(tuple(r) for r in sampling.first_per(found, group, [F.col("score").desc(), "doc"], k).collect()), found.count()
+
+    for block in (16, 1024):
+        index = retrieval.build_index(docs, "id", tokens, label="label", block=block)
+        for by_label, k in ((False, 1), (False, 3), (True, 2)):
+            outright, every = first(index, asked, "q", k, by_label=by_label)
+            bounded, met = first(index, asked, "q", k, by_label=by_label, few=0, seed=8)
+            assert bounded == outright and met <= every
+    index = retrieval.build_index(docs, "id", tokens, fold="fold", label="label", block=16)
+    terms = features.term_table(docs.where("id is not null and text is not null"), "id", tokens, "fold")
+    naive = features.bm25(terms, terms.select(F.col("id").alias("q"), "fold", "term"), "id", "q", fold="fold").withColumn("score", F.round("score", 6))
+    want = sorted(tuple(r) for r in features.top_per_query(naive, "q", [F.col("score").desc(), "id"], 3).select("q", "id", "score").collect())
+    for few in (0, retrieval.FEW):
+        got, _ = first(index, docs, "id", 3, fold="fold", few=few)
+        assert sorted((q, d, s) for q, d, _, s in got) == want
+
+
+def test_bounds_leave_documents_out(spark):
+    """Queries with a document of their own meet few others, though all documents share the common words."""
+    docs = spark.range(2000).selectExpr("id", "concat('the of and own', id, ' own', id, ' rare', id % 700) as text")
+    asked = spark.range(0, 2000, 100).selectExpr("id as q", "concat('the and of own', id, ' rare', id % 700) as text")
+    tokens = tx.tokens_a(F.col("text"))
+    found = retrieval.search(retrieval.build_index(docs, "id", tokens), asked, "q", tokens, 1, few=0)
+    assert found.count() < 20 * 5 and found.where("query = doc").count() == 20
