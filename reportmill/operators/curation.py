@@ -6,18 +6,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def keep_one(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order.
+
+    In an order of plain columns this is a minimum, of which each task sends
+    one row a key; only for other orders rows are sorted by key.
+    """
+    if all(isinstance(o, str) for o in order):
+        return _picked(df, key, F.min_by(F.struct(*df.columns), F.struct(*order)))
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def _picked(df: DataFrame, key: list[str], row: Column) -> DataFrame:
+    return df.groupBy(*key).agg(row.alias("_row")).select(*[F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def keep_last(df: DataFrame, key: list[str], *position: str) -> DataFrame:
-    """The last row of each key by position."""
-    return keep_one(df, key, [F.col(p).desc() for p in position])
+    """The last row of each key by position, null positions first; each task sends one row a key."""
+    return _picked(df, key, F.max_by(F.struct(*df.columns), F.struct(*position)))
+
+
+def _descending(df: DataFrame, score: str) -> Column:
+    """What sorts rows by a numeric score from the greatest down: not a number first, null last."""
+    if df.schema[score].dataType.typeName() in ("double", "float"):
+        return F.struct(F.col(score).isNull().alias("a"), (~F.isnan(score)).alias("b"), (-F.col(score)).alias("c"))
+    return F.struct(F.col(score).isNull().alias("a"), F.lit(True).alias("b"), (-F.col(score).cast("decimal(38,10)") if df.schema[score].dataType.typeName() in ("long", "integer", "short", "byte") else -F.col(score)).alias("c"))
 
 
 def keep_best(df: DataFrame, key: list[str], score: str, *position: str) -> DataFrame:
-    """The row of highest score of each key, ties to the earliest position."""
-    return keep_one(df, key, [F.col(score).desc(), *position])
+    """The row of highest numeric score of each key, ties to the earliest position; each task sends one row a key."""
+    return _picked(df, key, F.min_by(F.struct(*df.columns), F.struct(_descending(df, score).alias("score"), *position)))
 
 
 def pool_union(pools: list[DataFrame], key: str, score: str, exclude: DataFrame, *position: str) -> DataFrame:
@@ -39,13 +56,19 @@ def append_merge(base: DataFrame, more: DataFrame, key: str, complete: Column, *
     return merged, judged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def overlay(base: DataFrame, patches: list[DataFrame], key: str, value: str) -> DataFrame:
-    """``base`` with values of (key, value) patches, later patches winning; adds ``previous``, ``changed`` and ``patch``."""
-    tagged = [p.select(key, F.col(value).alias("_value"), F.lit(i).alias("patch")) for i, p in enumerate(patches, 1)]
+def overlay(base: DataFrame, patches: list[DataFrame], key: str, value: str, position: str | None = None) -> DataFrame:
+    """``base`` with values of (key, value) patches, later patches winning; adds ``previous``, ``changed`` and ``patch``.
+
+    Within a patch the row of the greatest ``position`` wins, or without one
+    that of the smallest value.
+    """
+    place = F.col(position) if position else F.lit(None).cast("int")
+    tagged = [p.select(key, F.col(value).alias("_value"), F.lit(i).alias("patch"), place.alias("_place")) for i, p in enumerate(patches, 1)]
     union = tagged[0]
     for p in tagged[1:]:
         union = union.unionByName(p)
-    last = keep_one(union, [key], [F.col("patch").desc(), "_value"])
+    best = F.max_by(F.struct("_value", "patch"), F.struct("patch", "_place")) if position else F.min_by(F.struct("_value", "patch"), F.struct(-F.col("patch"), "_value"))
+    last = union.groupBy(key).agg(best.alias("_last")).select(key, "_last._value", "_last.patch")
     joined = base.join(last, key, "left")
     new = F.coalesce("_value", value)
     return joined.withColumns({"previous": F.col(value), "changed": ~F.col(value).eqNullSafe(new), value: new}).drop("_value")

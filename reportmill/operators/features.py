@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import written
+
 
 def term_table(df: DataFrame, key: str, tokens: Column, *keep: str) -> DataFrame:
     """(key, keep..., term, tf, pos): term counts and the first position of each text."""
@@ -63,44 +65,44 @@ def fold_vectors(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 def naive_bayes(terms: DataFrame, key: str, label: str, fold: str, classes: list[str], prior: bool = True) -> DataFrame:
     """(key, label, score) for every text and class: multinomial Naive Bayes with add-one smoothing.
 
-    ``terms`` has columns key, label, fold, term, tf; each text is scored by the
-    other folds' texts.  Terms unseen in training still count in the
-    denominator.  The class table is joined by an explode of the fixed class
-    list, and totals are by (fold, class), so nothing is multiplied out.
+    ``terms`` has columns key, label, fold, term, tf, and is best a written
+    table; each text is scored by the other folds' texts.  Terms unseen in
+    training still count in the denominator.  A term's counts by fold and class
+    are one map, met once by each text that holds the term; the totals are a
+    row for each fold.
     """
-    per_term = terms.groupBy(fold, label, "term").agg(F.sum("tf").alias("c"))
-    all_term = per_term.groupBy(label, "term").agg(F.sum("c").alias("c_all"))
-    folds = terms.select(fold).distinct()
-    class_array = F.array(*[F.lit(c) for c in classes])
-    totals = terms.groupBy(fold, label).agg(F.sum("tf").alias("t"), F.countDistinct(key).alias("d"))
-    grid = folds.withColumn(label, F.explode(class_array)).join(totals, [fold, label], "left").na.fill(0, ["t", "d"])
-    sums = totals.groupBy(label).agg(F.sum("t").alias("t_all"), F.sum("d").alias("d_all"))
-    # Vocabulary of a fold's training side: terms that occur outside it.
-    in_folds = per_term.groupBy(fold, "term").agg(F.sum("c").alias("x"))
-    n_folds = in_folds.groupBy("term").agg(F.count("*").alias("k"), F.min(fold).alias("only"))
-    vocab_all = n_folds.agg(F.count("*").alias("v_all"))
-    lost = n_folds.where("k = 1").groupBy(F.col("only").alias(fold)).agg(F.count("*").alias("v_lost"))
-    grid = grid.join(sums, label).join(lost, fold, "left").na.fill(0, ["v_lost"]).crossJoin(vocab_all)  # one row
-    n_train = Window.partitionBy(fold)
-    grid = grid.select(
-        fold, label, (F.col("t_all") - F.col("t")).alias("t"), (F.col("d_all") - F.col("d")).alias("d"), (F.col("v_all") - F.col("v_lost")).alias("v"),
-    ).withColumn("docs", F.sum("d").over(n_train))
-    grid = F.broadcast(grid.withColumnRenamed(label, "class"))  # folds times classes
-    rows = terms.select(key, fold, "term", "tf").join(grid, fold)
-    known = all_term.withColumnRenamed(label, "class")
-    own = per_term.withColumnRenamed(label, "class")
-    rows = rows.join(known, ["class", "term"], "left").join(own, ["class", "term", fold], "left").na.fill(0, ["c_all", "c"])
-    part = F.col("tf") * F.log((F.col("c_all") - F.col("c") + 1) / (F.col("t") + F.col("v")))
-    scored = rows.groupBy(key, "class").agg(F.sum(part).alias("score"), F.first("d").alias("d"), F.first("docs").alias("docs"))
-    start = F.log(F.col("d") / F.col("docs")) if prior else F.lit(0.0)
-    return scored.where("d > 0").select(key, F.col("class").alias("label"), (F.col("score") + start).alias("score"))
+    pair = lambda f, c: F.struct(f.alias("f"), c.alias("c"))
+    counts = terms.groupBy("term", fold, label).agg(F.sum("tf").alias("c"), F.count("*").alias("n"))
+    by_term = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct(pair(F.col(fold), F.col(label)).alias("k"), F.col("c").alias("v")))).alias("own"), F.countDistinct(fold).alias("k"), F.min(fold).alias("only"))  # an entry for each fold and class
+    of_term = written(by_term, "of_term")
+    texts = terms.groupBy(key, fold, label).agg(F.sum("tf").alias("t")).groupBy(fold, label).agg(F.sum("t").alias("t"), F.count("*").alias("d"))
+    vocabulary = of_term.groupBy(F.when(F.col("k") == 1, F.col("only")).alias("f")).agg(F.count("*").alias("n"))
+    # A row for each fold: the classes' sums outside it, and the terms that occur outside it.
+    totals = texts.agg(F.collect_list(F.struct(fold, label, "t", "d")).alias("all")).crossJoin(vocabulary.agg(F.collect_list(F.struct("f", "n")).alias("words")))  # one row each
+    held = texts.select(F.col(fold).alias("held")).distinct().crossJoin(totals)
+    add = lambda rows, field: F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r[field])
+    outside = F.filter("all", lambda r: r[fold] != F.col("held"))
+    words = F.filter("words", lambda w: ~w["f"].eqNullSafe(F.col("held")))
+    of_class = lambda c: F.filter(outside, lambda r: r[label] == c)
+    per_class = F.array(*[F.struct(F.lit(c).alias("class"), add(of_class(c), "t").alias("t"), add(of_class(c), "d").alias("d")) for c in classes])
+    folds = F.broadcast(written(held.select("held", per_class.alias("classes"), add(words, "n").alias("v"), add(outside, "d").alias("docs")), "folds").withColumnRenamed("held", fold))  # a row for each fold
+    # The counts of a term outside the text's fold, class by class.
+    entries = F.map_entries("own")
+    seen = lambda c: F.aggregate(F.filter(entries, lambda e: (e["key"]["f"] != F.col(fold)) & (e["key"]["c"] == c)), F.lit(0).cast("long"), lambda a, e: a + e["value"])
+    rows = terms.select(key, fold, "term", "tf").join(of_term.select("term", "own"), "term").select(key, fold, "tf", *[seen(F.lit(c)).alias(f"_c{i}") for i, c in enumerate(classes)])
+    rows = rows.join(folds, fold)
+    part = lambda i: F.sum(F.col("tf") * F.log((F.col(f"_c{i}") + 1) / (F.col("classes")[i]["t"] + F.col("v"))))
+    scored = rows.groupBy(key, fold).agg(*[part(i).alias(f"_s{i}") for i in range(len(classes))])
+    scored = scored.join(folds, fold)
+    starts = lambda i: F.log(F.col("classes")[i]["d"] / F.col("docs")) if prior else F.lit(0.0)
+    found = F.array(*[F.struct(F.lit(c).alias("label"), F.when(F.col("classes")[i]["d"] > 0, F.col(f"_s{i}") + starts(i)).alias("score")) for i, c in enumerate(classes)])
+    return scored.select(key, F.inline(found)).where(F.col("score").isNotNull()).select(key, "label", "score")
 
 
 def best_label(scores: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, pred) of the highest score, ties to the class listed first."""
     place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("label"))
-    top = scores.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), place)))
-    return top.where("_r = 1").select(key, F.col("label").alias("pred"))
+    return scores.groupBy(key).agg(F.min_by("label", F.struct(-F.col("score"), place)).alias("pred"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k1: float = 1.5, b: float = 0.75, fold: str | None = None) -> DataFrame:

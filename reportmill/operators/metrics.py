@@ -26,20 +26,26 @@ def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred", *keys: str)
     return df.groupBy(*keys, gold, pred).agg(F.count("*").alias("n"))
 
 
+def _marks(df: DataFrame, *keys: str, gold: str, pred: str) -> DataFrame:
+    """``per_label`` with a row for rows without a label, and ``judged``, the rows that have both sides."""
+    hit = F.col(gold) == F.col(pred)
+    side = lambda label, g, p, h, j: F.struct(F.col(label).alias("label"), F.lit(g).cast("long").alias("g"), F.lit(p).cast("long").alias("p"), h.cast("long").alias("h"), j.cast("long").alias("j"))
+    sides = F.array(side(gold, 1, 0, F.coalesce(hit, F.lit(False)), hit.isNotNull()), side(pred, 0, 1, F.lit(0), F.lit(0)))
+    rows = df.select(*keys, F.inline(sides))
+    out = rows.groupBy(*keys, "label").agg(F.sum("g").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"), F.sum("j").alias("judged"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    out = out.withColumns({"precision": ratio(F.col("hits"), F.col("predicted")), "recall": ratio(F.col("hits"), F.col("support"))})
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0)))
+
+
 def per_label(df: DataFrame, *keys: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(keys, label, support, predicted, hits, precision, recall, f1) for all labels that are gold or predicted; 0/0 is 0.
 
     Each row is turned into at most two label rows before one aggregation, so
     the pass is linear and combines map-side.
     """
-    hit = (F.col(gold) == F.col(pred)).cast("long")
-    sides = F.array(F.struct(F.col(gold).alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p"), hit.alias("h")), F.struct(F.col(pred).alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p"), F.lit(0).cast("long").alias("h")))
-    rows = df.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.label", "s.g", "s.p", "s.h").where(F.col("label").isNotNull())
-    out = rows.groupBy(*keys, "label").agg(F.sum("g").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    out = out.withColumns({"precision": ratio(F.col("hits"), F.col("predicted")), "recall": ratio(F.col("hits"), F.col("support"))})
-    both = F.col("precision") + F.col("recall")
-    return out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0)))
+    return _marks(df, *keys, gold=gold, pred=pred).where(F.col("label").isNotNull()).drop("judged")
 
 
 def summary(df: DataFrame, *keys: str, gold: str = "gold", pred: str = "pred", labels: list[str] | None = None, digits: int | None = None) -> DataFrame:
@@ -47,16 +53,16 @@ def summary(df: DataFrame, *keys: str, gold: str = "gold", pred: str = "pred", l
 
     macro_f1 is the mean over the labels that occur, or over ``labels``, where
     an absent one counts as 0, of F1 scores rounded to ``digits`` if given.
+    All three come from one table of marks by label, so ``df`` is read once.
     """
-    marks = per_label(df, *keys, gold=gold, pred=pred)
+    marks = _marks(df, *keys, gold=gold, pred=pred)
     f1 = F.col("f1") if digits is None else F.round("f1", digits)
     if labels is None:
-        macro = marks.groupBy(*keys).agg(F.avg(f1).alias("macro_f1"))
+        macro = F.avg(F.when(F.col("label").isNotNull(), f1))
     else:
-        macro = marks.where(F.col("label").isin(labels)).groupBy(*keys).agg((F.sum(f1) / len(labels)).alias("macro_f1"))
-    base = df.groupBy(*keys).agg(F.count("*").alias("answered"), F.avg((F.col(gold) == F.col(pred)).cast("double")).alias("accuracy"))
-    joined = base.join(macro, list(keys), "left") if keys else base.crossJoin(macro)  # one row each
-    return joined.withColumn("macro_f1", F.coalesce("macro_f1", F.lit(0.0)))
+        macro = F.sum(F.when(F.col("label").isin(labels), f1)) / len(labels)
+    hits, judged = F.sum("hits"), F.sum("judged")
+    return marks.groupBy(*keys).agg(F.coalesce(F.sum("support"), F.lit(0)).alias("answered"), F.when(judged > 0, hits / judged).alias("accuracy"), F.coalesce(macro, F.lit(0.0)).alias("macro_f1"))
 
 
 def kappa(df: DataFrame, a: str, b: str, *keys: str, degenerate: float = 1.0, labels: list[str] | None = None) -> DataFrame:
@@ -99,16 +105,17 @@ def answered_only(df: DataFrame, *keys: str, answer: Column, gold: str = "gold",
 
 def selective_curve(df: DataFrame, votes: str, thresholds: range, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(threshold, answered, coverage, accuracy, macro_f1) for answers with at least so many votes."""
-    swept = df.withColumn("threshold", F.explode(F.filter(F.sequence(F.lit(thresholds.start), F.lit(thresholds.stop - 1)), lambda t: t <= F.col(votes))))
-    total = df.agg(F.count("*").alias("total"))
-    scored = summary(swept, "threshold", gold=gold, pred=pred).crossJoin(total)  # one row
-    return scored.withColumn("coverage", F.col("answered") / F.col("total")).drop("total")
+    steps = F.filter(F.sequence(F.lit(thresholds.start), F.lit(thresholds.stop - 1)), lambda t: t <= F.col(votes))
+    every = F.lit(None).cast("int")  # a threshold that all rows meet, for the total
+    swept = df.withColumn("threshold", F.explode(F.concat(F.array(every), F.coalesce(steps, F.array().cast("array<int>")))))
+    scored = summary(swept, "threshold", gold=gold, pred=pred)
+    total = F.max(F.when(F.col("threshold").isNull(), F.col("answered"))).over(Window.partitionBy())  # one row for each threshold
+    return scored.withColumn("coverage", F.col("answered") / total).where("threshold is not null")
 
 
 def best_by(df: DataFrame, group: str, score: str, name: str) -> DataFrame:
     """(group, name, score) of each group's best row, ties to the first name."""
-    order = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(name))
-    return df.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(group, name, score)
+    return df.groupBy(group).agg(F.min_by(F.struct(name, score), F.struct(F.col(score).isNull(), -F.col(score), name)).alias("_row")).select(group, f"_row.{name}", f"_row.{score}")
 
 
 def by_slice(df: DataFrame, slice_col: str, values: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:

@@ -13,14 +13,23 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 Client = Callable[[str], str]
 
 
+NAMED_DELAY = r"retry(?:Delay)?[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)\s*s"
+
+
+def retry_delays(message: Column, attempt: Column, base: float = 2.0, longest: float = 60.0) -> Column:
+    """Seconds to wait: what the error message names, else exponential; as ``retry_delay``, for columns."""
+    named = F.regexp_extract(F.coalesce(message, F.lit("")), f"(?i){NAMED_DELAY}", 1)
+    return F.least(F.lit(longest), F.when(named != "", named.cast("double")).otherwise(F.lit(base) * F.pow(F.lit(2.0), attempt)))
+
+
 def retry_delay(message: str, attempt: int, base: float = 2.0, longest: float = 60.0) -> float:
     """Seconds to wait: what the error message names, else exponential."""
-    named = re.search(r"retry(?:Delay)?[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)\s*s", message, re.I)
+    named = re.search(NAMED_DELAY, message, re.I)
     return min(longest, float(named[1]) if named else base * 2**attempt)
 
 

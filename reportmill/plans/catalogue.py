@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import curation, features, metrics, models, retrieval as bm25, sampling, taxonomy, voting
 from ..operators.taxonomy import PROSE, PROSE_CAUSES, RuleSet
+from ..scratch import written
 from ..sources import sinks, tables
 from . import composites
 
@@ -388,12 +389,12 @@ def left_join_default(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit("needs_review")).alias("label"))
 
 
-@query("OP-46", "SELECT d.doc_id, coalesce(b.text, p.html, d.text)[1:40] AS text, CASE WHEN b.text IS NOT NULL THEN 'benchmark' WHEN p.html IS NOT NULL THEN 'pages' ELSE 'own' END AS origin FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id")
+@query("OP-46", "SELECT d.doc_id, coalesce(b.text, p.html, d.text) AS text, CASE WHEN b.text IS NOT NULL THEN 'benchmark' WHEN p.html IS NOT NULL THEN 'pages' ELSE 'own' END AS origin FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id")
 def coalescing_join(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     out = curation.coalescing_join(table(spark, sf, "documents").select("doc_id", "text"), [("benchmark", b), ("pages", p)], "doc_id", "text", "text")
-    return out.select("doc_id", F.substring("text", 1, 40).alias("text"), "origin")
+    return out.select("doc_id", "text", "origin")
 
 
 @query("OP-47", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -735,11 +736,12 @@ SELECT doc_id, gold, c AS pred, round(score, 4) AS score FROM (SELECT *, row_num
 
 
 def _bayes(t: DataFrame, fold: str, classes: list[str]) -> DataFrame:
+    t = written(t, "terms")  # one tokenisation for the counts and the scores
     scores = features.naive_bayes(t, "doc_id", "label", fold, classes).withColumn("score", F.round("score", 6))
-    best = features.best_label(scores, "doc_id", classes)
-    gold = t.select("doc_id", F.col("label").alias("gold")).distinct()
-    scored = best.join(scores.select("doc_id", F.col("label").alias("pred"), "score"), ["doc_id", "pred"])
-    return scored.join(gold, "doc_id").select("doc_id", "gold", "pred", F.round("score", 4).alias("score"))
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
+    best = scores.groupBy("doc_id").agg(F.min_by(F.struct("label", "score"), F.struct(-F.col("score"), place)).alias("best"))
+    gold = t.groupBy("doc_id").agg(F.min("label").alias("gold"))
+    return best.join(gold, "doc_id").select("doc_id", "gold", F.col("best.label").alias("pred"), F.round("best.score", 4).alias("score"))
 
 
 @query("OP-104 OP-111", "WITH " + _sql_bayes(LABELLED_WHOLE, "fold"))

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -146,18 +144,13 @@ def model_per_batch(spark, sf):
     return scorers.score_batches(docs, "doc_id", "lang", "batch", _batch_judge, ["de", "en"]).select("doc_id", "label")
 
 
-def _delays(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        yield pd.DataFrame({"event_id": part["event_id"], "delay": [scorers.retry_delay(m, int(k)) for m, k in zip(part["message"], part["attempt"], strict=True)]})
-
-
 @query("OP-153", "SELECT event_id, least(60.0, CASE WHEN event_type = 'error' THEN k + 0.5 ELSE 2.0 * 2 ** (k // 10) END)::DOUBLE AS delay FROM (SELECT event_id, event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events)")
 def retry_delays(spark, sf):
     """Error events name their delay, the others wait twice as long for each attempt."""
     k = F.get_json_object("props", "$.k").cast("long")
     message = F.when(F.col("event_type") == "error", F.concat(F.lit('{"retryDelay": "'), k, F.lit('.5s"}'))).otherwise("HTTP 500")
     events = table(spark, sf, "events").select("event_id", message.alias("message"), F.floor(k / 10).alias("attempt"))
-    return events.mapInPandas(_delays, "event_id long, delay double")
+    return events.select("event_id", scorers.retry_delays(F.col("message"), F.col("attempt")).alias("delay"))
 
 
 # References and snippets in text.
