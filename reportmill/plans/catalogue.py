@@ -737,9 +737,9 @@ SELECT doc_id, gold, c AS pred, round(score, 4) AS score FROM (SELECT *, row_num
 
 def _bayes(t: DataFrame, fold: str, classes: list[str]) -> DataFrame:
     t = written(t, "terms")  # one tokenisation for the counts and the scores
-    scores = features.naive_bayes(t, "doc_id", "label", fold, classes).withColumn("score", F.round("score", 6))
+    scores = features.naive_bayes(t, "doc_id", "label", fold, classes)
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
-    best = scores.groupBy("doc_id").agg(F.min_by(F.struct("label", "score"), F.struct(-F.col("score"), place)).alias("best"))
+    best = scores.groupBy("doc_id").agg(F.min_by(F.struct("label", "score"), F.struct(-F.round("score", 6), place)).alias("best"))
     gold = t.groupBy("doc_id").agg(F.min("label").alias("gold"))
     return best.join(gold, "doc_id").select("doc_id", "gold", F.col("best.label").alias("pred"), F.round("best.score", 4).alias("score"))
 
