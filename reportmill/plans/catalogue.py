@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import curation, features, metrics, models, retrieval as bm25, sampling, taxonomy, voting
+from ..operators import curation, descent, features, metrics, models, retrieval as bm25, sampling, taxonomy, voting
 from ..operators.taxonomy import PROSE, PROSE_CAUSES, RuleSet
 from ..scratch import written
 from ..sources import sinks, tables
@@ -840,6 +840,44 @@ def svm_sgd_cv(spark, sf):
     return _linear(spark, sf, "hinge")
 
 
+_VECTORS = f"""{LABELLED}, held AS (SELECT DISTINCT fold AS held FROM doc), seen AS MATERIALIZED (SELECT DISTINCT doc_id, fold, label FROM terms),
+nd AS (SELECT held, count(*) AS n FROM seen JOIN held ON fold <> held GROUP BY held),
+st AS (SELECT held, term, sum(tf) AS tf, count(*) AS df, min((doc_id, pos)) AS place FROM terms JOIN held ON fold <> held WHERE length(term) >= 2 GROUP BY ALL),
+voc AS MATERIALIZED (SELECT held, term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY tf DESC, place) AS r FROM st) JOIN nd USING (held) WHERE r <= {WIDTH}),
+raw AS (SELECT held, doc_id, term, tf / sum(tf) OVER (PARTITION BY held, doc_id) * idf AS v FROM terms JOIN voc USING (term)),
+x AS MATERIALIZED (SELECT held, doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY held, doc_id)) AS v FROM raw UNION ALL SELECT held, doc_id, '', 1.0 FROM seen, held),
+cls AS (SELECT DISTINCT label AS c FROM seen), tr AS MATERIALIZED (SELECT held, doc_id, label FROM seen JOIN held ON fold <> held), nt AS (SELECT held, count(*) AS n FROM tr GROUP BY held),
+w0 AS MATERIALIZED (SELECT held, c, term, 0.0::DOUBLE AS w FROM (SELECT held, term FROM voc UNION ALL SELECT held, '' FROM held), cls)"""
+
+
+def _sql_batch(loss: str) -> str:
+    """The steps of ``descent.fit``, unrolled."""
+    parts, sign = [_VECTORS], "CASE WHEN label = c THEN 1.0 ELSE -1.0 END"
+    pull = {"softmax": "exp(m - max(m) OVER o) / sum(exp(m)) OVER o * exp(max(m) OVER o) - (label = c)::INT", "hinge": f"CASE WHEN {sign} * m < 1 THEN -({sign}) ELSE 0 END"}[loss]
+    for t in range(descent.STEPS):
+        parts.append(f"m{t} AS MATERIALIZED (SELECT held, doc_id, c, sum(v * w) AS m FROM x JOIN w{t} USING (held, term) GROUP BY ALL)")
+        parts.append(f"a{t} AS MATERIALIZED (SELECT held, doc_id, c, {pull} AS a FROM m{t} JOIN tr USING (held, doc_id) WINDOW o AS (PARTITION BY held, doc_id))")
+        parts.append(f"w{t + 1} AS MATERIALIZED (SELECT w.held, w.c, w.term, w - {descent.RATE / (1 + descent.DECAY * t)!r} * (coalesce(g, 0) / n + CASE WHEN w.term = '' THEN 0 ELSE {descent.L2!r} * w END) AS w FROM w{t} w JOIN nt ON nt.held = w.held LEFT JOIN (SELECT held, c, term, sum(a * v) AS g FROM a{t} JOIN x USING (held, doc_id) GROUP BY ALL) g ON g.held = w.held AND g.c = w.c AND g.term = w.term)")
+    last = f"(SELECT held, doc_id, c, sum(v * w) AS m FROM x JOIN w{descent.STEPS} USING (held, term) GROUP BY ALL)"
+    return f"WITH {', '.join(parts)} SELECT doc_id, fold, label AS gold, c AS pred FROM (SELECT s.doc_id, s.fold, s.label, c, row_number() OVER (PARTITION BY s.doc_id ORDER BY m DESC, c) AS r FROM {last} f JOIN seen s ON s.doc_id = f.doc_id AND s.fold = f.held) WHERE r = 1"
+
+
+def _batch(spark: SparkSession, sf_dir: str, loss: str) -> DataFrame:
+    t = written(labelled_terms(spark, sf_dir), "terms")
+    vectors = features.fold_vectors(t, features.fold_vocabulary(t, "doc_id", "fold", WIDTH), "doc_id")
+    return descent.cross_validated(vectors, t.select("doc_id", "label", "fold").distinct(), "doc_id", "label", loss, WIDTH)
+
+
+@query("OP-109 OP-111", _sql_batch("softmax"))
+def softmax_batch_cv(spark, sf):
+    return _batch(spark, sf, "softmax")
+
+
+@query("OP-110 OP-111", _sql_batch("hinge"))
+def hinge_batch_cv(spark, sf):
+    return _batch(spark, sf, "hinge")
+
+
 @query("OP-111")
 def five_voter_vote(spark, sf):
     """The vote of the five cross-validated models, each fitted on the other folds only."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportmill.functions import text as tx
-from reportmill.operators import curation, features, metrics, models, retrieval, sampling, voting
+from reportmill.operators import curation, descent, features, metrics, models, retrieval, sampling, voting
 
 
 def pairs(spark, a, b):
@@ -248,3 +248,54 @@ def test_bounds_leave_documents_out(spark):
     tokens = tx.tokens_a(F.col("text"))
     found = retrieval.search(retrieval.build_index(docs, "id", tokens), asked, "q", tokens, 1, few=0)
     assert found.count() < 20 * 5 and found.where("query = doc").count() == 20
+
+
+def separable(spark, labels, n=90, seed=4):
+    """Rows whose label's own feature is the strongest; three folds; vectors as of each held-out fold."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        y = draw.randrange(len(labels))
+        x = {y: 0.9, len(labels): 0.3, draw.randrange(len(labels)): 0.2}
+        rows.append((i, labels[y], i % 3, {y: 0.9} | {k: v for k, v in x.items() if k != y}))
+    folds = spark.createDataFrame([(i, y, f) for i, y, f, _ in rows], "id int, label string, fold int")
+    vectors = spark.createDataFrame([(h, i, k, v) for i, _, _, x in rows for k, v in x.items() for h in range(3)], "held int, id int, idx int, weight double")
+    return rows, folds, vectors
+
+
+@pytest.mark.parametrize("loss", ["softmax", "hinge"])
+def test_full_batch_descent(spark, loss):
+    """The same weights as the steps written out, and every row of a separable set right."""
+    rows, folds, vectors = separable(spark, ["a", "b", "c"])
+    out = descent.cross_validated(vectors, folds, "id", "label", loss, 4).collect()
+    assert len(out) == 90 and all(r.gold == r.pred for r in out)
+    classes, width = ["a", "b", "c"], 4
+    sent = descent.training_rows(vectors, folds, "id", "label")
+    got = {(r.held, r.c, r.idx): r.w for r in descent.fit(sent, "label", classes, width, loss, steps=3, rate=1.5).collect()}
+    for held in range(3):
+        data = [([1.0, *[x.get(k, 0.0) for k in range(width)]], classes.index(y)) for _, y, f, x in rows if f != held]
+        w = [[0.0] * (width + 1) for _ in classes]
+        for t in range(3):
+            g = [[0.0] * (width + 1) for _ in classes]
+            for x, y in data:
+                m = [sum(a * b for a, b in zip(x, wc, strict=True)) for wc in w]
+                e = [math.exp(v) for v in m]
+                for c in range(3):
+                    sign = 1 if c == y else -1
+                    pull = e[c] / sum(e) - (c == y) if loss == "softmax" else -sign if sign * m[c] < 1 else 0
+                    g[c] = [a + pull * b for a, b in zip(g[c], x, strict=True)]
+            rate = 1.5 / (1 + descent.DECAY * t)
+            w = [[v - rate * (d / len(data) + (descent.L2 * v if k else 0)) for k, (v, d) in enumerate(zip(wc, gc, strict=True))] for wc, gc in zip(w, g, strict=True)]
+        for c in range(3):
+            for k in range(width + 1):
+                assert got[held, c, k] == pytest.approx(w[c][k], abs=1e-12)
+
+
+def test_full_batch_two_stages(spark):
+    rows, folds, vectors = separable(spark, ["a", "b", "c", "d"], n=150)
+    out = descent.two_stage(vectors, folds, "id", "label", "hinge", 5, {"a": "g", "b": "g"}).collect()
+    assert len(out) == 150 and all(r.gold == r.pred for r in out)
+    empty = descent.cross_validated(vectors.limit(0), folds.limit(0), "id", "label", "softmax", 5)
+    assert empty.collect() == []
+    unknown = descent.cross_validated(vectors.limit(0), folds, "id", "label", "softmax", 5, steps=2)
+    assert unknown.count() == 150
