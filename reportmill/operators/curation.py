@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from ..sources.tables import observed
 
 
 def keep_one(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
@@ -46,16 +48,27 @@ def pool_union(pools: list[DataFrame], key: str, score: str, exclude: DataFrame,
     return keep_best(union.join(exclude.select(key), key, "left_anti"), [key], score, "pool", *position)
 
 
-def append_merge(base: DataFrame, more: DataFrame, key: str, complete: Column, *position: str) -> tuple[DataFrame, DataFrame]:
-    """(merged rows, counts by outcome): complete rows of new keys are appended, the first of each key."""
+def _judged(base: DataFrame, more: DataFrame, key: str, complete: Column, *position: str) -> DataFrame:
+    """``more`` with ``outcome``: incomplete, duplicate or appended."""
     known = base.select(key).distinct().withColumn("_known", F.lit(True))
     judged = more.join(known, key, "left").withColumn("_r", F.row_number().over(Window.partitionBy(key, complete).orderBy(*position)))
     outcome = F.when(~complete, "incomplete").when(F.col("_known") | (F.col("_r") > 1), "duplicate").otherwise("appended")
-    judged = judged.withColumn("outcome", outcome)
+    return judged.withColumn("outcome", outcome)
+
+
+def append_merge(base: DataFrame, more: DataFrame, key: str, complete: Column, *position: str) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, counts by outcome): complete rows of new keys are appended, the first of each key."""
+    judged = _judged(base, more, key, complete, *position)
     merged = base.unionByName(judged.where("outcome = 'appended'").select(*base.columns))
     return merged, judged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def observed_merge(base: DataFrame, more: DataFrame, key: str, complete: Column, *position: str) -> tuple[DataFrame, Observation]:
+    """(merged rows, counts): as ``append_merge``, with the outcomes counted in the pass that merges."""
+    judged, seen = observed(_judged(base, more, key, complete, *position), **{x: F.col("outcome") == x for x in ("incomplete", "duplicate", "appended")})
+    return base.unionByName(judged.where("outcome = 'appended'").select(*base.columns)), seen
+
+
 def overlay(base: DataFrame, patches: list[DataFrame], key: str, value: str, position: str | None = None) -> DataFrame:
     """``base`` with values of (key, value) patches, later patches winning; adds ``previous``, ``changed`` and ``patch``.
 

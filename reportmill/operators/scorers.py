@@ -15,6 +15,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import written
+from ..sources.tables import exists
+from .sampling import ranked
+
 Client = Callable[[str], str]
 
 
@@ -153,6 +157,53 @@ def fetch(rows: DataFrame, key: str, url: str, client: Callable[[str, int], str
     return known.unionByName(got)
 
 
+def logged_fetch(rows: DataFrame, key: str, url: str, client: Callable[[str, int], str | bytes], log: str, largest: int = 5_000_000, pause: float = 0.0, batch: int = 1000, retry_failed: bool = False) -> DataFrame:
+    """(key, host, body, status, error): every row's fetch, from the Parquet log at ``log``, which a restart takes up.
+
+    Keys in the log are not asked for again (failed ones only with
+    ``retry_failed``).  The others go in batches of at most ``batch`` rows of
+    each host; a host's rows of a batch are one task's, ``pause`` seconds apart,
+    so a host sees one pace however large the cluster is, and hosts run beside
+    each other.  A batch is appended to the log when it is done: a run that
+    dies loses the batch it was in.  Rows of one key are fetched once, by the
+    smallest url; null keys and urls are left out.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, host string, body string, status string, error string"
+
+    def logged() -> DataFrame:
+        return spark.read.schema(schema).parquet(log) if exists(spark, log) else spark.createDataFrame([], schema)
+
+    once = rows.where(F.col(key).isNotNull() & F.col(url).isNotNull()).groupBy(key).agg(F.min(url).alias("_url"))
+    done = logged() if not retry_failed else logged().where("status <> 'failed'")
+    left = pending(once, done, key).withColumn("host", F.coalesce(F.lower(F.try_parse_url("_url", F.lit("HOST"))), F.lit("")))
+    left = written(ranked(left, ["host"], [key]).select(key, "_url", "host", F.floor((F.col("_rank") - 1) / batch).alias("_batch")), "pending")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+        for part in parts:
+            out = []
+            for k, u, host in part[[key, "_url", "host"]].itertuples(index=False):
+                wait = last.get(host, float("-inf")) + pause - time.monotonic()
+                if wait > 0:
+                    time.sleep(wait)
+                last[host] = time.monotonic()
+                body, error = call(lambda u: client(u, largest + 1), u, retries=0)
+                raw = body.encode() if isinstance(body, str) else body
+                large = len(raw) > largest
+                out.append((k, host, "" if large else raw.decode("utf-8", "replace"), "failed" if error else "skipped_large" if large else "fetched", error))
+            yield pd.DataFrame(out, columns=[key, "host", "body", "status", "error"])
+
+    last_batch = left.agg(F.max("_batch")).first()[0]
+    for n in range(0 if last_batch is None else last_batch + 1):
+        now = left.where(F.col("_batch") == n)
+        hosts = now.select("host").distinct().count()
+        now.repartition(min(max(hosts, 1), 10_000), "host").sortWithinPartitions("host", key).mapInPandas(run, schema).write.mode("append").parquet(log)
+    latest = F.max_by(F.struct("host", "body", "status", "error"), F.col("status") != "failed").alias("r")
+    return logged().join(once.select(key), key, "left_semi").groupBy(key).agg(latest).select(key, "r.*")
+
+
 def packets(rows: DataFrame, key: str, system: str, user: str, *meta: str) -> DataFrame:
     """(key, messages, metadata) chat packets."""
     role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))

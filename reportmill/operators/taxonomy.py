@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+from ..sources.tables import observed
 
 NEEDS_REVIEW = "needs_review"
 
@@ -240,3 +242,8 @@ def validate(df: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
     if bad:
         raise ValueError(f"{column} holds " + ", ".join(f"{r[0]!r} ({r.n} rows)" for r in bad))
     return df
+
+
+def checked(df: DataFrame, column: str, vocabulary: list[str]) -> tuple[DataFrame, Observation]:
+    """(rows, counts): ``df``, and how many of its values lie outside the vocabulary (``invalid``), counted in the pass that reads it."""
+    return observed(df, invalid=F.col(column).isNull() | ~F.col(column).isin(vocabulary))

@@ -8,9 +8,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import scorers
-from ..scratch import new_folder
-from ..sources import sinks, tables
+from ..operators import scorers, taxonomy
+from ..scratch import new_folder, written
+from ..sources import search, sinks, tables
 from .catalogue import query, table
 
 # Tables that are written and read back.
@@ -89,6 +89,30 @@ def recorded_search(spark, sf):
     return tables.recorded_search(spark, folder, [*segments, "NOTHING"])
 
 
+@query("OP-10 OP-13", "SELECT c_mktsegment AS query, 'https://example.org/' || c_custkey AS url, c_name AS title, NULL::VARCHAR AS body, 'open' AS state FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def search_source(spark, sf):
+    """Recordings read as a data source; two of its terms are asked for, which the source is told."""
+    folder, segments = new_folder(spark), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    rows = table(spark, sf, "customer").select("c_mktsegment", F.concat(F.lit("https://example.org/"), "c_custkey").alias("url"), F.col("c_name").alias("title"), F.lit("open").alias("state"))
+    for s in segments:
+        sinks.write_jsonl(rows.where(F.col("c_mktsegment") == s).drop("c_mktsegment"), f"{folder}/{s}.jsonl")
+    search.register(spark, search.Recordings(folder))
+    return spark.read.format(search.FORMAT).option("terms", json.dumps([*segments, "NOTHING"])).load().where(F.col("query").isin("BUILDING", "MACHINERY"))
+
+
+@query("OP-06 OP-34", "SELECT count(*) AS rows, count(*) FILTER (WHERE event_type = 'error') AS malformed, count(*) FILTER (WHERE event_type NOT IN ('error', 'click', 'view')) AS unknown, count(*) FILTER (WHERE event_type <> 'error') AS kept FROM events")
+def counts_beside_rows(spark, sf):
+    """Malformed lines and unknown types are counted in the pass that writes the well-formed rows."""
+    path = new_folder(spark)
+    line = F.to_json(F.struct("event_id", "event_type"))
+    broken = F.when(F.col("event_type") == "error", F.substring_index(line, "}", 1)).otherwise(line)
+    table(spark, sf, "events").select(broken.alias("value")).write.text(path)
+    lines, read = tables.counted_json_lines(spark, path, "event_id long, event_type string")
+    rows, seen = taxonomy.checked(lines, "event_type", ["click", "view"])
+    kept = written(rows, "rows").count()
+    return spark.createDataFrame([(read.get["rows"], read.get["malformed"], seen.get["invalid"], kept)], "rows long, malformed long, unknown long, kept long")
+
+
 @query("OP-16", "SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS report FROM region")
 def markdown_report(spark, sf):
     return spark.createDataFrame([(sinks.markdown(table(spark, sf, "region").orderBy("r_regionkey"), ["r_regionkey", "r_name"]),)], "report string")
@@ -115,6 +139,14 @@ def capped_fetch(spark, sf):
     return scorers.fetch(pages, "page_id", "url", _origin, largest=70, cached=cached)
 
 
+@query("OP-11 OP-12 OP-18", _FETCHED.replace("WHEN contains(url, '?') THEN 'cached' ", "").replace("WHEN 'cached' THEN 'kept' ", ""))
+def resumed_fetch(spark, sf):
+    """A first run over half of the pages, then one over all, which takes up its log."""
+    pages, log = table(spark, sf, "pages").select("page_id", "url"), f"{new_folder(spark)}/log"
+    scorers.logged_fetch(pages.where("page_id % 2 = 0"), "page_id", "url", _origin, log, largest=70)
+    return scorers.logged_fetch(pages, "page_id", "url", _origin, log, largest=70).drop("host")
+
+
 def _judge(prompt: str) -> str:
     """A model that fails on line breaks, fences its answer to short prompts and chats about long ones."""
     if "\n" in prompt:

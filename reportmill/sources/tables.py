@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import changed_files
+from . import files
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -49,10 +50,26 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def corrupt_count(lines: DataFrame) -> int:
-    """How many lines of ``json_lines`` were malformed."""
+    """How many lines of ``json_lines`` were malformed, by a pass of its own."""
     return lines.where("_corrupt is not null").count()
 
 
+def observed(df: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """(rows, counts): ``df``, and an observation of its ``rows`` and of how many meet each condition.
+
+    The counts are made in the pass that first reads the rows; ``counts.get``
+    has them once an action on the rows is over.
+    """
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in conditions.items()]), seen
+
+
+def counted_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Observation]:
+    """(well-formed rows, counts): ``json_lines`` without the malformed ones, which are counted as ``malformed`` in the same pass."""
+    lines, seen = observed(json_lines(spark, path, schema), malformed=F.col("_corrupt").isNotNull())
+    return lines.where("_corrupt is null").drop("_corrupt"), seen
+
+
 def contexts(spark: SparkSession, folder: str, comments: int | None = None) -> DataFrame:
     """(stem, title, body, comments, comment_count) from <stem>.issue.json and <stem>.comments.json.
 
@@ -84,13 +101,18 @@ def diffs(spark: SparkSession, path: str) -> DataFrame:
 def recorded_search(spark: SparkSession, folder: str, queries: list[str]) -> DataFrame:
     """(query, url, title, body, state): search results from recorded JSON lines, <folder>/<query>.jsonl.
 
-    The folder may lie in any file system that Spark reads.  A query without a
-    recording gives no rows; other queries are a parameter, not another source.
+    The recordings of all queries are one read, which Spark plans and splits;
+    the query is taken from the path.  The folder may lie in any file system
+    that Spark reads.  A query without a recording gives no rows; other queries
+    are a parameter, not another source.
     """
     fields = "url string, title string, body string, state string"
-    out = spark.createDataFrame([], f"query string, {fields}")
-    for q in dict.fromkeys(queries):
-        path = f"{folder}/{q}.jsonl"
-        if exists(spark, path):
-            out = out.unionByName(json_lines(spark, path, fields).where("_corrupt is null").select(F.lit(q).alias("query"), "url", "title", "body", "state"))
-    return out
+    there = set(files.names(spark, folder))
+    paths = [f"{folder}/{q}.jsonl" for q in dict.fromkeys(queries) if f"{q}.jsonl" in there]
+    if not paths:
+        return spark.createDataFrame([], f"query string, {fields}")
+    of_file = F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.jsonl(?:/[^/]*)?$", 1), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(paths).where(F.trim("value") != "").select(of_file.alias("query"), "value")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = lines.select("query", F.from_json("value", f"{fields}, _corrupt string", options).alias("row"))
+    return rows.where("row._corrupt is null").select("query", "row.url", "row.title", "row.body", "row.state")
