@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import small, written
+from .features import counted
 
 #: Documents of a block; postings read for a query's first candidates; what rounding may take from a bound.
 BLOCK, SEED, SLACK = 1024, 64, 1e-4
@@ -51,11 +52,11 @@ def build_index(docs: DataFrame, doc_key: str, tokens: Column, fold: str | None
     their statistics; ``label`` is kept for selections by label.  A null key or
     text is left out.
     """
-    said = docs.select(F.col(doc_key).alias("doc"), (F.col(fold) if fold else F.lit(0)).alias("fold"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"), F.inline(F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("len"), t.alias("tokens")))))  # the tokens are made once
-    # The empty term stands for the document itself.
-    rows = said.where("doc is not null and len > 0").select("doc", "fold", "label", "len", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
-    counted = rows.groupBy("doc", "fold", "label", "len", "term").agg(F.count("*").alias("tf"))
-    postings = written(counted.withColumn("hash", F.xxhash64("doc")), "postings")
+    # The empty term stands for the document itself; a text's terms are counted within its row.
+    made = lambda t: F.struct(F.size(t).alias("len"), counted(F.concat(F.array(F.lit("")), t)).alias("terms"))
+    said = docs.select(F.col(doc_key).alias("doc"), (F.col(fold) if fold else F.lit(0)).alias("fold"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"), F.inline(F.transform(F.array(tokens), made)))
+    terms = said.where("doc is not null and len > 0").select("doc", "fold", "label", "len", F.inline("terms")).drop("pos")
+    postings = written(terms.withColumn("hash", F.xxhash64("doc")), "postings")
     by_fold = postings.where("term = ''").groupBy("fold").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
     if fold:
         every = Window.partitionBy()  # one row for each fold
