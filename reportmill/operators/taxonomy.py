@@ -31,6 +31,15 @@ class RuleSet:
         """The first label that matches, else the default."""
         return F.coalesce(*[F.when(text.rlike(p), F.lit(n)) for n, p in self.rules], F.lit(self.default))
 
+    def first_and_last(self, text: Column) -> Column:
+        """(first, last): the label of highest and of lowest priority that match, each pattern tried once; use it with ``F.inline``.
+
+        An array of one struct: expanding it is what keeps Spark from trying the
+        patterns again for each column that is made of it.
+        """
+        default = F.lit(self.default)
+        return F.transform(F.array(self.labels(text)), lambda m: F.struct(F.coalesce(F.get(m, F.lit(0)), default).alias("first"), F.coalesce(F.get(m, F.size(m) - 1), default).alias("last")))
+
     def any(self, text: Column, names: tuple[str, ...] | None = None) -> Column:
         """Whether one of the named rules, or any, matches."""
         out = F.lit(False)

@@ -69,13 +69,20 @@ def sql_bucket(key: str, n: int) -> str:
 GOLD_BY_LANG = {"en": "english_prose", "fr": "romance_prose", "es": "romance_prose", "de": "german_prose"}
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, lang, source, n_chars, a and b (two annotators), gold (by language), five voters m1..m5."""
+def reports(spark: SparkSession, sf_dir: str, both: bool = False) -> DataFrame:
+    """doc_id, text, lang, source, n_chars, a and b (two annotators), gold (by language), five voters m1..m5.
+
+    With ``both`` the patterns are tried once for the two annotators, not for
+    each until one matches; the text itself is then left out.
+    """
     docs = table(spark, sf_dir, "documents")
     gold = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in GOLD_BY_LANG.items()], F.lit("needs_review"))
     a, b = PROSE.primary(F.col("text")), PROSE.reversed().primary(F.col("text"))
     hb = tx.hash_bucket(F.col("doc_id").cast("string"), 10)
-    docs = docs.withColumns({"a": a, "b": b, "gold": gold, "hb": hb})
+    if both:
+        docs = docs.select("doc_id", "lang", "source", "n_chars", F.inline(PROSE.first_and_last(F.col("text")))).withColumnsRenamed({"first": "a", "last": "b"}).withColumns({"gold": gold, "hb": hb})
+    else:
+        docs = docs.withColumns({"a": a, "b": b, "gold": gold, "hb": hb})
     return docs.withColumns({
         "m1": F.col("a"), "m2": F.col("b"), "m3": F.when(F.col("hb") < 2, "needs_review").otherwise(F.col("gold")),
         "m4": F.when(F.col("hb") < 5, F.lit("english_prose")).otherwise(F.col("gold")), "m5": F.when(F.col("n_chars") > 1000, F.col("a")).otherwise(F.col("b")),
@@ -92,7 +99,7 @@ VOTES = REPORTS + ", votes AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, gol
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voting.long_votes(reports(spark, sf_dir), "doc_id", MODELS, "lang", "gold")
+    return voting.long_votes(reports(spark, sf_dir, both=True), "doc_id", MODELS, "lang", "gold")
 
 
 # Counts and matrices.
@@ -483,7 +490,7 @@ SELECT {g}n, round(observed, 9) AS observed, round(expected, 9) AS expected, rou
 
 @query("OP-68", f"WITH {REPORTS}, {_sql_kappa('reports')}")
 def annotator_agreement_kappa(spark, sf):
-    return _rounded(metrics.kappa(reports(spark, sf), "a", "b"), "observed", "expected", "kappa")
+    return _rounded(metrics.kappa(reports(spark, sf, both=True), "a", "b"), "observed", "expected", "kappa")
 
 
 _VOCAB = ", ".join(f"'{x}'" for x in ORDER[2:])
@@ -491,7 +498,7 @@ _VOCAB = ", ".join(f"'{x}'" for x in ORDER[2:])
 
 @query("OP-69", f"WITH {REPORTS}, {_sql_kappa('reports', 'lang', '0.0', _VOCAB)}")
 def kappa_variants(spark, sf):
-    return _rounded(metrics.kappa(reports(spark, sf), "a", "b", "lang", degenerate=0.0, labels=ORDER[2:]), "observed", "expected", "kappa")
+    return _rounded(metrics.kappa(reports(spark, sf, both=True), "a", "b", "lang", degenerate=0.0, labels=ORDER[2:]), "observed", "expected", "kappa")
 
 
 @query("OP-70", f"WITH {REPORTS}, sub AS (SELECT 'all' AS subset, a, b FROM reports UNION ALL SELECT 'long', a, b FROM reports WHERE n_chars > 1000 UNION ALL SELECT 'english', a, b FROM reports WHERE lang = 'en' UNION ALL SELECT 'voted', a, b FROM reports WHERE m3 = m4), {_sql_kappa('sub', 'subset')}")
