@@ -44,6 +44,11 @@ def kfold(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     return ranked(df, [label], [key]).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
+def kfold_of(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
+    """``kfold`` for rows with texts: keys and labels alone are ranked, and joined back by ``key``, which tells rows apart."""
+    return df.join(kfold(df.select(key, label), label, key, k).select(key, "fold"), key)
+
+
 def split_10(df: DataFrame, label: str, key: str) -> DataFrame:
     """Adds ``split``: of ten rows of a label one test, one validation, eight train."""
     at = (F.col("_rank") - 1) % 10

@@ -697,8 +697,9 @@ LABELLED_WHOLE = LABELLED.replace(f"{SQL_TOKENS}[:900]", SQL_TOKENS)
 
 def labelled_terms(spark: SparkSession, sf_dir: str, limit: int | None = 900) -> DataFrame:
     """(doc_id, label, fold, term, tf, pos) of the labelled documents' first ``limit`` tokens, or of all."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
-    folded = sampling.kfold(docs, "label", "doc_id")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    folds = sampling.kfold(docs.select("doc_id").join(labels, "doc_id"), "label", "doc_id")  # ranked without the texts
+    folded = docs.join(folds, "doc_id")
     return features.term_table(folded, "doc_id", tx.tokens_a(F.col("text"), limit), "label", "fold")
 
 
@@ -893,6 +894,24 @@ def five_voter_vote(spark, sf):
     return won.select(F.col("id").alias("doc_id"), "gold", "pred", "votes", "margin")
 
 
+_PAIRED = "list_transform(list_zip(t[:-2], t[2:]), lambda z: z[1] || '__' || z[2])"
+_BIGRAMS = _VECTORS.replace("doc AS (SELECT doc_id, quality", "doc0 AS (SELECT doc_id, quality").replace("occ AS (SELECT", f"doc AS (SELECT doc_id, label, fold, t || {_PAIRED} AS t FROM doc0), occ AS (SELECT", 1).replace(f"r <= {WIDTH}", "r <= 2000")
+_BALLOT = f"""WITH ballot AS (SELECT doc_id, gold, 1 AS place, pred FROM ({_sql_batch("hinge")}) UNION ALL SELECT doc_id, gold, 2, pred FROM ({_sql_batch("softmax")})
+UNION ALL SELECT doc_id, quality::VARCHAR, 3, CASE WHEN regexp_matches(text, '[|]') THEN '0' ELSE '1' END FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT doc_id, gold, 4, pred FROM ({_sql_batch("softmax").replace(_VECTORS, _BIGRAMS)}) UNION ALL SELECT doc_id, gold, 5, pred FROM ({"WITH " + _sql_bayes(LABELLED_WHOLE, "fold")})),
+tally AS (SELECT doc_id, gold, pred, count(*) AS votes, min(place) AS place FROM ballot GROUP BY ALL)
+SELECT doc_id, gold, pred, votes, votes - coalesce(runner, 0) AS margin FROM (SELECT *, lead(votes) OVER o AS runner, row_number() OVER o AS r FROM tally WINDOW o AS (PARTITION BY doc_id, gold ORDER BY votes DESC, place)) WHERE r = 1"""
+
+
+@query("OP-111 OP-118", _BALLOT)
+def weak_label_vote(spark, sf):
+    """Four models fitted on the other folds and the weak label, a sign in the text: the vote of the five."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("quality").cast("string").alias("label"))
+    weak = F.when(F.col("text").contains("|"), "0").otherwise("1")
+    won = voting.plurality(composites.weak_label_votes(docs, "label", F.col("text"), weak), list(composites.WEAK_VOTERS), "id", "gold")
+    return won.select(F.col("id").alias("doc_id"), "gold", "pred", "votes", "margin")
+
+
 @query("OP-112", "SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('click', 'view') THEN lower(trim(event_type)) WHEN contains(lower(event_type), 'sign') THEN 'signup' ELSE 'needs_review' END AS label FROM events")
 def label_from_answer(spark, sf):
     t = F.lower(F.trim("event_type"))
