@@ -387,7 +387,12 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most ``sample`` pages that name a main region, those of smallest id hash."""
+    """Weights from at most ``sample`` pages that name a main region, those of smallest id hash.
+
+    Defined cases: null and empty pages teach nothing; of equal ids the smaller
+    page comes first; repeated rows count each; without any labelled page the
+    weights are DEFAULTS; other columns are ignored.
+    """
     bound_batches(pages.sparkSession, rows=200)
     named = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)\b")).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
     chosen = named.orderBy("h", "html").limit(sample)

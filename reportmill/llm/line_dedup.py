@@ -242,3 +242,20 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = again.groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     cleaned = rows.join(gone, ["r1", "r2"], "left").select("id", "text", "gone").mapInArrow(_without, f"id {kind}, n_lines long, n_removed long, words_removed long, text string")
     return cleaned.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT rid, unnest(range(0, len(l))) AS i, unnest(l) AS x, len(l) AS n FROM d WHERE text <> ''),
+ln AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM u),
+nb AS (SELECT *, min(CASE WHEN w > 0 THEN i END) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead,
+max(CASE WHEN w > 0 THEN i END) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM ln),
+sp AS (SELECT rid, i AS a, greatest(i + 2, ahead + 1) AS b FROM nb WHERE greatest(i + 2, ahead + 1) <= n AND ahead IS NOT NULL
+UNION SELECT rid, least(i - 1, back), i + 1 FROM nb WHERE back IS NOT NULL AND i >= 1 UNION SELECT rid, i, i + 1 FROM nb WHERE strlen(x) > 100 AND w > 50),
+pc AS (SELECT sp.rid, a, b, array_to_string(l[a + 1:b], chr(10)) AS piece FROM sp JOIN d USING (rid)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY rid, a, b) AS r FROM pc),
+gone AS (SELECT DISTINCT rid, unnest(range(a, b)) AS i FROM rk WHERE r > 1),
+out AS (SELECT ln.rid, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed, coalesce(sum(w) FILTER (WHERE g.i IS NOT NULL), 0) AS words_removed, coalesce(string_agg(x, chr(10) ORDER BY ln.i) FILTER (WHERE g.i IS NULL), '') AS text
+FROM ln LEFT JOIN gone g ON g.rid = ln.rid AND g.i = ln.i GROUP BY ln.rid)
+SELECT doc_id, CASE WHEN d.text <> '' THEN len(l) ELSE 0 END::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(words_removed, 0)::BIGINT AS words_removed, CASE WHEN d.text <> '' THEN out.text ELSE d.text END AS text FROM d LEFT JOIN out USING (rid)
+"""

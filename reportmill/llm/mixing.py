@@ -58,6 +58,10 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
 
     Every document of the source is taken ``whole`` times, and once more if its
     hash is under ``below``.
+
+    Defined cases: a null source is a source, last in order; a source of size 0
+    has target 0 and is not taken; null and repeated ids share their hash and go
+    together; an empty table gives an empty plan.
     """
     plan = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -113,7 +117,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns only."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns only.
+
+    Defined cases: as in ``mix_plan``; columns of any name are kept as they are;
+    a row without words goes with its hash; an empty table stays empty.
+    """
     plan = mix_plan(size_table(docs, id_col, text_col, source_col), **options)
     names = docs.columns
     hidden = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source_col).alias("source"), unit_hash(F.col(id_col)).alias("h"))
@@ -122,7 +130,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 ORACLE = r"""
-WITH s AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+WITH s AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
 ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM t),

@@ -83,7 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
     "op4_lm_scoring": lm_score.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard_join": ngram_join.ORACLE,

@@ -99,7 +99,12 @@ class ShardStore:
         df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
-        """Write ``df`` as shards of at most ``rows`` rows and commit them; an empty table commits its one empty shard."""
+        """Write ``df`` as shards of at most ``rows`` rows and commit them.
+
+        Defined cases: nulls, empty and very long texts, repeated rows and
+        further columns are kept as they are; an empty table commits its one
+        empty shard; a lost race raises CommitConflict and leaves the store as it was.
+        """
         base = self.version()
         folder = f"data/a{base + 1:09d}-{self._jvm.java.util.UUID.randomUUID()}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", str(rows)).option("parquet.block.size", str(16 << 20)).parquet(f"{self.root}/{folder}")
@@ -132,7 +137,12 @@ class ShardStore:
         return due
 
     def compact(self, at_once: int = 8) -> int:
-        """Merge until no run is due; retired shards stay for readers of older versions until ``vacuum``."""
+        """Merge until no run is due; retired shards stay for readers of older versions until ``vacuum``.
+
+        Defined cases: rows stay as they are, in the order of their shards; an
+        empty shard is merged as the smallest tier; a store without a run that is
+        due keeps its version.
+        """
         while due := self.merges_due(shards := self.shards(base := self.version())):
             folder = f"data/m{base + 1:09d}-{self._jvm.java.util.UUID.randomUUID()}"
 

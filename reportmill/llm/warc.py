@@ -134,7 +134,12 @@ def _records(chunk: int):
 
 
 def write_archives(pages: DataFrame, plan: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk: int = CHUNK_BYTES) -> None:
-    """Write a record for every page below ``path``, as planned."""
+    """Write a record for every page below ``path``, as planned.
+
+    Defined cases: a null page is an empty payload, a null url an empty one; a
+    null id and repeated rows have records of their own; payloads of any length
+    go in segments; an empty table writes no record; other columns are ignored.
+    """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), *_hashes(F.col(html_col)))
     once = plan.groupBy("page_id", "k1", "k2").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_digest", "refers_to")], F.count("*").alias("copies"))
     once = once.withColumnsRenamed({"page_id": "_id", "k1": "_k1", "k2": "_k2"})
@@ -200,7 +205,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """One row per record: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Digests and sizes of responses are computed again from their chunks, which
+    Defined cases: a record without a page has a null page_id; archives without
+    records give an empty result; repeated records give repeated rows; an id that
+    is no ``id_type`` is an error.  Digests and sizes of responses are computed again from their chunks, which
     follow each other in their file; a difference from the header is an error.
     """
 
@@ -248,3 +255,11 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     plan = materialize(plan_records(pages, id_col, html_col, least), "records")
     write_archives(pages, plan, path, id_col, url_col, html_col, chunk)
     return read_records(pages.sparkSession, path, pages.schema[id_col].dataType.simpleString())
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h), x AS (SELECT page_id, top, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p JOIN m USING (h)),
+t AS (SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(x, i + 1, 1)) - 1) AS d FROM x)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((16 * d[5 * i // 4 + 1] + d[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31)::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t
+"""
