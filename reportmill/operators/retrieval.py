@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..scratch import small, written
+from ..scratch import BROADCAST_ROWS, small, written
 from .features import counted
 
 #: Documents of a block; postings read for a query's first candidates; what rounding may take from a bound.
@@ -74,7 +74,8 @@ def build_index(docs: DataFrame, doc_key: str, tokens: Column, fold: str | None
 
 def _completed(index: Index, pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """``pairs`` (query, doc, label, part) with ``score``: part, and what the terms of ``asked`` (query, avg, term, idf) add."""
-    words = index.postings.select("doc", "term", "tf", "len")
+    said = small(written(asked.select("term").distinct(), "said"))
+    words = index.postings.select("doc", "term", "tf", "len").join(said, "term", "left_semi")  # few queries' terms are sent to the postings, not these to them
     share = F.col("idf") * _share(F.col("tf").cast("double"), F.col("len"), F.col("avg"), index.k1, index.b)
     added = pairs.select("query", "doc", "label").join(asked, "query").join(words, ["doc", "term"]).select("query", "doc", "label", share.alias("part"))
     return pairs.select("query", "doc", "label", "part").union(added).groupBy("query", "doc", "label").agg(F.sum("part").alias("score"))
@@ -105,13 +106,13 @@ def search(index: Index, queries: DataFrame, query_key: str, tokens: Column, k:
     others = F.col("fold") != F.col("q_fold") if fold else F.lit(True)
     score = F.sum(F.col("idf") * _share(F.col("tf").cast("double"), F.col("len"), F.col("avg"), index.k1, index.b))
     if (known.agg(F.sum("df")).first()[0] or 0) <= few:
-        return asked.join(index.postings, "term").where(others).groupBy("query", "doc", "label").agg(score.alias("score"))
+        return index.postings.join(small(asked), "term").where(others).groupBy("query", "doc", "label").agg(score.alias("score"))
     index_tops = index.tops()
     known = known.join(index_tops.groupBy("term").agg(F.max("top").alias("most")), "term").withColumn("bound", F.col("idf") * F.col("most"))
     rare = Window.partitionBy("query").orderBy("df", "term")
     first = known.withColumn("_before", F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = first.where((F.col("_before") == 0) | (F.col("_before") + F.col("df") <= seed)).select("query", "q_fold", "term")
-    seeds = first.join(index.postings, "term").where(others).select("query", "doc", "label").distinct().withColumn("part", F.lit(0.0))
+    seeds = index.postings.join(small(written(first, "first")), "term").where(others).select("query", "doc", "label").distinct().withColumn("part", F.lit(0.0))
     kth = written(_kth(_completed(index, seeds, asked.drop("q_fold")), k, by_label), "kth")
     if by_label:  # a term is needed if any label's documents may need it; a label not met yet needs all
         n_labels = index.postings.select("label").distinct().count()
@@ -126,7 +127,8 @@ def search(index: Index, queries: DataFrame, query_key: str, tokens: Column, k:
         F.sum(F.col("idf") * F.col("top")).alias("reach"), F.sum(F.when(~F.col("needed"), F.col("idf") * F.col("top")).otherwise(0.0)).alias("rest"), F.first("floor").alias("floor"), F.bool_or("needed").alias("any"),
     )
     blocks = tops.where("any and reach >= floor").select("query", "block", "rest", "floor")
-    reads = plan.where("needed").select("query", "q_fold", "avg", "term", "idf").join(blocks, "query").join(index.postings, ["term", "block"]).where(others)
+    needed = small(written(plan.where("needed").select("query", "q_fold", "avg", "term", "idf"), "needed"))
+    reads = index.postings.join(needed, "term").where(others).join(small(written(blocks, "blocks"), 10 * BROADCAST_ROWS), ["query", "block"])
     part = reads.groupBy("query", "doc", "label").agg(score.alias("part"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
     alive = part.where("part + rest >= floor")
     if by_label:
