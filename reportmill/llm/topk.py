@@ -21,6 +21,8 @@ from .workspace import bound_batches, materialize
 
 BUCKET = 8192
 QUERY_BLOCK = 1024
+#: Query blocks that one task meets with a bucket.
+GROUP = 32
 #: Buckets that give the first thresholds.
 SEED_BUCKETS = 2
 #: Local cosine from which pruning by coordinate is worth its cost.
@@ -75,7 +77,7 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int, width: int):
-    """Pairs of query block and bucket to each query's best k of the bucket that can reach its threshold."""
+    """Rows sorted by bucket and group, the bucket before its query blocks, to each query's best k of the bucket that can reach its threshold."""
 
     def best(q: np.ndarray, q_no: np.ndarray, q_norm: np.ndarray, floor: np.ndarray, p: np.ndarray, ids: np.ndarray, nos: np.ndarray, norms: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         slack = 1e-9 * (1.0 + np.abs(floor))
@@ -99,12 +101,18 @@ def _search(k: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         risen: dict[int, np.ndarray] = {}
+        held: tuple | None = None
+        whole = lambda raw, n: np.frombuffer(raw, "<i4" if len(raw) == 4 * n * width else "<i8").reshape(n, width).astype(np.int64)
         for batch in batches:
             for r in batch.to_pylist():
-                q_id, q_no, ids, nos = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_row_nos", "ids", "row_nos"))
-                whole = lambda raw, n: np.frombuffer(raw, "<i4" if len(raw) == 4 * n * width else "<i8").reshape(n, width).astype(np.int64)
-                q, p = whole(r["q_matrix"], len(q_id)), whole(r["matrix"], len(ids))
-                q_norm, norms = np.frombuffer(r["q_norms"]), np.frombuffer(r["norms"])
+                if r["kind"] == 0:
+                    ids, nos = (np.frombuffer(r[c], np.int64) for c in ("ids", "row_nos"))
+                    held, p, norms = (r["bucket"], r["grp"]), whole(r["matrix"], len(ids)), np.frombuffer(r["norms"])
+                    continue
+                if held != (r["bucket"], r["grp"]):
+                    raise RuntimeError("query blocks came without their bucket")
+                q_id, q_no = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_row_nos"))
+                q, q_norm = whole(r["q_matrix"], len(q_id)), np.frombuffer(r["q_norms"])
                 floor = np.frombuffer(r["q_floor"]).copy() if r["q_floor"] else np.full(len(q), -np.inf)
                 if len(risen) > 64:
                     risen.clear()
@@ -158,7 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     queries = materialize(queries.select("q_raw", *[F.col(c).alias(f"q_{c}") for c in ("top", "ids", "row_nos", "matrix", "norms")]), "queries")
     # Numbers from 0 for the blocks, one row for each QUERY_BLOCK queries.
     numbered = materialize(queries.select("q_raw", (F.row_number().over(Window.orderBy("q_raw")) - 1).cast("long").alias("q_block")), "query_blocks")
-    n_blocks = numbered.count()
+    n_blocks, n_buckets = numbered.count(), max(1, -(-counts.n // BUCKET))
     queries = queries.join(small(numbered), "q_raw").drop("q_raw")
     found_schema = "query_id long, q_no long, vec_id long, score long"
     if not n_blocks:
@@ -170,8 +178,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
             pairs = pairs.withColumn("q_floor", F.lit(None).cast("binary"))
         else:  # the least length with which a bucket can reach any query of the block
             pairs = pairs.join(floors, "q_block").where(F.col("top") >= F.col("reach"))
-        full = pairs.select("bucket", "q_block", "q_floor").join(queries, "q_block").join(some.drop("top"), "bucket")
-        return full.mapInArrow(_search(k, width), found_schema)
+        pairs = pairs.select("bucket", "q_block", "q_floor", F.floor(F.col("q_block") / GROUP).cast("long").alias("grp"))
+        # A bucket is sent once for each group of query blocks that reach it, the blocks follow it one by one.
+        sent = pairs.join(queries.drop("q_top"), "q_block").withColumn("kind", F.lit(1))
+        still = some.drop("top").join(pairs.select("bucket", "grp").distinct(), "bucket").withColumn("kind", F.lit(0))
+        rows = sent.unionByName(still, allowMissingColumns=True).repartition(max(1, min(n_buckets * -(-n_blocks // GROUP), 20_000)), "bucket", "grp")
+        return rows.sortWithinPartitions("bucket", "grp", "kind", "q_block").mapInArrow(_search(k, width), found_schema)
 
     order = Window.partitionBy("q_no").orderBy(F.col("score").desc(), "vec_id")
     seeds = buckets.orderBy(F.col("top").desc(), "bucket").limit(SEED_BUCKETS).select("bucket")
