@@ -853,21 +853,27 @@ nd AS (SELECT held, count(*) AS n FROM seen JOIN held ON fold <> held GROUP BY h
 st AS (SELECT held, term, sum(tf) AS tf, count(*) AS df, min((doc_id, pos)) AS place FROM terms JOIN held ON fold <> held WHERE length(term) >= 2 GROUP BY ALL),
 voc AS MATERIALIZED (SELECT held, term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY tf DESC, place) AS r FROM st) JOIN nd USING (held) WHERE r <= {WIDTH}),
 raw AS (SELECT held, doc_id, term, tf / sum(tf) OVER (PARTITION BY held, doc_id) * idf AS v FROM terms JOIN voc USING (term)),
-x AS MATERIALIZED (SELECT held, doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY held, doc_id)) AS v FROM raw UNION ALL SELECT held, doc_id, '', 1.0 FROM seen, held),
-cls AS (SELECT DISTINCT label AS c FROM seen), tr AS MATERIALIZED (SELECT held, doc_id, label FROM seen JOIN held ON fold <> held), nt AS (SELECT held, count(*) AS n FROM tr GROUP BY held),
-w0 AS MATERIALIZED (SELECT held, c, term, 0.0::DOUBLE AS w FROM (SELECT held, term FROM voc UNION ALL SELECT held, '' FROM held), cls)"""
+x AS MATERIALIZED (SELECT held, doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY held, doc_id)) AS v FROM raw UNION ALL SELECT held, doc_id, '', 1.0 FROM seen, held)"""
 
 
-def _sql_batch(loss: str) -> str:
-    """The steps of ``descent.fit``, unrolled."""
-    parts, sign = [_VECTORS], "CASE WHEN label = c THEN 1.0 ELSE -1.0 END"
+def _sql_steps(p: str, seen: str, loss: str) -> list[str]:
+    """The steps of ``descent.fit`` on the labelled rows ``seen``, unrolled; the last table, <p>pred, has (doc_id, pred)."""
+    sign = "CASE WHEN label = c THEN 1.0 ELSE -1.0 END"
     pull = {"softmax": "exp(m - max(m) OVER o) / sum(exp(m)) OVER o * exp(max(m) OVER o) - (label = c)::INT", "hinge": f"CASE WHEN {sign} * m < 1 THEN -({sign}) ELSE 0 END"}[loss]
+    parts = [
+        f"{p}cls AS (SELECT DISTINCT label AS c FROM {seen}), {p}tr AS MATERIALIZED (SELECT held, doc_id, label FROM {seen} JOIN held ON fold <> held)", f"{p}nt AS (SELECT held, count(*) AS n FROM {p}tr GROUP BY held)",
+        f"{p}w0 AS MATERIALIZED (SELECT held, c, term, 0.0::DOUBLE AS w FROM (SELECT held, term FROM voc UNION ALL SELECT held, '' FROM held), {p}cls)",
+    ]
     for t in range(descent.STEPS):
-        parts.append(f"m{t} AS MATERIALIZED (SELECT held, doc_id, c, sum(v * w) AS m FROM x JOIN w{t} USING (held, term) GROUP BY ALL)")
-        parts.append(f"a{t} AS MATERIALIZED (SELECT held, doc_id, c, {pull} AS a FROM m{t} JOIN tr USING (held, doc_id) WINDOW o AS (PARTITION BY held, doc_id))")
-        parts.append(f"w{t + 1} AS MATERIALIZED (SELECT w.held, w.c, w.term, w - {descent.RATE / (1 + descent.DECAY * t)!r} * (coalesce(g, 0) / n + CASE WHEN w.term = '' THEN 0 ELSE {descent.L2!r} * w END) AS w FROM w{t} w JOIN nt ON nt.held = w.held LEFT JOIN (SELECT held, c, term, sum(a * v) AS g FROM a{t} JOIN x USING (held, doc_id) GROUP BY ALL) g ON g.held = w.held AND g.c = w.c AND g.term = w.term)")
-    last = f"(SELECT held, doc_id, c, sum(v * w) AS m FROM x JOIN w{descent.STEPS} USING (held, term) GROUP BY ALL)"
-    return f"WITH {', '.join(parts)} SELECT doc_id, fold, label AS gold, c AS pred FROM (SELECT s.doc_id, s.fold, s.label, c, row_number() OVER (PARTITION BY s.doc_id ORDER BY m DESC, c) AS r FROM {last} f JOIN seen s ON s.doc_id = f.doc_id AND s.fold = f.held) WHERE r = 1"
+        parts.append(f"{p}m{t} AS MATERIALIZED (SELECT held, doc_id, c, sum(v * w) AS m FROM x JOIN {p}w{t} USING (held, term) GROUP BY ALL)")
+        parts.append(f"{p}a{t} AS MATERIALIZED (SELECT held, doc_id, c, {pull} AS a FROM {p}m{t} JOIN {p}tr USING (held, doc_id) WINDOW o AS (PARTITION BY held, doc_id))")
+        parts.append(f"{p}w{t + 1} AS MATERIALIZED (SELECT w.held, w.c, w.term, w - {descent.RATE / (1 + descent.DECAY * t)!r} * (coalesce(g, 0) / n + CASE WHEN w.term = '' THEN 0 ELSE {descent.L2!r} * w END) AS w FROM {p}w{t} w JOIN {p}nt nt ON nt.held = w.held LEFT JOIN (SELECT held, c, term, sum(a * v) AS g FROM {p}a{t} JOIN x USING (held, doc_id) GROUP BY ALL) g ON g.held = w.held AND g.c = w.c AND g.term = w.term)")
+    last = f"(SELECT held, doc_id, c, sum(v * w) AS m FROM x JOIN {p}w{descent.STEPS} USING (held, term) GROUP BY ALL)"
+    return [*parts, f"{p}pred AS MATERIALIZED (SELECT doc_id, c AS pred FROM (SELECT f.doc_id, c, row_number() OVER (PARTITION BY f.doc_id ORDER BY m DESC, c) AS r FROM {last} f JOIN seen s ON s.doc_id = f.doc_id AND s.fold = f.held) WHERE r = 1)"]
+
+
+def _sql_batch(loss: str) -> str:
+    return f"WITH {', '.join([_VECTORS, *_sql_steps('', 'seen', loss)])} SELECT doc_id, fold, label AS gold, pred FROM seen JOIN pred USING (doc_id)"
 
 
 def _batch(spark: SparkSession, sf_dir: str, loss: str) -> DataFrame:
@@ -936,6 +942,23 @@ def hierarchical_gate(spark, sf):
     return voting.gate(F.col("m3").isin(PROSE_FAMILY), v, {True: PROSE_FAMILY, False: OTHER_FAMILY}, MODELS, "doc_id", "gold")
 
 
+_FAMILY = f"CASE WHEN a IN ({_IN(PROSE_FAMILY)}) THEN 'prose' ELSE 'other' END"
+_TWO_STAGE = f"""WITH {REPORTS}, {_VECTORS}, lab AS MATERIALIZED (SELECT doc_id, fold, a, {_FAMILY} AS family FROM seen JOIN reports USING (doc_id)),
+s1 AS (SELECT doc_id, fold, family AS label FROM lab), s2 AS (SELECT doc_id, fold, a AS label FROM lab WHERE family = 'prose'), s3 AS (SELECT doc_id, fold, a AS label FROM lab WHERE family = 'other'),
+{', '.join(_sql_steps('f', 's1', 'hinge') + _sql_steps('p', 's2', 'hinge') + _sql_steps('o', 's3', 'hinge'))}
+SELECT doc_id, fold, a AS gold, CASE WHEN fpred.pred = 'prose' THEN ppred.pred ELSE opred.pred END AS pred FROM lab JOIN fpred USING (doc_id) JOIN ppred USING (doc_id) JOIN opred USING (doc_id)"""
+
+
+@query("OP-114", _TWO_STAGE)
+def hierarchical_batch(spark, sf):
+    """As ``hierarchical_two_stage``, by full-batch steps."""
+    t = written(labelled_terms(spark, sf), "terms")
+    vectors = features.fold_vectors(t, features.fold_vocabulary(t, "doc_id", "fold", WIDTH), "doc_id")
+    folds = written(t.select("doc_id", "fold").distinct().join(reports(spark, sf, both=True).select("doc_id", F.col("a").alias("label")), "doc_id"), "folds")
+    families = dict.fromkeys(PROSE_FAMILY, "prose") | dict.fromkeys(OTHER_FAMILY, "other")
+    return descent.two_stage(written(vectors, "vectors"), folds, "doc_id", "label", "hinge", WIDTH, families)
+
+
 @query("OP-114")
 def hierarchical_two_stage(spark, sf):
     """The labelled reports by a model of the two families, then by a model of the family's labels."""
