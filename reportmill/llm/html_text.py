@@ -149,8 +149,9 @@ class _Scan:
 def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
     """[kind, value, in a link, in another part, in the named main region, class words] for every text run and tag.
 
-    An element that is not closed ends with the one around it, a menu or the
-    like that has no end tag also at the next block.  An article inside a part
+    An element that is not closed ends with the one around it.  Before any
+    article a part without an end tag ends where one begins, and a menu at the
+    next block.  An article inside a part
     that is named by its class ends that part, if it is the page's first; readers'
     comments never end so.  A form, or a part named by its class, that holds the
     layout of a page or all its words, is none.
@@ -216,9 +217,9 @@ def tokens(page: str, weight: dict[str, float] | None = None) -> list[list]:
                         close()
                     close()
                 continue
-            if held["element"] and name in NEXT_BLOCKS:
+            if held["element"] and not articles and name in NEXT_BLOCKS:
                 top = next(x for x in reversed(stack) if x[2] == "element")
-                if top[0] != name and not scan.is_closed(top[0], tag):
+                if (top[0] in ("nav", "menu") or name in ("article", "main")) and not scan.is_closed(top[0], tag):
                     while stack[-1] is not top:
                         close()
                     close()
