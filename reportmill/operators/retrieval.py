@@ -20,8 +20,8 @@ from .features import counted
 
 #: Documents of a block; postings read for a query's first candidates; what rounding may take from a bound.
 BLOCK, SEED, SLACK = 1024, 64, 1e-4
-#: Postings of all queries' terms together that are read outright, as bounding them costs more than it saves.
-FEW = 50_000_000
+#: Postings of all queries' terms together that are read outright: one join and one sum are less than the passes that bounds take.
+FEW = 1_000_000_000
 
 
 @dataclass
