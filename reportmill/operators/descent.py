@@ -61,13 +61,14 @@ LOSSES = {"softmax": _softmax, "hinge": _hinge}
 def fit(rows: DataFrame, label: str, classes: list[str], width: int, loss: str, by: str = "fold", steps: int = STEPS, rate: float = RATE, decay: float = DECAY, l2: float = L2) -> DataFrame:
     """(held, c, idx, w): weights of each held-out fold, learned from the rows of the other folds; idx 0 is the bias, which is not shrunk.
 
+    ``rows`` is read once a step, so it should be a written table.
     Weights start at 0; step t moves them by rate / (1 + decay t) against the
     mean gradient.  Labels outside ``classes`` and null ones are left out.  A
     fold without training rows keeps zeros.
     """
     width += 1
     y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    used = written(rows.where((F.col(by) != F.col("held")) & F.col(label).isin(classes)).select("held", "x", y.cast("int").alias("y")), "training")
+    used = rows.where((F.col(by) != F.col("held")) & F.col(label).isin(classes)).select("held", "x", y.cast("int").alias("y"))
     held = rows.select("held").distinct().join(used.groupBy("held").agg(F.count("*").alias("n")), "held", "left")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     weights = written(held.select("held", F.coalesce("n", F.lit(1)).alias("n"), each(len(classes)).alias("c")).withColumn("idx", each(width)).withColumn("w", F.lit(0.0)), "weights")
