@@ -662,7 +662,7 @@ def composite_top_k(spark, sf):
 
 @query("OP-96", "SELECT source, batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents) GROUP BY ALL")
 def mini_batches(spark, sf):
-    return sampling.batches(table(spark, sf, "documents"), ["source"], ["doc_id"], 8).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return sampling.batches(table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 8).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 # Tokens and models.
