@@ -560,19 +560,24 @@ def sum_ignoring_bad(spark, sf):
 # Splits and selections.
 
 
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, a), written: a range partitioning reads its input twice, the texts are to be read once."""
+    return written(reports(spark, sf_dir).select("doc_id", "a"), "labelled")
+
+
 @query("OP-77", f"WITH {REPORTS} SELECT doc_id, a, ((row_number() OVER (PARTITION BY a ORDER BY doc_id) - 1) % 5)::INT AS fold FROM reports")
 def stratified_kfold(spark, sf):
-    return sampling.kfold(reports(spark, sf).select("doc_id", "a"), "a", "doc_id")
+    return sampling.kfold(labelled_ids(spark, sf), "a", "doc_id")
 
 
 @query("OP-78", f"WITH {REPORTS} SELECT doc_id, CASE (row_number() OVER (PARTITION BY a ORDER BY doc_id) - 1) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM reports")
 def split_80_10_10(spark, sf):
-    return sampling.split_10(reports(spark, sf).select("doc_id", "a"), "a", "doc_id").select("doc_id", "split")
+    return sampling.split_10(labelled_ids(spark, sf), "a", "doc_id").select("doc_id", "split")
 
 
 @query("OP-79", f"WITH {REPORTS}, n AS (SELECT doc_id, row_number() OVER (PARTITION BY a ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY a) AS n FROM reports), t AS (SELECT *, greatest(1, round_even(n * 0.2, 0))::BIGINT AS want FROM n), s AS (SELECT *, greatest(1, round_even(n / want, 0))::BIGINT AS stride FROM t) SELECT doc_id, (i % stride = 0 AND i // stride < want) AS held FROM s")
 def stratified_holdout(spark, sf):
-    return sampling.holdout(reports(spark, sf).select("doc_id", "a"), "a", "doc_id").select("doc_id", "held")
+    return sampling.holdout(labelled_ids(spark, sf), "a", "doc_id").select("doc_id", "held")
 
 
 @query("OP-80", f"SELECT page_id, bucket::BIGINT AS bucket, CASE WHEN bucket < 8 THEN 'train' ELSE 'test' END AS split FROM (SELECT page_id, {sql_bucket('url', 10)} AS bucket FROM pages)")
@@ -651,7 +656,7 @@ def stable_ids(spark, sf):
 
 @query("OP-94", f"WITH {REPORTS}, n AS (SELECT a, count(*) AS n FROM reports GROUP BY a), m AS (SELECT max(n) AS m FROM n), r AS (SELECT doc_id, a, row_number() OVER (PARTITION BY a ORDER BY doc_id) AS r FROM reports) SELECT a, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(doc_id)::BIGINT AS id_sum FROM (SELECT r.doc_id, r.a, unnest(range(0, (m.m // n.n + (r.r <= m.m % n.n)::INT)::BIGINT)) AS copy FROM r JOIN n USING (a), m) GROUP BY a")
 def oversample(spark, sf):
-    return sampling.oversample(reports(spark, sf).select("doc_id", "a"), "a", "doc_id").groupBy("a").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum("doc_id").alias("id_sum"))
+    return sampling.oversample(labelled_ids(spark, sf), "a", "doc_id").groupBy("a").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum("doc_id").alias("id_sum"))
 
 
 @query("OP-95", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 40")
