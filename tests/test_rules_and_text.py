@@ -92,3 +92,25 @@ def test_repair_and_validate(spark):
 
 def test_rule_table_round_trip(spark):
     assert taxonomy.rule_set(FAILURES.table(spark)) == FAILURES
+
+
+def test_faster_expressions_match_where_patterns_do(spark):
+    """Every faster expression against its pattern, on words at edges, in words, beside signs and other letters."""
+    words = sorted({w for r in (taxonomy.PROSE, taxonomy.PROSE_CAUSES) for _, p in r.rules if p.endswith("|$)") for w in p.split(")(")[1].strip("()").split("|")})
+    frames = ["{}", " {} ", "{}\n", "\n{}", "x{}", "{}x", "_{} ", " {}_", "9{}", "{}9", "é{}é", "({})", "{0}{0}", "{0}x {0}", "x{0} x{0}.{0}", "a\u2028{}\u2028", "{}\r\n"]
+    mails = ["a@b.c", "@b.c", " @b.c", "a@b.C", "a@.c", "é@b.c", "a@b@c.d", "_@x9.y", "a@é.c", "@", "Licens", "licensed", "LICENS", "", "\n"]
+    texts = [f.format(w) for w in words for f in frames] + [f.format(w.upper()) for w in words for f in frames[:2]] + mails
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for rules in (taxonomy.PROSE, taxonomy.PROSE_CAUSES):
+        assert sum(p in rules.tests for _, p in rules.rules) >= 3
+        for _, p in rules.rules:
+            assert df.where(~F.col("t").rlike(p).eqNullSafe(rules.matches(F.col("t"), p))).collect() == []
+
+
+@pytest.mark.parametrize("name", ["label_sets", "secondary_jaccard", "label_set_algebra", "boundary_notes", "three_way_diagnostic", "vote_gated", "metric_value_share", "model_comparison"])
+def test_patterns_are_tried_once_a_row(spark, name):
+    from reportmill.plans import catalogue
+
+    df = catalogue.CATALOGUE[name].build(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", licens)") == 1
