@@ -299,3 +299,31 @@ def test_full_batch_two_stages(spark):
     assert empty.collect() == []
     unknown = descent.cross_validated(vectors.limit(0), folds, "id", "label", "softmax", 5, steps=2)
     assert unknown.count() == 150
+
+
+def test_packed_rows_are_the_long_vectors(spark):
+    """``fold_rows`` against ``fold_vectors``, with a row of no known term and one of no term."""
+    texts = [(i, i % 3, f"aa bb {'cc ' * (i % 4)} dd{i % 2} x{i}") for i in range(20)] + [(20, 0, "zz"), (21, 1, "")]
+    docs = spark.createDataFrame(texts, "id long, fold int, text string")
+    rows = docs.select("id", "fold", features.counted(tx.tokens_a(F.col("text"))).alias("terms"))
+    vocab = features.fold_vocabulary(features.exploded(rows), "id", "fold", 6)
+    packed = features.fold_rows(rows, vocab, "id", "fold")
+    assert packed.count() == 22 * 3
+    got = {(r.held, r.id, r.idx): r.weight for r in features.long_vectors(packed, "id").collect()}
+    want = {(r.held, r.id, r.idx): r.weight for r in features.fold_vectors(features.exploded(rows), vocab, "id").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_seeded_models_take_rows_from_a_file(spark):
+    """Rows streamed to a file give the model of the same rows in memory, whatever their number; labels may be null."""
+    draw = random.Random(3)
+    xs = [{k: draw.random() for k in sorted(draw.sample(range(8), 3))} for _ in range(90)]
+    rows = [(i, "ab"[int(sum(v for k, v in x.items() if k < 4) > 1)], i % 3) for i, x in enumerate(xs)]
+    vectors = spark.createDataFrame([(h, i, k, v) for h in range(3) for i, x in enumerate(xs) for k, v in x.items()], "held int, id long, idx int, weight double")
+    folds = spark.createDataFrame([*rows, (90, None, 1)], "id long, label string, fold int")
+    got = {r.id: r.pred for r in models.cross_validated(vectors, folds, "id", "label", "hinge", 8).collect()}
+    assert len(got) == 91 and not hasattr(models, "MOST_ROWS")
+    for h in range(3):
+        local = models.train_hinge([(xs[i], y) for i, y, f in rows if f != h], 8)
+        assert all(got[i] == local(xs[i]) for i, _, f in rows if f == h)
+    assert set(got.values()) == {"a", "b"}
