@@ -327,3 +327,8 @@ def test_seeded_models_take_rows_from_a_file(spark):
         local = models.train_hinge([(xs[i], y) for i, y, f in rows if f != h], 8)
         assert all(got[i] == local(xs[i]) for i, _, f in rows if f == h)
     assert set(got.values()) == {"a", "b"}
+
+
+def test_scores_that_differ_by_rounding_tie(spark):
+    scores = spark.createDataFrame([(1, "a", -7.0000000001), (1, "b", -7.0), (2, "a", -7.1), (2, "b", -7.0)], "id int, label string, score double")
+    assert {r.id: r.pred for r in features.best_label(scores, "id", ["a", "b"], digits=6).collect()} == {1: "a", 2: "b"}
