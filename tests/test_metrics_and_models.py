@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,3 +333,31 @@ def test_seeded_models_take_rows_from_a_file(spark):
 def test_scores_that_differ_by_rounding_tie(spark):
     scores = spark.createDataFrame([(1, "a", -7.0000000001), (1, "b", -7.0), (2, "a", -7.1), (2, "b", -7.0)], "id int, label string, score double")
     assert {r.id: r.pred for r in features.best_label(scores, "id", ["a", "b"], digits=6).collect()} == {1: "a", 2: "b"}
+
+
+def test_counted_rows_equal_the_expression(spark):
+    """Batches of texts are counted as one text by itself is, with and without bigrams, empty and null ones too."""
+    texts = ["b a b a a", "", "a", "é z é a_b a__b", "B b", None, "zz zz " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    tokens = tx.tokens_a(F.col("t"))
+    for pairs in (False, True):
+        want = {r.id: r.terms for r in df.select("id", features.counted(tx.terms(tokens, pairs)).alias("terms")).collect()}
+        assert {r.id: r.terms for r in features.counted_rows(df, tokens, pairs, "id").collect()} == want
+
+
+def test_fold_vocabulary_takes_ties_by_place_and_sends_few_terms(spark):
+    """The terms kept equal a count by hand; only those that reach a fold's least sum are shared out with their places."""
+    draw = random.Random(8)
+    rows = [(d, d % 3, w, draw.randrange(1, 4), p) for d in range(40) for p, w in enumerate(draw.sample([f"w{k}" for k in range(300)], 12))]
+    table = spark.createDataFrame(rows, "id long, fold int, term string, tf long, pos int")
+    got = {}
+    for r in features.fold_vocabulary(table, "id", "fold", 20).collect():
+        got.setdefault(r.held, {})[r.term] = r.idx
+    for held in range(3):
+        tf, first = Counter(), {}
+        for d, fold, w, n, p in rows:
+            if fold != held:
+                tf[w] += n
+                first[w] = min(first.get(w, (d, p)), (d, p))
+        best = sorted(sorted(tf, key=lambda w: (-tf[w], first[w]))[:20])
+        assert got[held] == {w: i for i, w in enumerate(best)}
