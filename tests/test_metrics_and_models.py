@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,3 +362,27 @@ def test_fold_vocabulary_takes_ties_by_place_and_sends_few_terms(spark):
                 first[w] = min(first.get(w, (d, p)), (d, p))
         best = sorted(sorted(tf, key=lambda w: (-tf[w], first[w]))[:20])
         assert got[held] == {w: i for i, w in enumerate(best)}
+
+
+def test_descent_reads_a_stored_row_once_while_there_is_room(monkeypatch):
+    """Rows that fit are read from their file once, not once an epoch; without room the models are the same."""
+    draw, reads = random.Random(4), []
+
+    class Row:
+        def __init__(self):
+            self.x = np.sort(np.array(draw.sample(range(30), 6), np.int32)), np.array([draw.random() for _ in range(6)])
+
+        def read(self):
+            reads.append(1)
+            return self.x
+
+    rows = [(Row(), "ab"[i % 2]) for i in range(20)]
+    for train in (models.train_softmax, models.train_hinge):
+        found = []
+        for room, want in ((1 << 20, 20), (0, 240), (5 * 472, 5 + 15 * 12)):
+            monkeypatch.setattr(models, "KEPT_BYTES", room)
+            reads.clear()
+            predict = train(rows, 30)
+            assert len(reads) == want
+            found.append([predict(x) for x, _ in rows])
+        assert found[0] == found[1] == found[2]
